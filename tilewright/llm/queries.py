@@ -11,6 +11,7 @@ from tilewright.llm.consolidate import matched_groups
 from tilewright.llm.cutoff import kept_fraction, with_source
 from tilewright.llm.pieces import image_sizes, oversized_pieces
 from tilewright.llm.splits import picture_groups, split_of
+from tilewright.llm.tokens import decode_corpus, encode_corpus
 from tilewright.llm.topn import scored, top_n
 from tilewright.session import table
 
@@ -60,6 +61,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return matched_groups(table(spark, d, "coco_result"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"))
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return decode_corpus(encode_corpus(table(spark, d, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
@@ -70,6 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_report": p4_report,
         "p5_found": p5_found,
         "p7_found": p7_found,
+        "p8_ids": p8_ids,
+        "p8_decoded": p8_decoded,
     }
 
 
@@ -102,6 +113,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"WITH d AS (SELECT DISTINCT image_id, det_id, score FROM coco_result WHERE image_id IS NOT NULL AND {_SCORED}), r AS (SELECT image_id, det_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS INT) AS rank_no FROM d) SELECT * FROM r WHERE rank_no <= 5",
         "p4_found": _KEPT + "SELECT source AS category_name, det_id FROM ranked JOIN cuts USING (source) WHERE score >= cutoff",
         "p4_report": _KEPT + "SELECT source AS category_name, any_value(keep_pct)::BIGINT AS keep_pct, any_value(n) AS n_items, any_value(cutoff) AS cutoff, count(*) AS n_kept FROM ranked JOIN cuts USING (source) WHERE score >= cutoff GROUP BY source",
+        "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p7_found": f"""
             WITH RECURSIVE d AS (SELECT DISTINCT det_id, image_id, bbox[1] AS x1, bbox[2] AS y1, bbox[1] + bbox[3] AS x2, bbox[2] + bbox[4] AS y2 FROM coco_result
               WHERE image_id IS NOT NULL AND {_SCORED} AND score >= 0.1 AND len(bbox) = 4 AND bbox[3] > 0 AND bbox[4] > 0),
