@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.consolidate import matched_groups
 from tilewright.llm.cutoff import kept_fraction, with_source
+from tilewright.llm.leaks import leaked_passages
 from tilewright.llm.pieces import image_sizes, oversized_pieces
 from tilewright.llm.splits import picture_groups, split_of
 from tilewright.llm.tokens import decode_corpus, encode_corpus
@@ -69,6 +70,10 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return decode_corpus(encode_corpus(table(spark, d, "documents")))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": p7_found,
         "p8_ids": p8_ids,
         "p8_decoded": p8_decoded,
+        "p9_found": p9_found,
     }
 
 
