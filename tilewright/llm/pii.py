@@ -151,7 +151,7 @@ _TITLE = re.compile(r"\b(?:mr|mrs|ms|miss|dr|prof|sir|dame|herr|frau)\b\.?[ \t]+
 _TRIGGERS = {
     "email": ("@", "at)", "at]", "at}", "at>"),
     "email_words": (" dot ", "\ndot ", " dot\n"),
-    "identity": ("passport", "identi", " id ", " id:", "id#", " id\n", "i.d.", "national", "insurance", "social security", "ssn", "tax", " ni ", "nino", "personal"),
+    "identity": ("passport", "identi", " id ", "id no", "id nr", "id num", "id card", "id:", "id#", " id\n", "i.d.", "national", "insurance", "social security", "ssn", "tax", " ni ", "nino", "personal"),
     "street": tuple(" " + w for w in "street st avenue ave road rd lane ln terrace close drive dr court ct square sq way boulevard blvd crescent row place garden gardens".split()),
     "other_street": ("rue ", "calle ", "avenida ", "plaza ", "paseo ", "avenue ", "boulevard ", "place ", "chemin ", "allée ", "straße ", "strasse ", "gasse ", "weg ", "platz ", "allee ", "sokak", "cadde", "bulvarı"),
     "digit": tuple(" " + w for w in _DIGIT_WORDS),
@@ -247,7 +247,7 @@ class Finder:
     def addresses(self, t: str, hits: dict) -> Iterator[tuple[int, int]]:
         ends = [(a, b) for a, b in hits.get("street", ()) if b == len(t) or not (t[b].isalnum() or t[b] == "_")]
         for m in self._near(_STREET, t, ends, 160, 40):
-            if not any(w.lower() in _NO_STREET for w in re.findall(r"[^\W\d_]+", m[0])[:-1]):
+            if not any(w.lower() in _NO_STREET for w in re.findall(r"(?<!\w)[^\W\d_]+", m[0])[:-1]):
                 yield m.span()
         for m in self._near(_OTHER_STREET, t, hits.get("other_street", ()), 100, 80):
             yield m.span()

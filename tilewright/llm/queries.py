@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.consolidate import matched_groups
 from tilewright.llm.cutoff import kept_fraction, with_source
-from tilewright.llm.leaks import leaked_passages
+from tilewright.llm.leaks import leaked_passages, reparameterised
 from tilewright.llm.pii import mask_personal, personal_places
 from tilewright.llm.pieces import image_sizes, oversized_pieces
 from tilewright.llm.splits import picture_groups, split_of
@@ -75,6 +75,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_reparameterised(spark: SparkSession, d: str) -> DataFrame:
+    return reparameterised(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return personal_places(table(spark, d, "documents"), table(spark, d, "person_names"))
 
@@ -96,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_ids": p8_ids,
         "p8_decoded": p8_decoded,
         "p9_found": p9_found,
+        "p9_reparameterised": p9_reparameterised,
         "p10_found": p10_found,
         "p10_masked": p10_masked,
     }
