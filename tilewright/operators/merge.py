@@ -111,12 +111,15 @@ def ranked(boxes: DataFrame, keys: list[str]) -> DataFrame:
 
 def fold_nms(boxes: DataFrame, keys: list[str], how: Merging) -> DataFrame:
     """Kept ids by one higher-order fold over each group's array, in rank order."""
-    item = F.struct((-F.col("score")).alias("s"), "x1", "y1", "x2", "y2", "id")
+    item = F.struct((-F.col("score")).alias("s"), "x1", "y1", "x2", "y2", "id", ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"))
     g = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("b"))
-    sides = lambda r: [r["x1"], r["y1"], r["x2"], r["y2"]]
-    from tilewright.functions import boxes as B
 
-    hit = lambda k, b: B.overlap(sides(k), sides(b), how.metric) >= how.threshold
+    def hit(k, b):
+        w, h = F.least(k["x2"], b["x2"]) - F.greatest(k["x1"], b["x1"]), F.least(k["y2"], b["y2"]) - F.greatest(k["y1"], b["y1"])
+        den = F.least(k["area"], b["area"]) if how.metric == "IOS" else k["area"] + b["area"] - w * h
+        # most pairs fall at the first of these
+        return (w > 0) & (h > 0) & (w * h / den >= how.threshold)
+
     empty = F.slice("b", 1, 0)
     kept = F.aggregate("b", empty, lambda acc, b: F.when(F.exists(acc, lambda k: hit(k, b)), acc).otherwise(F.array_append(acc, b)))
     return g.select(*keys, F.explode(kept).alias("k")).select(*keys, F.col("k.id").alias("id"))
