@@ -31,27 +31,62 @@ def _match(one: np.ndarray, many: np.ndarray, metric: str, thr: float, strict: b
     return v > thr if strict else v >= thr
 
 
-class _Strips:
-    """Ranked boxes by x interval: candidates that can touch a box at all, in rank order."""
-
-    def __init__(self, box: np.ndarray) -> None:
-        self.width = max(1.0, float(np.median(box[:, 2] - box[:, 0])) * 4) if len(box) else 1.0
-        lo, hi = np.floor(box[:, 0] / self.width).astype(np.int64), np.floor(box[:, 2] / self.width).astype(np.int64)
-        n = np.minimum(hi - lo + 1, 1 << 16)
-        who = np.repeat(np.arange(len(box)), n)
-        strip = np.repeat(lo, n) + np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-        o = np.lexsort((who, strip))
-        self.strip, self.who, self.lo, self.hi = strip[o], who[o], lo, hi
-        self.first = {int(s): i for i, s in reversed(list(enumerate(self.strip)))}
-        self.ends = np.append(np.flatnonzero(np.diff(self.strip)) + 1, len(self.strip)) if len(o) else EMPTY
-
-    def near(self, i: int) -> np.ndarray:
-        parts = []
-        for s in range(int(self.lo[i]), int(self.hi[i]) + 1):
-            a = self.first.get(s)
-            if a is not None:
-                parts.append(self.who[a : self.ends[np.searchsorted(self.ends, a, "right")]])
-        return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)) if parts else EMPTY
+#: Pairs looked at in one go; bounds the kernel's memory. Cells above which a box is compared with all others instead.
+CHUNK, MANY_CELLS = 1 << 20, 1 << 10
+
+
+def match_edges(b: np.ndarray, metric: str, thr: float, strict: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j, of the boxes that match, for a threshold that disjoint boxes cannot reach. Boxes meet in grid cells about
+    twice their usual size; a pair counts in the cell of its intersection's corner. Sorted by i, then j."""
+    n = len(b)
+    if n < 2:
+        return EMPTY, EMPTY
+    side = max(1.0, 2 * float(np.median(np.maximum(b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]))))
+    lo, hi = np.floor(b[:, :2] / side).astype(np.int64), np.floor(b[:, 2:] / side).astype(np.int64)
+    span = np.maximum(hi - lo + 1, 0)
+    cells = span[:, 0] * span[:, 1]
+    wide = cells > MANY_CELLS
+    out = []
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        w = np.minimum(b[i, 2], b[j, 2]) - np.maximum(b[i, 0], b[j, 0])
+        h = np.minimum(b[i, 3], b[j, 3]) - np.maximum(b[i, 1], b[j, 1])
+        inter = np.maximum(w, 0) * np.maximum(h, 0)
+        ai, aj = ((b[k, 2] - b[k, 0]) * (b[k, 3] - b[k, 1]) for k in (i, j))
+        den = ai + aj - inter if metric == "IOU" else np.minimum(ai, aj)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            v = np.where(den > 0, inter / den, 0.0)
+        ok = v > thr if strict else v >= thr
+        out.append((i[ok], j[ok]))
+
+    for i in np.flatnonzero(wide):
+        j = np.arange(n)
+        j = j[(j != i) & (~wide | (j > i))]
+        keep(np.minimum(i, j), np.maximum(i, j))
+    who = np.repeat(np.flatnonzero(~wide), cells[~wide])
+    k = np.arange(len(who)) - np.repeat(np.cumsum(cells[~wide]) - cells[~wide], cells[~wide])
+    cx, cy = lo[who, 0] + k % span[who, 0], lo[who, 1] + k // span[who, 0]
+    o = np.lexsort((who, cx, cy))
+    who, cx, cy = who[o], cx[o], cy[o]
+    new = np.flatnonzero((np.diff(cx) != 0) | (np.diff(cy) != 0)) + 1
+    end = np.repeat(np.append(new, len(who)), np.diff(np.concatenate([[0], new, [len(who)]])))
+    after = end - np.arange(len(who)) - 1
+    at = 0
+    total = np.cumsum(after)
+    while at < len(who):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK, "right")))
+        m = after[at:to]
+        p = np.repeat(np.arange(at, to), m)
+        q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(m) - m, m)
+        i, j = who[p], who[q]
+        here = (np.floor(np.maximum(b[i, 0], b[j, 0]) / side) == cx[p]) & (np.floor(np.maximum(b[i, 1], b[j, 1]) / side) == cy[p])
+        keep(i[here], j[here])
+        at = to
+    if not out:
+        return EMPTY, EMPTY
+    i, j = (np.concatenate(x) for x in zip(*out, strict=True))
+    o = np.lexsort((j, i))
+    return i[o], j[o]
 
 
 def greedy(box: np.ndarray, score: np.ndarray, metric: str = "IOU", thr: float = 0.5, strict: bool = False) -> np.ndarray:
@@ -61,21 +96,17 @@ def greedy(box: np.ndarray, score: np.ndarray, metric: str = "IOU", thr: float =
     n = len(box)
     rank = np.argsort(-score, kind="stable") if strict else order(box, score)
     if thr <= 0 and not strict:
-        out = np.full(n, rank[0] if n else 0)
-        return out
-    b = box[rank]
-    owner = np.full(n, -1, np.int64)
-    strips = _Strips(b) if n > 256 else None
-    for i in range(n):
-        if owner[i] >= 0:
-            continue
-        owner[i] = i
-        c = strips.near(i) if strips else np.arange(i + 1, n)
-        c = c[(c > i) & (owner[c] < 0)]
-        if len(c):
-            owner[c[_match(b[i], b[c], metric, thr, strict)]] = i
+        return np.full(n, rank[0] if n else 0)
+    i, j = match_edges(box[rank], metric, thr, strict)
+    owner = list(range(n))
+    later, at = j.tolist(), np.searchsorted(i, np.arange(n + 1)).tolist()
+    for k in range(n):
+        if owner[k] == k:
+            for m in later[at[k] : at[k + 1]]:
+                if owner[m] == m:
+                    owner[m] = k
     out = np.empty(n, np.int64)
-    out[rank] = rank[owner]
+    out[rank] = rank[np.array(owner, np.int64)]
     return out
 
 
@@ -85,26 +116,24 @@ def transitive(box: np.ndarray, score: np.ndarray, metric: str = "IOU", thr: flo
     n = len(box)
     rank = order(box, score)
     b, s = box[rank], score[rank]
-    parent = np.full(n, -1, np.int64)
+    parent = np.full(n, n, np.int64)
     if thr <= 0:
         if n:
             same = np.all(b == b[0], axis=1) & (s == s[0])
             parent[(s < s[0]) | same] = 0
-            parent[0] = -1
+            parent[0] = n
     else:
-        strips = _Strips(b) if n > 256 else None
-        for i in range(n):
-            c = strips.near(i) if strips else np.arange(i + 1, n)
-            c = c[(c > i) & (parent[c] < 0)]
-            if len(c):
-                m = _match(b[i], b[c], metric, thr) & ((s[c] < s[i]) | np.all(b[c] == b[i], axis=1))
-                parent[c[m]] = i
-    root = np.arange(n)
-    for i in range(n):
-        if parent[i] >= 0:
-            root[i] = root[parent[i]]
+        i, j = match_edges(b, metric, thr)
+        ok = (s[i] > s[j]) | np.all(b[i] == b[j], axis=1)
+        np.minimum.at(parent, j[ok], i[ok])
+    root = np.where(parent < n, parent, np.arange(n))
+    while True:
+        up = root[root]
+        if (up == root).all():
+            break
+        root = up
     out, claim = np.empty(n, np.int64), np.empty(n, np.int64)
-    out[rank], claim[rank] = rank[root], parent
+    out[rank], claim[rank] = rank[root], np.where(parent < n, parent, -1)
     return out, claim
 
 
@@ -118,16 +147,21 @@ def fold(box: np.ndarray, score: np.ndarray, category: np.ndarray, owner: np.nda
     """Members in order grow their keeper: the union box, the greater score, the category of the higher score (the member's on
     a tie), if they still overlap the grown box by more than thr; others are dropped. Returns corners, scores, categories and
     the number merged, by position; only keepers' rows mean anything."""
-    b, s, c, k = box.copy(), score.copy(), category.copy(), np.zeros(len(box), np.int64)
-    for m in members:
-        o = owner[m]
-        if _match(b[o], box[m : m + 1], metric, thr, strict=True)[0]:
-            b[o, :2], b[o, 2:] = np.minimum(b[o, :2], box[m, :2]), np.maximum(b[o, 2:], box[m, 2:])
+    b, s, c, k = box.tolist(), score.tolist(), category.tolist(), [0] * len(box)
+    old = box.tolist()
+    for m, o in zip(members.tolist(), owner[members].tolist(), strict=True):
+        g, x = b[o], old[m]
+        w, h = min(g[2], x[2]) - max(g[0], x[0]), min(g[3], x[3]) - max(g[1], x[1])
+        inter = w * h if w > 0 and h > 0 else 0.0
+        ag, ax = (g[2] - g[0]) * (g[3] - g[1]), (x[2] - x[0]) * (x[3] - x[1])
+        den = ag + ax - inter if metric == "IOU" else min(ag, ax)
+        if den > 0 and inter / den > thr:
+            b[o] = [min(g[0], x[0]), min(g[1], x[1]), max(g[2], x[2]), max(g[3], x[3])]
             if not s[o] > score[m]:
-                c[o] = category[m]
-            s[o] = max(s[o], score[m])
+                c[o] = int(category[m])
+            s[o] = max(s[o], float(score[m]))
             k[o] += 1
-    return b, s, c, k
+    return np.array(b, float).reshape(-1, 4), np.array(s, float), np.array(c), np.array(k, np.int64)
 
 
 def union_merge(box: np.ndarray, score: np.ndarray, metric: str, thr: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
