@@ -62,27 +62,41 @@ def match_image(near: list[list[tuple[int, float]]], crowd: Sequence[bool], igno
     return out
 
 
-_OUT = pa.schema([("category_id", pa.int32()), ("id", pa.int64()), ("score", pa.float64()), ("area_lbl", pa.string()), ("tp", pa.list_(pa.bool_())), ("ignored", pa.list_(pa.bool_())), ("gt_id", pa.list_(pa.int64()))])
+#: tp and ignored hold a bit for each threshold; gt_id, an element for each, is given for the area label "all" only.
+_OUT = pa.schema([("category_id", pa.int32()), ("id", pa.int64()), ("score", pa.float64()), ("area_lbl", pa.string()), ("tp", pa.int32()), ("ignored", pa.int32()), ("gt_id", pa.list_(pa.int64()))])
+_OUT_DDL = "category_id int, id bigint, score double, area_lbl string, tp int, ignored int, gt_id array<bigint>"
 
 
 def _matcher(thresholds: Sequence[float], ranges: list[tuple[float, float]]):
     least = min(min(thresholds), 1 - 1e-10)
     k = len(thresholds)
+    none, nothing = [-1] * k, [None] * 512
 
     def one(det: np.ndarray, ids: list[int], gt: np.ndarray, gid: list[int], crowd: np.ndarray, garea: np.ndarray):
         darea = (det[:, 2] - det[:, 0]) * (det[:, 3] - det[:, 1])
         near = _near(det, gt, crowd, least) if len(gt) else [[] for _ in ids]
         busy = [d for d, c in enumerate(near) if c]
         crowds = crowd.tolist()
-        for lo, hi in ranges:
-            outside = ((darea < lo) | (darea > hi)).tolist()
-            tp, skip, to = [[False] * k for _ in ids], [[o] * k for o in outside], [[-1] * k for _ in ids]
+        everywhere = (1 << k) - 1
+        for n, (lo, hi) in enumerate(ranges):
+            tp, skip = [0] * len(ids), np.where((darea < lo) | (darea > hi), everywhere, 0).tolist()
+            to = [none] * len(ids) if n == 0 else nothing[: len(ids)] if len(ids) <= len(nothing) else [None] * len(ids)
             if busy:
                 ign = (crowd | (garea < lo) | (garea > hi)).tolist()
+                if n == 0:
+                    for d in busy:
+                        to[d] = [-1] * k
                 for t, thr in enumerate(thresholds):
+                    bit = 1 << t
                     for d, m in zip(busy, match_image([near[d] for d in busy], crowds, ign, thr), strict=True):
                         if m >= 0:
-                            tp[d][t], skip[d][t], to[d][t] = not ign[m], ign[m], gid[m]
+                            if ign[m]:
+                                skip[d] |= bit
+                            else:
+                                tp[d] |= bit
+                                skip[d] &= ~bit
+                            if n == 0:
+                                to[d][t] = gid[m]
             yield tp, skip, to
 
     def f(dets: pa.Table, gts: pa.Table) -> pa.Table:
@@ -119,7 +133,7 @@ def top_detections(dets: DataFrame, n: int = MAX_DETECTIONS) -> DataFrame:
 
 
 def matches(dets: DataFrame, truth: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS, areas: Sequence[float] = AREAS, max_detections: int = MAX_DETECTIONS) -> DataFrame:
-    """(category_id, id, score, area_lbl, tp[], ignored[], gt_id[]), an element for each IoU threshold.
+    """(category_id, id, score, area_lbl, tp, ignored, gt_id[]): a bit, or an element, for each IoU threshold.
 
     dets(id, image_id, category_id, score, x1..y2); truth(id, image_id, category_id, iscrowd, x1..y2). Each image and category
     is matched by itself, its best max_detections only; many of them share an Arrow batch, by a hash whose range follows the shuffle partitions."""
@@ -132,7 +146,7 @@ def matches(dets: DataFrame, truth: DataFrame, thresholds: Sequence[float] = IOU
     f = _matcher(thresholds, area_ranges(areas))
     n = 8 * int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = F.pmod(F.xxhash64("image_id", "category_id"), F.lit(n)).alias("bucket")
-    return d.groupBy(by).cogroup(g.groupBy(by)).applyInArrow(f, "category_id int, id bigint, score double, area_lbl string, tp array<boolean>, ignored array<boolean>, gt_id array<bigint>")
+    return d.groupBy(by).cogroup(g.groupBy(by)).applyInArrow(f, _OUT_DDL)
 
 
 def truth_counts(truth: DataFrame, areas: Sequence[float] = AREAS) -> DataFrame:
@@ -146,19 +160,22 @@ def truth_counts(truth: DataFrame, areas: Sequence[float] = AREAS) -> DataFrame:
 def pr_points(m: DataFrame, npig: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS) -> DataFrame:
     """(category_id, area_lbl, iou_thr, tp, fp, npig) after each counted detection.
 
-    The running sums have two levels: within a bucket of scores, and over the buckets' totals, so that a category with most of
+    All thresholds are summed in one pass over the detections, and exploded only behind it. The running sums have two levels: within a bucket of scores, and over the buckets' totals, so that a category with most of
     the detections is summed by as many tasks as it has buckets."""
-    each = m.select("category_id", "area_lbl", "score", "id", F.posexplode(F.arrays_zip("tp", "ignored")).alias("k", "z")).filter("not z.ignored")
-    each = each.withColumn("iou_thr", F.element_at(F.array(*[F.lit(float(t)) for t in thresholds]), F.col("k") + 1)).withColumn("hit", F.col("z.tp").cast("int"))
+    t = range(len(thresholds))
+    bit = lambda c, k: F.getbit(F.col(c), F.lit(k)).cast("int")
+    hit, seen = [f"t{k}" for k in t], [f"n{k}" for k in t]
+    each = m.select("category_id", "area_lbl", "score", "id", *[(bit("tp", k) * (1 - bit("ignored", k))).alias(hit[k]) for k in t], *[(1 - bit("ignored", k)).alias(seen[k]) for k in t])
     each = each.withColumn("b", F.greatest(F.lit(0), F.least(F.lit(BUCKETS), F.floor(F.col("score") * BUCKETS).cast("int"))))
-    key = ["category_id", "area_lbl", "iou_thr"]
-    totals = each.groupBy(*key, "b").agg(F.sum("hit").alias("bt"), F.count("*").alias("bn"))
+    key, sums = ["category_id", "area_lbl"], [*hit, *seen]
+    totals = each.groupBy(*key, "b").agg(*[F.sum(c).alias(c) for c in sums])
     before = Window.partitionBy(*key).orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*key, "b", F.coalesce(F.sum("bt").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("n0"))
+    offsets = totals.select(*key, "b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"o_{c}") for c in sums])
     within = Window.partitionBy(*key, "b").orderBy(F.col("score").desc(), "id").rowsBetween(Window.unboundedPreceding, 0)
-    run = each.select(*key, "b", F.sum("hit").over(within).alias("t"), F.count("*").over(within).alias("n"))
-    p = run.join(offsets, [*key, "b"]).select(*key, (F.col("t") + F.col("t0")).alias("tp"), (F.col("n") + F.col("n0") - F.col("t") - F.col("t0")).alias("fp"))
-    return p.join(F.broadcast(npig), ["category_id", "area_lbl"])
+    run = each.select(*key, "b", *[F.sum(c).over(within).alias(c) for c in sums]).join(offsets, [*key, "b"])
+    point = lambda k: F.struct(F.lit(float(thresholds[k])).alias("iou_thr"), (F.col(hit[k]) + F.col(f"o_{hit[k]}")).alias("tp"), (F.col(seen[k]) + F.col(f"o_{seen[k]}")).alias("n"))
+    p = run.select(*key, F.explode(F.array(*[point(k) for k in t])).alias("z")).select(*key, "z.iou_thr", "z.tp", (F.col("z.n") - F.col("z.tp")).alias("fp")).filter("tp + fp > 0")
+    return p.join(F.broadcast(npig), key)
 
 
 def pr_curve(m: DataFrame, npig: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS) -> DataFrame:
@@ -172,7 +189,8 @@ def pr_curve(m: DataFrame, npig: DataFrame, thresholds: Sequence[float] = IOU_TH
 
 
 def max_recall(m: DataFrame, npig: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS) -> DataFrame:
-    each = m.select("category_id", "area_lbl", F.posexplode("tp").alias("k", "hit")).groupBy("category_id", "area_lbl", "k").agg(F.sum(F.col("hit").cast("int")).alias("tp"))
+    sums = m.groupBy("category_id", "area_lbl").agg(*[F.sum((F.getbit("tp", F.lit(k)).cast("int")) * (1 - F.getbit("ignored", F.lit(k)).cast("int"))).alias(str(k)) for k in range(len(thresholds))])
+    each = sums.select("category_id", "area_lbl", F.posexplode(F.array(*[F.col(str(k)) for k in range(len(thresholds))])).alias("k", "tp"))
     grid = npig.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(thresholds) - 1))).alias("k"))
     r = grid.join(each, ["category_id", "area_lbl", "k"], "left")
     return r.select("category_id", "area_lbl", F.element_at(F.array(*[F.lit(float(t)) for t in thresholds]), F.col("k") + 1).alias("iou_thr"), (F.coalesce("tp", F.lit(0)) / F.col("npig")).alias("recall"))

@@ -17,7 +17,7 @@ from tilewright.operators import tiling as T
 from tilewright.operators.merge import Merging, groups, merged, nms, ranked
 from tilewright.operators.overlap import grid_pairs, mean_degree
 from tilewright.plans.views import ctes, dataset, view
-from tilewright.session import table
+from tilewright.session import Scratch, table
 from tilewright.sources import coco, media, yolo
 from tilewright.streaming.frames import counts_by_window
 
@@ -753,8 +753,9 @@ curve AS (SELECT g.category_id, g.thr AS iou_thr, g.k::INT AS rec_pct, coalesce(
 
 
 def _eval(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Matches are written once, since curves and recalls both read them."""
     truth = view(spark, d, "v_truth")
-    return E.matches(view(spark, d, "v_preds"), truth), E.truth_counts(truth)
+    return Scratch(spark, "eval").write(E.matches(view(spark, d, "v_preds"), truth)), E.truth_counts(truth)
 
 
 @query("eval_matches", f"{_EV}, {_MATCH} SELECT id, thr AS iou_thr, gt_id FROM m")
