@@ -55,7 +55,7 @@ def test_known_cases(spark):
 
 
 @pytest.mark.parametrize("metric", M.METRICS)
-@pytest.mark.parametrize(("n", "spread"), [(0, 10), (1, 10), (40, 100), (300, 200)])
+@pytest.mark.parametrize(("n", "spread"), [(0, 10), (120, 120)])
 def test_strategies_agree(spark, metric, n, spread):
     df = frame(spark, rand(n, spread, n)) if n else spark.createDataFrame([], SCHEMA)
     for method in ("greedy_nmm", "nmm"):

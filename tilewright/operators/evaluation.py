@@ -24,22 +24,6 @@ def area_ranges(areas: Sequence[float] = AREAS) -> list[tuple[float, float]]:
     return [(0.0, c), (0.0, a), (a, b), (b, c)]
 
 
-def _near(det: np.ndarray, gt: np.ndarray, crowd: np.ndarray, least: float) -> list[list[tuple[int, float]]]:
-    """For each detection the ground truth it overlaps by at least ``least``, in order, with the overlap (with a crowd: of the detection's area)."""
-    w = np.minimum(det[:, None, 2], gt[None, :, 2]) - np.maximum(det[:, None, 0], gt[None, :, 0])
-    h = np.minimum(det[:, None, 3], gt[None, :, 3]) - np.maximum(det[:, None, 1], gt[None, :, 1])
-    inter = np.maximum(w, 0) * np.maximum(h, 0)
-    da = (det[:, 2] - det[:, 0]) * (det[:, 3] - det[:, 1])
-    ga = (gt[:, 2] - gt[:, 0]) * (gt[:, 3] - gt[:, 1])
-    den = np.where(crowd[None, :], da[:, None], da[:, None] + ga[None, :] - inter)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        iou = np.where(den > 0, inter / den, 0.0)
-    out: list[list[tuple[int, float]]] = [[] for _ in range(len(det))]
-    for d, g in zip(*np.nonzero(iou >= least), strict=True):
-        out[d].append((int(g), float(iou[d, g])))
-    return out
-
-
 def match_image(near: list[list[tuple[int, float]]], crowd: Sequence[bool], ignore: Sequence[bool], thr: float) -> list[int]:
     """For each detection, in order, the ground truth it takes or -1: the best free one of at least thr, a real one before an
     ignored one, the later of equals; crowds can be taken again."""
@@ -67,62 +51,80 @@ _OUT = pa.schema([("category_id", pa.int32()), ("id", pa.int64()), ("score", pa.
 _OUT_DDL = "category_id int, id bigint, score double, area_lbl string, tp int, ignored int, gt_id array<bigint>"
 
 
+def _codes(d: pa.Table, g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """One number per (image, category), common to both tables."""
+    n = d.num_rows
+    part = []
+    for c in ("image_id", "category_id"):
+        both = np.concatenate([np.asarray(d.column(c), np.int64), np.asarray(g.column(c), np.int64)])
+        part.append(np.unique(both, return_inverse=True)[1])
+    code = part[0] * (int(part[1].max(initial=0)) + 1) + part[1]
+    return code[:n], code[n:]
+
+
 def _matcher(thresholds: Sequence[float], ranges: list[tuple[float, float]]):
-    least = min(min(thresholds), 1 - 1e-10)
-    k = len(thresholds)
-    none, nothing = [-1] * k, [None] * 512
-
-    def one(det: np.ndarray, ids: list[int], gt: np.ndarray, gid: list[int], crowd: np.ndarray, garea: np.ndarray):
-        darea = (det[:, 2] - det[:, 0]) * (det[:, 3] - det[:, 1])
-        near = _near(det, gt, crowd, least) if len(gt) else [[] for _ in ids]
-        busy = [d for d, c in enumerate(near) if c]
-        crowds = crowd.tolist()
-        everywhere = (1 << k) - 1
-        for n, (lo, hi) in enumerate(ranges):
-            tp, skip = [0] * len(ids), np.where((darea < lo) | (darea > hi), everywhere, 0).tolist()
-            to = [none] * len(ids) if n == 0 else nothing[: len(ids)] if len(ids) <= len(nothing) else [None] * len(ids)
-            if busy:
-                ign = (crowd | (garea < lo) | (garea > hi)).tolist()
-                if n == 0:
-                    for d in busy:
-                        to[d] = [-1] * k
-                for t, thr in enumerate(thresholds):
-                    bit = 1 << t
-                    for d, m in zip(busy, match_image([near[d] for d in busy], crowds, ign, thr), strict=True):
-                        if m >= 0:
-                            if ign[m]:
-                                skip[d] |= bit
-                            else:
-                                tp[d] |= bit
-                                skip[d] &= ~bit
-                            if n == 0:
-                                to[d][t] = gid[m]
-            yield tp, skip, to
+    """Pairs of a bucket are found all at once. A pair of which neither side overlaps anything else is settled by comparing its
+    overlap with the thresholds; only what competes is matched one by one."""
+    cuts = [min(t, 1 - 1e-10) for t in thresholds]
+    k = len(cuts)
+    everywhere = (1 << k) - 1
 
     def f(dets: pa.Table, gts: pa.Table) -> pa.Table:
-        by = [("image_id", "ascending"), ("category_id", "ascending")]
-        dets, gts = dets.sort_by([*by, ("score", "descending"), ("id", "ascending")]), gts.sort_by([*by, ("id", "ascending")])
         corner = lambda t: np.stack([np.asarray(t.column(c), np.float64) for c in ("x1", "y1", "x2", "y2")], axis=1).reshape(-1, 4)
-        d, g = corner(dets), corner(gts)
-        ids, cats, scores = (dets.column(c).to_pylist() for c in ("id", "category_id", "score"))
-        gid = gts.column("id").to_pylist()
-        crowd, garea = np.asarray(gts.column("iscrowd")).astype(bool), np.asarray(gts.column("area"), np.float64)
-        spans: dict[tuple[int, int], list[int]] = {}
-        for n, key in enumerate(zip(gts.column("image_id").to_pylist(), gts.column("category_id").to_pylist(), strict=True)):
-            spans.setdefault(key, [n, n])[1] = n + 1
-        keys = list(zip(dets.column("image_id").to_pylist(), cats, strict=True))
-        cols: list[list] = [[] for _ in _OUT]
-        a = 0
-        while a < len(keys):
-            b = a + 1
-            while b < len(keys) and keys[b] == keys[a]:
-                b += 1
-            u, v = spans.get(keys[a], (0, 0))
-            for label, (tp, skip, to) in zip(AREA_LABELS, one(d[a:b], ids[a:b], g[u:v], gid[u:v], crowd[u:v], garea[u:v]), strict=False):
-                for c, x in zip(cols, (cats[a:b], ids[a:b], scores[a:b], [label] * (b - a), tp, skip, to), strict=True):
-                    c.extend(x)
-            a = b
-        return pa.table([pa.array(c, t.type) for c, t in zip(cols, _OUT, strict=True)], schema=_OUT)
+        dcode, gcode = _codes(dets, gts)
+        do = np.lexsort((np.asarray(dets.column("id")), -np.asarray(dets.column("score")), dcode))
+        go = np.lexsort((np.asarray(gts.column("id")), gcode))
+        dets, dcode, gts, gcode = dets.take(pa.array(do)), dcode[do], gts.take(pa.array(go)), gcode[go]
+        d, g, nd = corner(dets), corner(gts), len(dcode)
+        crowd, gid = np.asarray(gts.column("iscrowd")).astype(bool), np.asarray(gts.column("id"), np.int64)
+        garea, darea = np.asarray(gts.column("area"), np.float64), (d[:, 2] - d[:, 0]) * (d[:, 3] - d[:, 1])
+        first = np.searchsorted(gcode, dcode, "left")
+        n = np.searchsorted(gcode, dcode, "right") - first
+        di = np.repeat(np.arange(nd), n)
+        gi = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(di))
+        w = np.minimum(d[di, 2], g[gi, 2]) - np.maximum(d[di, 0], g[gi, 0])
+        h = np.minimum(d[di, 3], g[gi, 3]) - np.maximum(d[di, 1], g[gi, 1])
+        inter = np.maximum(w, 0) * np.maximum(h, 0)
+        own = (g[:, 2] - g[:, 0]) * (g[:, 3] - g[:, 1])
+        den = np.where(crowd[gi], darea[di], darea[di] + own[gi] - inter)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            iou = np.where(den > 0, inter / den, 0.0)
+        near = iou >= min(cuts)
+        di, gi, iou = di[near], gi[near], iou[near]
+        alone = (np.bincount(di, minlength=nd)[di] == 1) & (np.bincount(gi, minlength=len(gcode))[gi] == 1)
+        hits = np.zeros(len(di), np.int64)
+        for t, cut in enumerate(cuts):
+            hits |= (iou >= cut).astype(np.int64) << t
+        sd, sg, sh = di[alone], gi[alone], hits[alone]
+        rest: dict[int, dict[int, list[tuple[int, float]]]] = {}
+        for a, b, v in zip(di[~alone].tolist(), gi[~alone].tolist(), iou[~alone].tolist(), strict=True):
+            rest.setdefault(int(dcode[a]), {}).setdefault(a, []).append((b, v))
+        crowds, to = crowd.tolist(), np.full((nd, k), -1, np.int64)
+        tps, skips = [], []
+        for r, (lo, hi) in enumerate(ranges):
+            ign = crowd | (garea < lo) | (garea > hi)
+            tp, skip = np.zeros(nd, np.int32), np.where((darea < lo) | (darea > hi), everywhere, 0).astype(np.int32)
+            tp[sd] = np.where(ign[sg], 0, sh)
+            skip[sd] = np.where(ign[sg], skip[sd] | sh, skip[sd] & ~sh)
+            if r == 0:
+                to[sd] = np.where((sh[:, None] >> np.arange(k)) & 1, gid[sg][:, None], -1)
+            ignored = ign.tolist()
+            for group in rest.values():
+                who = list(group)
+                for t, cut in enumerate(cuts):
+                    for a, m in zip(who, match_image(list(group.values()), crowds, ignored, cut), strict=True):
+                        if m >= 0:
+                            if ignored[m]:
+                                skip[a] |= 1 << t
+                            else:
+                                tp[a] |= 1 << t
+                                skip[a] &= ~(1 << t)
+                            if r == 0:
+                                to[a, t] = gid[m]
+            tps.append(tp), skips.append(skip)
+        gt_ids = pa.concat_arrays([pa.ListArray.from_arrays(pa.array(np.arange(nd + 1) * k, pa.int32()), pa.array(to.ravel())), pa.nulls(nd * (len(ranges) - 1), pa.list_(pa.int64()))])
+        rep = lambda c, t: pa.concat_arrays([pa.array(np.asarray(dets.column(c)), t)] * len(ranges))
+        return pa.table([rep("category_id", pa.int32()), rep("id", pa.int64()), rep("score", pa.float64()), pa.array(np.repeat(AREA_LABELS[: len(ranges)], nd).tolist(), pa.string()), pa.array(np.concatenate(tps)), pa.array(np.concatenate(skips)), gt_ids], schema=_OUT)
 
     return f
 
