@@ -5,12 +5,12 @@ import pytest
 from tilewright.operators.references import orphan_references, target_intervals
 
 T = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
-REFS = "rid int, key bigint, sub string, at timestamp, loaded_at string"
+REFS = "rid int, key bigint, sub string, at timestamp, loaded_at string, t0 string, t1 string, id string"
 TARGETS = "id bigint, part string, loaded_at timestamp, deleted_at timestamp, rid int"
 
 
 def refs(spark, rows):
-    return spark.createDataFrame([(*r, "x") for r in rows], REFS)
+    return spark.createDataFrame([(*r, "x", "y", "z", "w") for r in rows], REFS)
 
 
 def targets(spark, rows):
