@@ -65,11 +65,11 @@ def orphan_references(refs: DataFrame, targets: DataFrame, keys: dict[str, str],
             continue
         tk = [k for _, k in has]
         known = t.dropna(subset=tk)
-        spans = scratch.write(target_intervals(known, tk, "__since", "__until").withColumnsRenamed({"t0": "__t0", "t1": "__t1"}))
+        spans = scratch.write(target_intervals(known, tk, "__since", "__until").withColumnsRenamed({"t0": "__from", "t1": "__upto"}))
         first = scratch.write(known.groupBy(*tk).agg(F.min("__since").alias("__first")))
         hint = F.broadcast if fits_broadcast(first, 64 + 32 * len(tk)) and fits_broadcast(spans, 80 + 32 * len(tk)) else lambda d: d
         on = _equal([(F.col(c), F.col(k)) for c, k in has])
-        gone = part.join(hint(spans), on & (F.col("__t0") <= F.col(at)) & (F.col("__t1") > F.col(at)), "left_anti")
+        gone = part.join(hint(spans), on & (F.col("__from") <= F.col(at)) & (F.col("__upto") > F.col(at)), "left_anti")
         kinds = gone.join(hint(first.withColumn("__there", F.lit(True))), on, "left").withColumn("orphan_kind", F.when(F.col("__there").isNull(), "missing").when(F.col("__first") > F.col(at), "late").when(F.col(at).isNotNull(), "deleted"))
         out.append(kinds.filter("orphan_kind is not null").drop(*tk, "__first", "__there"))
     if not out:
