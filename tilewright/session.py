@@ -18,7 +18,7 @@ _made: dict[str, str] = {}
 
 def local_session(cores: str = "8", shuffle: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tilewright")
         .config("spark.driver.memory", memory)
@@ -29,16 +29,19 @@ def local_session(cores: str = "8", shuffle: int = 8, memory: str = "8g") -> Spa
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to executors that do not share the driver's file system; once a session, a no-op in local mode."""
+    """Sends this package to Python workers, which need not share the driver's file system or working folder; once an application."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or _made.get("shipped") == sc.applicationId:
+    if _made.get("shipped") == sc.applicationId:
         return
     _made["shipped"] = sc.applicationId
     path = Path(tempfile.mkdtemp()) / "tilewright.zip"
