@@ -164,6 +164,29 @@ def test_spelled_digits(finder):
     assert n.text == "dial 1 2 0 2 5 5 5 0 1 4 22 today" and t[n.source(n.text.index("22")) : n.after(n.text.index("22") + 2)] == "double two"
 
 
+SPELLED = ["two oh two five five five oh one seven five", "five five five zero one four eight", "plus one two oh two five five five oh one two three", "+one two oh two five five five oh one two three", "two-oh-two-five-five-five-oh-one-seven-five", "Two oh two, five five five,\noh one seven five", "t\u200bwo&nbsp;oh two five five five oh one seven five", "oh seven seven double oh nine double oh eight double two", "triple five zero one four eight"]
+
+
+@pytest.mark.parametrize("p", SPELLED)
+def test_spelled_phones(finder, p):
+    for around in ("call on {} at night", "| tel = {}\n| mail", "{}", "{} (office), {}"):
+        assert found(finder, around.format(p, p)) == [(p, "phone")] * around.count("{}"), around
+        assert finder.mask(around.format(p, p)) == around.format("[PHONE]", "[PHONE]"), around
+
+
+@pytest.mark.parametrize("i", ["nine nine two two seven nine one one nine", "zero four two oh five seven seven seven two two seven E", "NZ six nine three four seven eight one three nine", "QR six zero three seven zero four C"])
+def test_spelled_identities(finder, i):
+    for around in ("with id# {}, then", "national insurance no. {} -->", "passport number {}"):
+        assert found(finder, around.format(i)) == [(i, "identity_no")], around
+
+
+def test_spelled_neighbours_and_decoys(finder):
+    a, b = SPELLED[0], "four one five five five five oh one five five"
+    assert found(finder, f"{a}, {b}") == [(a, "phone"), (b, "phone")]
+    for t in ("one two three four five six seven eight nine", "one, two, three, four and five six", "the stone nine two three"):
+        assert finder.find(t) == []
+
+
 IDS = ["04 2057 77227 E", "83970077036", "992-27-9119", "763.602.764-44", "NZ-6934-7813-9", "QR603704C"]
 
 

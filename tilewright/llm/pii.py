@@ -6,6 +6,7 @@ import html
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,8 +40,10 @@ _ONE_TO_ONE = _table()
 _GONE = "­​‌‍⁠﻿"
 #: Digits in words.
 _DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_SPELLED = re.compile(r"\b(?:(?:double|triple)[ \-]+)?(?:{0})(?:[ ,\-]+(?:(?:double|triple)[ \-]+)?(?:{0})\b){{6,}}".format("|".join(_DIGIT_WORDS)), re.I)
-_REPEAT = re.compile(r"(?:(double|triple)[ \-]+)?({})".format("|".join(_DIGIT_WORDS)), re.I)
+_SPELLED = re.compile(r"\b(?:plus[\s\-]{{1,4}})?(?:(?:double|triple)[\s\-]{{1,4}})?(?:{0})(?:[\s,.\-/]{{1,4}}(?:(?:double|triple)[\s\-]{{1,4}})?(?:{0})\b){{1,}}".format("|".join(_DIGIT_WORDS)), re.I)
+_REPEAT = re.compile(r"\bplus\b|(?:(double|triple)[\s\-]+)?({})".format("|".join(_DIGIT_WORDS)), re.I)
+#: Fewer digits in words are no number.
+_LEAST_SPELLED = 6
 _REWRITE = re.compile(rf"[{_GONE}]|&(?:#\d{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[a-zA-Z]{{2,10}});")
 _MAY_REWRITE = re.compile(rf"[{_GONE}&]")
 _TRANSLATED = re.compile("[" + re.escape("".join(map(chr, _ONE_TO_ONE))) + "]")
@@ -49,50 +52,70 @@ _TRANSLATED = re.compile("[" + re.escape("".join(map(chr, _ONE_TO_ONE))) + "]")
 class Normal:
     """A text in plain letters and the way back: ``source(i)`` is the source position of character i, ``after(i)`` that behind character i - 1."""
 
-    def __init__(self, text: str, spelled: bool = False) -> None:
+    def __init__(self, text: str, spelled: bool = False, gaps: bool = True) -> None:
+        """``spelled``: digits in words become digits, and what stands between them goes unless ``gaps``. ``runs`` then has
+        (from, places behind a gap that is more than one space or hyphen, to) of each row of such words."""
         self.text = text if text.isascii() else _TRANSLATED.sub(lambda m: _ONE_TO_ONE[ord(m[0])], text)
-        self.at = self.frm = None
+        self.layers: list[tuple[list, list]] = []
+        self.runs: list[tuple[int, list[int], int]] = []
         edits = []
         if _MAY_REWRITE.search(self.text):
             for m in _REWRITE.finditer(self.text):
                 new = "" if m[0][0] != "&" else html.unescape(m[0]).replace("\xa0", " ")
                 if new != m[0]:
                     edits.append((m.start(), m.end(), new))
+        self._edit(edits)
         if spelled:
-            for m in _SPELLED.finditer(self.text):
-                if any(a < m.end() and b > m.start() for a, b, _ in edits):
-                    continue
-                for w in _REPEAT.finditer(self.text, m.start(), m.end()):
-                    n = {"double": 2, "triple": 3}.get((w[1] or "").lower(), 1)
-                    edits.append((w.start(), w.end(), _DIGIT_WORDS[w[2].lower()] * n))
+            self._spell(gaps)
+
+    def _spell(self, gaps: bool) -> None:
+        edits, runs = [], []
+        for m in _SPELLED.finditer(self.text):
+            own, cuts = [], []
+            for w in _REPEAT.finditer(self.text, m.start(), m.end()):
+                if own and not gaps:
+                    own.append((own[-1][1], w.start(), ""))
+                    if self.text[own[-1][0] : w.start()] not in (" ", "-"):
+                        cuts.append(w.start())
+                own.append((w.start(), w.end(), _DIGIT_WORDS[w[2].lower()] * {"double": 2, "triple": 3}.get((w[1] or "").lower(), 1) if w[2] else "+"))
+            if _digits("".join(new for _, _, new in own)) >= _LEAST_SPELLED:
+                edits += own
+                runs.append((m.start(), cuts, m.end()))
+        ends = [b for _, b, _ in edits]
+        moved = [0, *accumulate(len(new) - (b - a) for a, b, new in edits)]
+        to = lambda p: p + moved[bisect_right(ends, p)]
+        self.runs = [(to(a), [to(c) for c in cuts], to(b)) for a, cuts, b in runs]
+        self._edit(edits)
+
+    def _edit(self, edits: list[tuple[int, int, str]]) -> None:
         if edits:
-            edits.sort()
-            out, self.at, self.frm, pos, size = [], [0], [0], 0, 0
+            out, at, frm, pos, size = [], [0], [0], 0, 0
             for a, b, new in edits:
                 out.append(self.text[pos:a])
                 size += a - pos
                 # each new character stands for all of the old ones
-                self.at.append(size), self.frm.append((a, b, len(new)))
+                at.append(size), frm.append((a, b, len(new)))
                 out.append(new)
                 size += len(new)
-                self.at.append(size), self.frm.append(b)
+                at.append(size), frm.append(b)
                 pos = b
             out.append(self.text[pos:])
             self.text = "".join(out)
+            self.layers.append((at, frm))
 
     def source(self, i: int) -> int:
-        if self.at is None:
-            return i
-        k = bisect_right(self.at, i) - 1
-        f = self.frm[k]
-        return f[0] if isinstance(f, tuple) else f + i - self.at[k]
+        for at, frm in reversed(self.layers):
+            k = bisect_right(at, i) - 1
+            f = frm[k]
+            i = f[0] if isinstance(f, tuple) else f + i - at[k]
+        return i
 
     def after(self, i: int) -> int:
-        if self.at is None:
-            return i
-        k = bisect_right(self.at, i - 1) - 1
-        f = self.frm[k]
-        return f[1] if isinstance(f, tuple) else f + i - self.at[k]
+        for at, frm in reversed(self.layers):
+            k = bisect_right(at, i - 1) - 1
+            f = frm[k]
+            i = f[1] if isinstance(f, tuple) else f + i - at[k]
+        return i
 
 
 # --- what identifiers look like ----------------------------------------------------------------------------------------
@@ -128,6 +151,9 @@ _PHONE = re.compile(
     r"|555-\d{4}"
     r")(?![\w]|[.\-/]\d)"
 )
+#: The same plans, and identity numbers, where the digits stand in words: nothing tells their groups.
+_SPOKEN_PHONE = re.compile(r"\+\s?\d{7,15}|1?[2-9]\d{2}[2-9]\d{6}|0\d{8,11}|555\d{4}")
+_SPOKEN_IDENTITY = re.compile(r"(?i:[A-Z]{2})[ \-]?(?:\d{9}(?![\w-])|\d{6}[ \-]?[A-Z]\b)|(?i:[A-Z]{1,2})[ \-]?\d{6,9}(?!\w)|\d{11}[ \-]?[B-HJ-Z]\b")
 _MAY_DIGITS = re.compile(r"\d[\d\s().\-/]{5,}\d")
 
 _NAME_WORD = r"[^\W\d_]+(?:[\-'’][^\W\d_]+)*"
@@ -154,7 +180,7 @@ _TRIGGERS = {
     "identity": ("passport", "identi", " id ", "id no", "id nr", "id num", "id card", "id:", "id#", " id\n", "i.d.", "national", "insurance", "social security", "ssn", "tax", " ni ", "nino", "personal"),
     "street": tuple(" " + w for w in "street st avenue ave road rd lane ln terrace close drive dr court ct square sq way boulevard blvd crescent row place garden gardens".split()),
     "other_street": ("rue ", "calle ", "avenida ", "plaza ", "paseo ", "avenue ", "boulevard ", "place ", "chemin ", "allée ", "straße ", "strasse ", "gasse ", "weg ", "platz ", "allee ", "sokak", "cadde", "bulvarı"),
-    "digit": tuple(" " + w for w in _DIGIT_WORDS),
+    "digit": tuple(x + w for x in " -,./\n\t" for w in _DIGIT_WORDS),
     "title": tuple(x + y for x in "mr mrs ms miss dr prof sir dame herr frau".split() for y in (" ", ".")),
 }
 _SEP = r"(?:[ \t]+|\s?\n[ \t]*(?!\n))"
@@ -233,10 +259,27 @@ class Finder:
 
     def identities(self, t: str, hits: dict) -> Iterator[tuple[int, int]]:
         for m in self._near(_CUE, t, hits.get("identity", ()), 12, 60):
-            if (v := _IDENTITY.match(t, m.end())) and _digits(v[0]) >= 6:
+            v = _SPOKEN_IDENTITY.match(t, m.end()) if "spoken" in hits else None
+            if v and any(a < v.end() and v.start() < b for a, _, b in hits["spoken"]):
+                yield v.span()
+            elif (v := _IDENTITY.match(t, m.end())) and _digits(v[0]) >= 6:
                 yield v.span()
 
     def phones(self, t: str, hits: dict) -> Iterator[tuple[int, int]]:
+        for a, cuts, b in hits.get("spoken", ()):
+            # a + in figures before the words belongs to them
+            a -= (t[a - 1 : a] == "+") or 2 * (t[a - 2 : a] == "+ " and a > 1)
+            ends = [*cuts, b]
+            at = 0
+            while at < len(ends):
+                # a number has at most 15 digits, so no more parts
+                for to in range(min(len(ends), at + 16) - 1, at - 1, -1):
+                    if _SPOKEN_PHONE.fullmatch(t, a, ends[to]):
+                        yield a, ends[to]
+                        at = to
+                        break
+                a = ends[at]
+                at += 1
         if not _MAY_DIGITS.search(t):
             return
         for m in _PHONE.finditer(t):
@@ -324,9 +367,11 @@ class Finder:
             return []
         n = Normal(text)
         hits = self.triggers(n.text)
-        if len(hits.get("digit", ())) >= 6 and _SPELLED.search(n.text):
-            n = Normal(text, spelled=True)
+        if len(hits.get("digit", ())) > 1 and any(self._near(_SPELLED, n.text, hits["digit"], 30, 30)):
+            n = Normal(text, spelled=True, gaps=False)
             hits = self.triggers(n.text)
+            if n.runs:
+                hits["spoken"] = n.runs
         taken: list[tuple[int, int, str]] = []
         for kind, found in zip(KINDS, (self.emails, self.identities, self.phones, self.addresses, self.names), strict=True):
             spans = sorted(set(found(n.text, hits)), key=lambda s: (s[0] - s[1], s[0]))
