@@ -119,6 +119,43 @@ def test_reparameterised(spark):
     assert (2, 1) not in got
 
 
+TWICE = "The kiln of Marormere held 719 workshops for 149 years, 27 of them quiet, and a courtyard of 83 stones was surveyed by 46 men before it fell; later Marormere lost 15 of 38 kilns."
+COPY = "The kiln of Selunaport held 33 workshops for 12 years, 51 of them quiet, and a courtyard of 62 stones was surveyed by 90 men before it fell."
+AROUND = "Brumwick Taldor venir oskel marnit pulder fendrick wostel narbit quendor hestil vorpen " * 4
+NUMBERED = "In 1801 there were 55 towers and 64 gates along the northern wall of the town where Marormere kept 719 barges and 81 mills beside 4 old bridges over the slow river."
+
+
+def changed_slots(spark, texts, item):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    it = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    return {r.doc_id: r.changed_slots for r in leaks.reparameterised(df, it).collect()}
+
+
+def test_reparameterised_inside_other_text(spark):
+    texts = [
+        COPY,
+        COPY + " " + AROUND,
+        AROUND + COPY + " " + AROUND,
+        COPY + " later Selunaport lost 77 of 44 kilns.",
+        # a run that holds both places has two values for one name; a shorter one is a passage too
+        COPY + " later Ostelberg lost 77 of 44 kilns.",
+    ]
+    assert changed_slots(spark, texts, TWICE) == {0: 6, 1: 6, 2: 6, 3: 8, 4: 8}
+
+
+
+def test_reparameterised_across_added_and_dropped_words(spark):
+    other = "In 1755 there were 12 towers and 31 gates along the northern wall of the town where Selunaport kept 33 barges and 17 mills beside 9 old bridges over the slow river."
+    texts = [other, other.replace("northern wall", "northern and wall"), other.replace("the northern wall", "the wall"), AROUND + other.replace("of the town", "of the small town") + " " + AROUND]
+    assert changed_slots(spark, texts, NUMBERED) == {k: 7 for k in range(4)}
+
+
+def test_reparameterised_needs_one_value_for_a_slot(spark):
+    item = "by 719 the mill held 719 barges and 719 towers near 719 gates while 719 bridges of the 719 wards fell into 719 parts of 719 stones"
+    same, parts = item.replace("719", "33"), item.split("719")
+    assert changed_slots(spark, [same, "".join(f"{p}{k + 10}" for k, p in enumerate(parts[:-1])) + parts[-1]], item) == {0: 1}
+
+
 def test_runs_kernel_counts_edits():
     a = np.arange(30)
     b = np.concatenate([a[:10], [99], a[11:20], a[21:]])
