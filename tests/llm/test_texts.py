@@ -184,6 +184,12 @@ def test_emails(finder, e):
         assert found(finder, around.format(e)) == [(e, "email")], around
 
 
+@pytest.mark.parametrize("at", ["( at )", "[ at ]", "{  AT }", "<at >", "(\tat\n)"])
+def test_emails_with_space_inside_the_brackets(finder, at):
+    for e in (f"john {at} mail.example", f"john{at}mail.example"):
+        assert found(finder, f"mail me: {e}, now") == [(e, "email")]
+
+
 PHONES = ["+1 202 555 0136", "(718) 555-0178", "+1-415-555-0155", "202.555.0175", "12025550140", "07700 900 822", "01632 960 689", "01632 960916", "+44 (0)20 7946 0416", "+44 7700 900938", "+49 30 23125 285", "030/23125858", "0 30 - 231 25 097", "555-0148", "０１６３２ ９６０９３２", "five five five zero one four eight"]
 
 

@@ -122,6 +122,7 @@ class Normal:
 
 _SHUT = r"[(\[{<]\s*%s\s*[)\]}>]"
 _AT_B, _DOT_B = _SHUT % "at", _SHUT % "(?:dot|punkt|point)"
+_SHUT_AT = re.compile(_AT_B, re.I)
 _LOCAL, _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9._+\-]*[A-Za-z0-9_+\-])?", r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 _TLD = r"[A-Za-z]{2,}"
 _ANY_DOT = rf"(?:\.|\s?{_DOT_B}\s?|\s+DOT\s+)"
@@ -175,7 +176,7 @@ _NO_STREET = frozenset("of in on at by to for from with and or the a an its this
 _TITLE = re.compile(r"\b(?:mr|mrs|ms|miss|dr|prof|sir|dame|herr|frau)\b\.?[ \t]+", re.I)
 #: What makes a stretch of text worth a look, by kind, in lower case. Each expression runs only near its triggers.
 _TRIGGERS = {
-    "email": ("@", "at)", "at]", "at}", "at>"),
+    "email": ("@",),
     "email_words": (" dot ", "\ndot ", " dot\n"),
     "identity": ("passport", "identi", " id ", "id no", "id nr", "id num", "id card", "id:", "id#", " id\n", "i.d.", "national", "insurance", "social security", "ssn", "tax", " ni ", "nino", "personal"),
     "street": tuple(" " + w for w in "street st avenue ave road rd lane ln terrace close drive dr court ct square sq way boulevard blvd crescent row place garden gardens".split()),
@@ -252,7 +253,7 @@ class Finder:
         return all(self._fits(p, 1) for p in word.split("-"))
 
     def emails(self, t: str, hits: dict) -> Iterator[tuple[int, int]]:
-        for m in self._near(_EMAIL, t, hits.get("email", ()), 80, 300):
+        for m in self._near(_EMAIL, t, sorted([*hits.get("email", ()), *(m.span() for m in _SHUT_AT.finditer(t))]), 80, 300):
             yield m.span()
         for m in self._near(_EMAIL_WORDS, t, hits.get("email_words", ()), 200, 300):
             yield m.span()
