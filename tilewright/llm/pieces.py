@@ -31,10 +31,10 @@ def size_in_name(file_name: Column) -> Column:
 
 
 def pack_axis(length: int, seams: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Pieces of [0, length): the axis is a node whose children are the segments between its sorted seams.
+    """Pieces of [0, length) by one greedy scan from the left over the sorted seams; no tree of segments is built.
 
-    Sibling segments are merged while the piece stays within the limit; only a segment that alone exceeds it is descended
-    into and cut at the limit. Each piece starts ``overlap`` before the end of the one before.
+    Each piece ends at the last seam within the limit, or at the limit if there is none that leaves more than the overlap, and
+    starts ``overlap`` before the end of the one before.
     """
     out, s = [], 0
     while length - s > limit:
