@@ -30,6 +30,10 @@ def p1_points(spark: SparkSession, d: str) -> DataFrame:
     return flatten_records(table(spark, d, "terrain1"))["point"].select("record_id", F.col("parent_key").alias("shape_path"), F.col("pos").alias("point_no"), "x", "y")
 
 
+def p1_unreadable(spark: SparkSession, d: str) -> DataFrame:
+    return flatten_records(table(spark, d, "terrain1"))["unreadable"]
+
+
 def _references(spark: SparkSession, d: str) -> DataFrame:
     """Every reference of both tables, one row each: the table and column it stands in are part of what is reported."""
     sides = []
@@ -55,7 +59,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_records": p1_records, "p1_shapes": p1_shapes, "p1_points": p1_points, "p6_found": p6_found, "p6_report": p6_report}
+    return {"p1_found": p1_found, "p1_records": p1_records, "p1_shapes": p1_shapes, "p1_points": p1_points, "p1_unreadable": p1_unreadable, "p6_found": p6_found, "p6_report": p6_report}
 
 
 _ORPHANS = """
@@ -70,8 +74,34 @@ orphans AS (SELECT table_name, row_key, ref_name, CASE WHEN n = 0 THEN 'missing'
 """
 
 
+_UNWRAPPED = r"""
+WITH RECURSIVE texts AS (
+  SELECT record_id, delivery_id, regexp_replace(raw, '^[\s\x{FEFF}]+', '') AS t FROM terrain1 WHERE record_id IS NOT NULL
+  UNION ALL
+  SELECT record_id, delivery_id, CASE json_type(t) WHEN 'VARCHAR' THEN regexp_replace(t ->> '$', '^[\s\x{FEFF}]+', '') ELSE (t -> '$.payload')::VARCHAR END
+  FROM (SELECT * FROM texts WHERE json_valid(t)) q WHERE json_type(t) = 'VARCHAR' OR (json_type(t) = 'OBJECT' AND NOT json_exists(t, '$.shapes') AND json_exists(t, '$.payload'))),
+found AS (SELECT record_id, delivery_id, t FROM (SELECT * FROM texts WHERE json_valid(t)) q WHERE json_type(t) = 'OBJECT' AND json_exists(t, '$.shapes')),
+recs AS (SELECT record_id, arg_min(t, delivery_id)::JSON AS t FROM found GROUP BY record_id),
+shapes AS (
+  SELECT record_id, (t -> '$.shapes') AS list, unnest(range(0, json_array_length(t -> '$.shapes')::BIGINT)) AS i, '' AS parent_path, 0 AS depth FROM recs WHERE json_type(t -> '$.shapes') = 'ARRAY'
+  UNION ALL
+  SELECT record_id, kids, unnest(range(0, json_array_length(kids)::BIGINT)), path, depth + 1 FROM (
+    SELECT record_id, depth, (list -> i::INT -> '$.children') AS kids, CASE parent_path WHEN '' THEN i::VARCHAR ELSE parent_path || '.' || i END AS path FROM shapes WHERE json_type(list -> i::INT) = 'OBJECT') q WHERE json_type(kids) = 'ARRAY'),
+flat AS (SELECT record_id, CASE parent_path WHEN '' THEN i::VARCHAR ELSE parent_path || '.' || i END AS shape_path, parent_path, depth, list -> i::INT AS s FROM shapes WHERE json_type(list -> i::INT) = 'OBJECT'),
+entries AS (SELECT record_id, shape_path, unnest(range(0, json_array_length(s -> '$.points')::BIGINT)) AS point_no, s -> '$.points' AS ps FROM flat WHERE json_type(s -> '$.points') = 'ARRAY'),
+pairs AS (SELECT record_id, shape_path, point_no, CASE json_type(p) WHEN 'OBJECT' THEN p -> '$.x' WHEN 'ARRAY' THEN p -> 0 END AS px, CASE json_type(p) WHEN 'OBJECT' THEN p -> '$.y' WHEN 'ARRAY' THEN p -> 1 END AS py FROM (SELECT *, ps -> point_no::INT AS p FROM entries) q),
+points AS (SELECT record_id, shape_path, point_no::INT AS point_no, CASE WHEN json_type(px) IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'VARCHAR') THEN TRY_CAST(px ->> '$' AS DOUBLE) END AS x, CASE WHEN json_type(py) IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'VARCHAR') THEN TRY_CAST(py ->> '$' AS DOUBLE) END AS y FROM pairs)
+"""
+_LABEL = "CASE json_type(s -> '$.label') WHEN 'ARRAY' THEN s -> '$.label' ->> 0 WHEN 'OBJECT' THEN s -> '$.label' ->> '$.name' WHEN 'NULL' THEN NULL ELSE s ->> '$.label' END"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _UNWRAPPED + "SELECT record_id, shape_path, -1 AS point_no FROM flat UNION ALL SELECT record_id, shape_path, point_no FROM points WHERE x IS NOT NULL AND y IS NOT NULL",
+        "p1_records": _UNWRAPPED + "SELECT record_id, t ->> '$.version' AS version, t ->> '$.imagePath' AS image_path, TRY_CAST(t ->> '$.imageHeight' AS INT) AS image_height, TRY_CAST(t ->> '$.imageWidth' AS INT) AS image_width FROM recs",
+        "p1_shapes": _UNWRAPPED + f"SELECT record_id, shape_path, parent_path, {_LABEL} AS label, s ->> '$.shape_type' AS shape_type, TRY_CAST(s ->> '$.group_id' AS BIGINT) AS group_id, depth FROM flat",
+        "p1_points": _UNWRAPPED + "SELECT record_id, shape_path, point_no, x, y FROM points WHERE x IS NOT NULL AND y IS NOT NULL",
+        "p1_unreadable": _UNWRAPPED + "SELECT record_id, delivery_id, CASE WHEN raw IS NULL THEN 'null' WHEN trim(raw) = '' THEN 'empty' ELSE 'not readable' END AS reason FROM terrain1 t WHERE delivery_id NOT IN (SELECT delivery_id FROM found)",
         "p6_found": _ORPHANS + "SELECT * FROM orphans",
         "p6_report": _ORPHANS + "SELECT table_name, ref_name, kind, period, count(*) AS n FROM orphans GROUP BY ALL",
     }
