@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -23,6 +23,8 @@ MAX_NAMES = 2_000_000
 #: Letters of other scripts that look like Latin ones, and the Latin ones.
 _LOOKALIKES = dict(zip("АВЕКМНОРСТУХаеорсухіјѕԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοѵ", "ABEKMHOPCTYXaeopcyxijsdqwABEZHIKMNOPTYXov", strict=True))
 _DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe63\uff0d"
+#: What "at" and "dot" as words become; only together do they make an address.
+_WEAK_AT, _WEAK_DOT = "\ue000", "\ue001"
 _SPACES = "\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
@@ -31,6 +33,7 @@ def _table() -> dict[int, str]:
     t |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
     t |= {0x130: "I"}  # its lower case is two characters long
     t |= {ord(c): "-" for c in _DASHES} | {ord(c): " " for c in _SPACES} | {0xFE6B: "@"}
+    t |= {ord(_WEAK_AT): "\ufffd", ord(_WEAK_DOT): "\ufffd"}
     for first in (0x660, 0x6F0, 0x966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6):
         t |= {first + k: str(k) for k in range(10)}
     return t
@@ -40,7 +43,13 @@ _ONE_TO_ONE = _table()
 _GONE = "­​‌‍⁠﻿"
 #: Digits in words.
 _DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_SPELLED = re.compile(r"\b(?:plus[\s\-]{{1,4}})?(?:(?:double|triple)[\s\-]{{1,4}})?(?:{0})(?:[\s,.\-/]{{1,4}}(?:(?:double|triple)[\s\-]{{1,4}})?(?:{0})\b){{1,}}".format("|".join(_DIGIT_WORDS)), re.I)
+#: What stands between them: marks, or a mark in words.
+_GAP = r"(?:[\s,.\-/]{1,4}|\s{1,4}(?:dash|hyphen|minus|space)\s{1,4})"
+_TIMES = r"(?:(?:double|triple)[\s\-]{1,4})?"
+_ONE = _TIMES + "(?:" + "|".join(_DIGIT_WORDS) + ")"
+_SPELLED = re.compile(rf"\b(?:plus[\s\-]{{1,4}})?{_ONE}(?:{_GAP}{_ONE}\b)+", re.I)
+#: The longest gap of the pattern above between two digit words.
+_LONGEST_GAP = 4 + len("hyphen") + 4 + len("double") + 4
 _REPEAT = re.compile(r"\bplus\b|(?:(double|triple)[\s\-]+)?({})".format("|".join(_DIGIT_WORDS)), re.I)
 #: Fewer digits in words are no number.
 _LEAST_SPELLED = 6
@@ -52,8 +61,8 @@ _TRANSLATED = re.compile("[" + re.escape("".join(map(chr, _ONE_TO_ONE))) + "]")
 class Normal:
     """A text in plain letters and the way back: ``source(i)`` is the source position of character i, ``after(i)`` that behind character i - 1."""
 
-    def __init__(self, text: str, spelled: bool = False, gaps: bool = True) -> None:
-        """``spelled``: digits in words become digits, and what stands between them goes unless ``gaps``. ``runs`` then has
+    def __init__(self, text: str, spelled: bool = False, gaps: bool = True, disguised: bool = False) -> None:
+        """``disguised``: at and dot, in brackets or as words, become signs. ``spelled``: digits in words become digits, and what stands between them goes unless ``gaps``. ``runs`` then has
         (from, places behind a gap that is more than one space or hyphen, to) of each row of such words."""
         self.text = text if text.isascii() else _TRANSLATED.sub(lambda m: _ONE_TO_ONE[ord(m[0])], text)
         self.layers: list[tuple[list, list]] = []
@@ -67,6 +76,8 @@ class Normal:
         self._edit(edits)
         if spelled:
             self._spell(gaps)
+        if disguised:
+            self._edit([(m.start(), m.end(), "@" if m[1] else "." if m[2] else _WEAK_AT if m[3] else _WEAK_DOT) for m in _DISGUISE.finditer(self.text)])
 
     def _spell(self, gaps: bool) -> None:
         edits, runs = [], []
@@ -123,11 +134,13 @@ class Normal:
 _SHUT = r"[(\[{<]\s*%s\s*[)\]}>]"
 _AT_B, _DOT_B = _SHUT % "at", _SHUT % "(?:dot|punkt|point)"
 _SHUT_AT = re.compile(_AT_B, re.I)
-_LOCAL, _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9._+\-]*[A-Za-z0-9_+\-])?", r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
-_TLD = r"[A-Za-z]{2,}"
-_ANY_DOT = rf"(?:\.|\s?{_DOT_B}\s?|\s+DOT\s+)"
-_EMAIL = re.compile(rf"{_LOCAL}(?:@|\s?{_AT_B}\s?)(?:{_LABEL}{_ANY_DOT})+{_TLD}(?![A-Za-z0-9]|-[A-Za-z0-9])", re.I)
-_EMAIL_WORDS = re.compile(rf"{_LOCAL}\s+AT\s+(?:{_LABEL}\s+DOT\s+)+{_TLD}\b", re.I)
+_DOTS = re.compile(rf"{_DOT_B}|\sdot\s", re.I)
+#: At and dot in disguise, with the space around them; a word's space also serves the word behind it.
+_DISGUISE = re.compile(rf"(\s?{_AT_B}\s?)|(\s?{_DOT_B}\s?)|(\s+at\s+)|(\s+dot\s+)", re.I)
+_LABEL, _TLD = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?", r"[A-Za-z]{2,}(?![A-Za-z0-9]|-[A-Za-z0-9])"
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._+-")
+_AT = re.compile(f"[@{_WEAK_AT}]")
+_DOMAIN = {"@": re.compile(f"(?:{_LABEL}[.{_WEAK_DOT}])+{_TLD}"), _WEAK_AT: re.compile(f"(?:{_LABEL}{_WEAK_DOT})+{_TLD}")}
 _CUE = re.compile(
     r"\b(?:passport|identity|identification|id|i\.d\.|national(?:\s+(?:id|identity|insurance))?|insurance|social\s+security|ssn|tax(?:payer)?|ni|nino|personal)"
     r"(?:\s*(?:card|id|number|insurance|security|code))*\s*(?:no\.?|nr\.?|number|num\.?|card|id|\#|№)?\s*(?:is|was|of)?\s*[:#=]?\s*",
@@ -159,34 +172,49 @@ _MAY_DIGITS = re.compile(r"\d[\d\s().\-/]{5,}\d")
 
 _NAME_WORD = r"[^\W\d_]+(?:[\-'’][^\W\d_]+)*"
 _TYPE = r"(?:street|st|avenue|ave|road|rd|lane|ln|terrace|close|drive|dr|court|ct|square|sq|way|boulevard|blvd|crescent|row|place|gardens?)"
-_STREET = re.compile(
-    rf"(?<![\w\-.,/])(?:(?:flat|apt\.?|apartment|unit|suite)\s+\d{{1,4}}[a-z]?,\s+)?\d{{1,3}}[A-Za-z]?\s+(?:{_NAME_WORD}\s+){{1,3}}?{_TYPE}\b(?:,\s+(?:flat|apt\.?|apartment|unit|suite)\s+\d{{1,4}}[A-Za-z]?\b)?",
-    re.I,
-)
-_OTHER_STREET = re.compile(
-    rf"(?<![\w\-.,/])\d{{1,4}}[A-Za-z]?,?\s+(?:rue|avenue|boulevard|place|chemin|allée)\s+(?:(?:de|du|des|de\s+la)\s+|d['’]|de\s+l['’])?{_NAME_WORD}"
-    rf"|\b(?:calle|avenida|plaza|paseo)\s+(?:(?:de|del|de\s+la)\s+)?{_NAME_WORD},?\s+(?:n[.º°o]*\s*)?\d{{1,4}}[A-Za-z]?\b(?!\s*[%€])"
-    rf"|\b(?:[^\W\d_]+(?:-[^\W\d_]+)*(?:straße|strasse|gasse|weg|platz|allee))\s+\d{{1,4}}[A-Za-z]?\b"
-    rf"|\b{_NAME_WORD}\s+(?:sokak|sokağı|cadde|caddesi|bulvarı)\s+no\s*[:.]?\s*\d{{1,4}}[A-Za-z]?\b",
-    re.I,
-)
+_FLAT = r"(?:flat|apt\.?|apartment|unit|suite)\s+\d{1,4}[A-Za-z]?"
+_STREET = re.compile(rf"(?<![\w\-.,/])(?:{_FLAT},\s+)?\d{{1,3}}[A-Za-z]?\s+(?:{_NAME_WORD}\s+){{1,3}}?{_TYPE}\b(?:,\s+{_FLAT}\b)?", re.I)
+#: House numbers of four or five digits count before a capitalised street's name only.
+_LONG_STREET = re.compile(rf"(?<![\w\-.,/])(?:(?i:{_FLAT}),\s+)?(\d{{4,5}})[A-Za-z]?\s+(?:(?=[^\W\d_a-z]){_NAME_WORD}\s+){{1,3}}?(?=[A-Z])(?i:{_TYPE})\b(?:,\s+(?i:{_FLAT})\b)?")
+#: What stands before a year (fixed values).
+_BEFORE_YEAR = re.compile(r"\b(?:in|since|by|from|until|till|during|after|before|of|circa|c\.|to|and|early|late|mid|spring|summer|autumn|winter|[a-z]{3,9}|\d{1,2}),?\s+\Z", re.I)
+_FRENCH = re.compile(rf"(?<![\w\-.,/])\d{{1,4}}[A-Za-z]?,?\s+(?:rue|avenue|boulevard|place|chemin|allée)\s+(?:(?:de|du|des|de\s+la)\s+|d['’]|de\s+l['’])?{_NAME_WORD}", re.I)
+_SPANISH = re.compile(rf"(?:calle|avenida|plaza|paseo)\s+(?:(?:de|del|de\s+la)\s+)?{_NAME_WORD},?\s+(?:n[.º°o]*\s*)?\d{{1,4}}[A-Za-z]?\b(?!\s*[%€])", re.I)
+_GERMAN_NUMBER = re.compile(r"\s+\d{1,4}[A-Za-z]?\b")
+_TURKISH = re.compile(r"(?:sokak|sokağı|cadde|caddesi|bulvarı)\s+no\s*[:.]?\s*\d{1,4}[A-Za-z]?\b", re.I)
 #: A street's name is no ordinary word of this short list (fixed values: English words that stand between a number and "way", "place", ...).
 _NO_STREET = frozenset("of in on at by to for from with and or the a an its this that was were is are as than when while within along beside near years days metres km crowns".split())
 
 _TITLE = re.compile(r"\b(?:mr|mrs|ms|miss|dr|prof|sir|dame|herr|frau)\b\.?[ \t]+", re.I)
-#: What makes a stretch of text worth a look, by kind, in lower case. Each expression runs only near its triggers.
+#: What makes a text worth a look, by kind, in lower case. Expressions start at these or, where they begin with a number, run
+#: over the whole text; none is cut off by a window.
 _TRIGGERS = {
-    "email": ("@",),
-    "email_words": (" dot ", "\ndot ", " dot\n"),
-    "identity": ("passport", "identi", " id ", "id no", "id nr", "id num", "id card", "id:", "id#", " id\n", "i.d.", "national", "insurance", "social security", "ssn", "tax", " ni ", "nino", "personal"),
+    "dot": ("dot", "punkt", "point"),
+    "identity": ("passport", "identi", "id", "i.d.", "national", "insurance", "social", "ssn", "tax", "ni", "personal"),
     "street": tuple(" " + w for w in "street st avenue ave road rd lane ln terrace close drive dr court ct square sq way boulevard blvd crescent row place garden gardens".split()),
-    "other_street": ("rue ", "calle ", "avenida ", "plaza ", "paseo ", "avenue ", "boulevard ", "place ", "chemin ", "allée ", "straße ", "strasse ", "gasse ", "weg ", "platz ", "allee ", "sokak", "cadde", "bulvarı"),
-    "digit": tuple(x + w for x in " -,./\n\t" for w in _DIGIT_WORDS),
-    "title": tuple(x + y for x in "mr mrs ms miss dr prof sir dame herr frau".split() for y in (" ", ".")),
+    "french": ("rue ", "avenue ", "boulevard ", "place ", "chemin ", "allée "),
+    "spanish": ("calle", "avenida", "plaza", "paseo"),
+    "german": ("straße", "strasse", "gasse", "weg", "platz", "allee"),
+    "turkish": ("sokak", "sokağı", "cadde", "bulvarı"),
+    "digit": tuple(_DIGIT_WORDS),
+    "title": tuple(x + y for x in "mr mrs ms miss dr prof sir dame herr frau".split() for y in (" ", ".", "\t")),
 }
 _SEP = r"(?:[ \t]+|\s?\n[ \t]*(?!\n))"
 
 
+#: The same, read from right to left.
+_SEP_R = r"(?:[ \t]+|[ \t]*\n\s?)"
+_WORD_R = re.compile(_NAME_WORD)
+_COMPOUND_R = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+_BEFORE_R = re.compile(rf"\s+{_NAME_WORD}")
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _inside_word(t: str, i: int) -> bool:
+    """Whether place i is not the start of a word."""
+    return i > 0 and (t[i - 1].isalnum() or t[i - 1] == "_")
+
+
 def _trim_tail(s: str, end: int) -> int:
     while end and not s[end - 1].isdigit():
         end -= 1
@@ -197,6 +225,22 @@ def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
 
+class _Taken:
+    """Places without overlaps: those added first go first; of those added together, the longer, then the earlier."""
+
+    def __init__(self) -> None:
+        self.at: list[tuple[int, int, str]] = []
+
+    def add(self, kind: str, spans: Iterable[tuple[int, int]]) -> None:
+        for a, b in sorted(set(spans), key=lambda s: (s[0] - s[1], s[0])):
+            i = bisect_right(self.at, (a, b, ""))
+            if a < b and (i == 0 or self.at[i - 1][1] <= a) and (i == len(self.at) or self.at[i][0] >= b):
+                self.at.insert(i, (a, b, kind))
+
+    def places(self) -> list[tuple[int, int, str]]:
+        return self.at
+
+
 class Finder:
     """Finds the places of one text. ``names`` maps kind (given, family) to casefolded names; endings seen at least twice in
     the lists vouch for names that are not in them, which count only beside a title or where the same text gives them one."""
@@ -223,20 +267,6 @@ class Finder:
                 hits.setdefault(k, []).append((last + 1 - size, last + 1))
         return hits
 
-    @staticmethod
-    def _near(rx: re.Pattern, t: str, hits: list[tuple[int, int]], before: int, behind: int) -> Iterator[re.Match]:
-        """Matches around the hits; overlapping surroundings are searched together, so nothing is cut off between them."""
-        at = 0
-        while at < len(hits):
-            lo, hi = max(0, hits[at][0] - before), hits[at][1] + behind
-            while at + 1 < len(hits) and hits[at + 1][0] - before <= hi:
-                at += 1
-                hi = max(hi, hits[at][1] + behind)
-            at += 1
-            while lo and (t[lo - 1].isalnum() or t[lo - 1] in "_.+-"):
-                lo -= 1
-            yield from rx.finditer(t, lo, min(len(t), hi))
-
     @staticmethod
     def _endings(names: set[str], k: int) -> frozenset[str]:
         n: dict[str, int] = {}
@@ -252,16 +282,26 @@ class Finder:
     def _fits_family(self, word: str) -> bool:
         return all(self._fits(p, 1) for p in word.split("-"))
 
-    def emails(self, t: str, hits: dict) -> Iterator[tuple[int, int]]:
-        for m in self._near(_EMAIL, t, sorted([*hits.get("email", ()), *(m.span() for m in _SHUT_AT.finditer(t))]), 80, 300):
-            yield m.span()
-        for m in self._near(_EMAIL_WORDS, t, hits.get("email_words", ()), 200, 300):
-            yield m.span()
+    @staticmethod
+    def emails(t: str) -> Iterator[tuple[int, int]]:
+        """The addresses of a text in which at and dot are signs: from each at to both sides."""
+        least = 0
+        for m in _AT.finditer(t):
+            p = a = m.start()
+            while a > least and t[a - 1] in _LOCAL:
+                a -= 1
+            while a < p and not t[a].isalnum():
+                a += 1
+            if a < p and (t[p - 1] != "." or p - a == 1) and (d := _DOMAIN[m[0]].match(t, p + 1)):
+                yield a, d.end()
+                least = d.end()
 
     def identities(self, t: str, hits: dict) -> Iterator[tuple[int, int]]:
-        for m in self._near(_CUE, t, hits.get("identity", ()), 12, 60):
+        for a, _ in hits.get("identity", ()):
+            if _inside_word(t, a) or not (m := _CUE.match(t, a)):
+                continue
             v = _SPOKEN_IDENTITY.match(t, m.end()) if "spoken" in hits else None
-            if v and any(a < v.end() and v.start() < b for a, _, b in hits["spoken"]):
+            if v and any(x < v.end() and v.start() < y for x, _, y in hits["spoken"]):
                 yield v.span()
             elif (v := _IDENTITY.match(t, m.end())) and _digits(v[0]) >= 6:
                 yield v.span()
@@ -288,16 +328,37 @@ class Finder:
             if 7 <= _digits(t[m.start() : end]) <= 15:
                 yield m.start(), end
 
+    @staticmethod
+    def _ordinary(street: str) -> bool:
+        return any(w.lower() in _NO_STREET for w in re.findall(r"(?<!\w)[^\W\d_]+", street)[:-1])
+
     def addresses(self, t: str, hits: dict) -> Iterator[tuple[int, int]]:
-        ends = [(a, b) for a, b in hits.get("street", ()) if b == len(t) or not (t[b].isalnum() or t[b] == "_")]
-        for m in self._near(_STREET, t, ends, 160, 40):
-            if not any(w.lower() in _NO_STREET for w in re.findall(r"(?<!\w)[^\W\d_]+", m[0])[:-1]):
+        if any(b == len(t) or not (t[b].isalnum() or t[b] == "_") for _, b in hits.get("street", ())):
+            for m in _STREET.finditer(t):
+                if not self._ordinary(m[0]):
+                    yield m.span()
+            for m in _LONG_STREET.finditer(t):
+                year = 1000 <= int(m[1]) < 2100 and _BEFORE_YEAR.search(t, 0, m.start())
+                if not year and not self._ordinary(m[0]):
+                    yield m.span()
+        if "french" in hits:
+            for m in _FRENCH.finditer(t):
                 yield m.span()
-        for m in self._near(_OTHER_STREET, t, hits.get("other_street", ()), 100, 80):
-            yield m.span()
-
-    _LISTED = re.compile(rf"({_NAME_WORD}){_SEP}(?:([^\W\d_])\.{_SEP}?)*\Z")
-    _INITIALS = re.compile(rf"(?<![\w.])(?:[^\W\d_]\.{_SEP}?)+\Z")
+        for a, _ in hits.get("spanish", ()):
+            if not _inside_word(t, a) and (m := _SPANISH.match(t, a)):
+                yield m.span()
+        if "german" in hits or "turkish" in hits:
+            r, n = t[::-1], len(t)
+            for a, b in hits.get("german", ()):
+                if (m := _GERMAN_NUMBER.match(t, b)) and (w := _COMPOUND_R.match(r, n - a)) and not _inside_word(t, n - w.end()):
+                    yield n - w.end(), m.end()
+            for a, _ in hits.get("turkish", ()):
+                if (m := _TURKISH.match(t, a)) and (w := _BEFORE_R.match(r, n - a)) and not _inside_word(t, n - w.end()):
+                    yield n - w.end(), m.end()
+
+    #: Read from right to left, from a family name on: initials and a given name; initials alone.
+    _LISTED_R = re.compile(rf"(?:{_SEP_R}?\.[^\W\d_])*{_SEP_R}({_NAME_WORD})")
+    _INITIALS_R = re.compile(rf"(?:{_SEP_R}?\.[^\W\d_])+(?![\w.])")
     _COMMA_GIVEN = re.compile(rf",{_SEP}({_NAME_WORD})(?:{_SEP}[^\W\d_]\.(?!\w))*")
     _TITLED = re.compile(rf"(?:(?:([^\W\d_])\.{_SEP}?)+|({_NAME_WORD}){_SEP}(?:[^\W\d_]\.{_SEP}?)*)({_NAME_WORD})")
     _TITLED_COMMA = re.compile(rf"({_NAME_WORD}),{_SEP}({_NAME_WORD})(?:{_SEP}[^\W\d_]\.(?!\w))*")
@@ -307,26 +368,28 @@ class Finder:
     def names(self, t: str, hits: dict) -> Iterator[tuple[int, int]]:
         seen: set[tuple[int, int]] = set()
         if "family" in hits:
+            r, size = t[::-1], len(t)
             for a, b in hits["family"]:
-                if (b < len(t) and (t[b].isalnum() or t[b] == "_")) or (a and (t[a - 1].isalnum() or t[a - 1] == "_")):
+                if _inside_word(t, a) or (b < size and (t[b].isalnum() or t[b] == "_")):
                     continue
                 # double-barrelled: take in the parts before and behind
-                while a > 1 and t[a - 1] == "-" and (m := re.search(r"[^\W\d_]+\Z", t[max(0, a - 60) : a - 1])):
-                    a = a - 1 - len(m[0])
-                while b < len(t) - 1 and t[b] == "-" and (m := re.compile(r"[^\W\d_]+").match(t, b + 1)):
+                while a > 1 and t[a - 1] == "-" and (m := _LETTERS.match(r, size - a + 1)):
+                    a = size - m.end()
+                while b < size - 1 and t[b] == "-" and (m := _LETTERS.match(t, b + 1)):
                     b = m.end()
                 if not self._fits_family(t[a:b]):
                     continue
-                head = t[max(0, a - 100) : a]
-                if (m := self._LISTED.search(head)) and m[1].casefold() in self.given:
-                    yield (s := (a - len(head) + m.start(1), b))
-                    seen.add(s)
+                if (m := self._LISTED_R.match(r, size - a)) and m[1][::-1].casefold() in self.given:
+                    span = size - m.end(1), b
                 elif (m := self._COMMA_GIVEN.match(t, b)) and m[1].casefold() in self.given:
-                    yield (a, m.end())
-                    seen.add((a, m.end()))
-                elif m := self._INITIALS.search(head):
-                    yield (a - len(head) + m.start(), b)
-                    seen.add((a - len(head) + m.start(), b))
+                    span = a, m.end()
+                elif m := self._INITIALS_R.match(r, size - a):
+                    span = size - m.end(), b
+                else:
+                    continue
+                if span not in seen:
+                    seen.add(span)
+                    yield span
         titled: set[str] = set()
         # a link to a page about a person: nothing but a name
         for m in self._LINKED.finditer(t):
@@ -340,7 +403,9 @@ class Finder:
             if t.startswith("]]", span[1]) and span not in seen:
                 seen.add(span)
                 yield span
-        for m in self._near(_TITLE, t, hits.get("title", ()), 2, 8):
+        for a, _ in hits.get("title", ()):
+            if _inside_word(t, a) or not (m := _TITLE.match(t, a)):
+                continue
             at = m.end()
             if (n := self._TITLED_COMMA.match(t, at)) and self._fits_family(n[1]) and self._fits(n[2], 0):
                 span = n.span()
@@ -368,18 +433,21 @@ class Finder:
             return []
         n = Normal(text)
         hits = self.triggers(n.text)
-        if len(hits.get("digit", ())) > 1 and any(self._near(_SPELLED, n.text, hits["digit"], 30, 30)):
+        digit = hits.get("digit", ())
+        if any(y[0] - x[1] <= _LONGEST_GAP for x, y in zip(digit[:-1], digit[1:])) and _SPELLED.search(n.text):
             n = Normal(text, spelled=True, gaps=False)
             hits = self.triggers(n.text)
             if n.runs:
                 hits["spoken"] = n.runs
-        taken: list[tuple[int, int, str]] = []
-        for kind, found in zip(KINDS, (self.emails, self.identities, self.phones, self.addresses, self.names), strict=True):
-            spans = sorted(set(found(n.text, hits)), key=lambda s: (s[0] - s[1], s[0]))
-            for a, b in spans:
-                if a < b and not any(a < y and x < b for x, y, _ in taken):
-                    taken.append((a, b, kind))
-        return sorted((n.source(a), n.after(b), k) for a, b, k in taken)
+        taken = _Taken()
+        # an address may be in disguise; what else a text has is looked for with its own words at and dot
+        e = n
+        if _SHUT_AT.search(n.text) or ("dot" in hits and _DOTS.search(n.text)):
+            e = Normal(text, disguised=True)
+        taken.add("email", ((e.source(a), e.after(b)) for a, b in self.emails(e.text)))
+        for kind, found in zip(KINDS[1:], (self.identities, self.phones, self.addresses, self.names), strict=True):
+            taken.add(kind, ((n.source(a), n.after(b)) for a, b in found(n.text, hits)))
+        return taken.places()
 
     def mask(self, text: str | None) -> str | None:
         if not text:
@@ -434,8 +502,9 @@ def personal_places(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, start_pos, end_pos, kind) of every place, in code points from 0, the end behind it.
 
     A transducer brings each text into plain form (full-width and look-alike characters, entities, invisible characters,
-    digits in words) and remembers where every character came from; detection runs on the plain form, with at/dot disguises,
-    and the spans are mapped back. Null and empty texts have no places; repeated rows give theirs each time; places never
+    digits in words and, for addresses, at and dot in disguise) and remembers where every character came from; detection runs on
+    the plain form and the spans are mapped back. Expressions start at what may begin or end a place, or run over the whole
+    text, so no place is cut off by a window. Null and empty texts have no places; repeated rows give theirs each time; places never
     overlap. One pass without shuffle; the lexicon is the only thing broadcast, behind a bound of MAX_NAMES rows.
     """
     return _texts(docs).mapInArrow(_places(_lexicon(names)), "doc_id bigint, start_pos int, end_pos int, kind string")
