@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.consolidate import matched_groups, overlapping_pairs, seed_tree
 from tilewright.llm.cutoff import kept_fraction, with_source
-from tilewright.llm.pieces import image_sizes, oversized_pieces, pack_axis, size_in_name
+from tilewright.llm.pieces import grow, image_sizes, oversized_pieces, pack_axis, size_in_name
 from tilewright.llm.splits import large_star_small_star, related_groups, source_key, split_of
 from tilewright.llm.topn import top_n
 from tilewright.session import Scratch
@@ -145,6 +145,31 @@ def test_packing():
         assert p[0][0] == 0 and p[-1][1] == n and all(0 < b - a <= 2048 for a, b in p) and all(b - c == 160 for (_, b), (c, _) in zip(p, p[1:], strict=False))
 
 
+def greedy(length, seams, limit, overlap):
+    out, s = [], 0
+    while length - s > limit:
+        e = max((p for p in seams if s + overlap < p <= s + limit and p < length), default=s + limit)
+        out.append((s, e))
+        s = e - overlap
+    return [*out, (s, length)]
+
+
+def test_tree_packs_as_the_rule_says():
+    r = random.Random(5)
+    for _ in range(2000):
+        n, limit = r.randint(1, 600), r.randint(5, 60)
+        overlap = r.randrange(limit)
+        seams = [r.randint(-20, 620) for _ in range(r.randrange(80))]
+        assert pack_axis(n, np.array(seams, np.int64), limit, overlap) == greedy(n, seams, limit, overlap)
+        parts = grow(n, sorted({p for p in seams if 0 < p < n}), limit)
+        todo = list(parts)
+        while todo:
+            a, b, inner = todo.pop()
+            assert not inner or (b - a <= limit and inner[0][0] == a and inner[-1][1] == b and inner[0][1] == inner[1][0])
+            todo += inner
+        assert all(x[1] == y[0] and (y[1] - x[0] > limit) for x, y in zip(parts[:-1], parts[1:]) if x[1] - x[0] <= limit and y[1] - y[0] <= limit)
+
+
 def test_pieces(spark):
     im = spark.createDataFrame([(1, "a.jpg", 100, 3000), (1, "a.jpg", None, None), (2, "b_w2100h50.png", 0, 0), (3, "c.png", None, None), (4, "d.png", 2048, 2048), (None, "e.png", 9000, 9000), (5, "f_2500x2500 (1).jpg", -1, -1)], "id bigint, file_name string, height int, width int")
     s = spark.createDataFrame([(1, " X", 1500, 3), (1, "x", 1500, 3), (1, "x", None, 3), (1, "x", -4, 3), (1, "x", 9999, 3), (1, None, 700, 3), (1, "y", 50, 3), (9, "x", 5, 3), (None, "x", 5, 3), (5, "y", 2000, 3)], "image_id bigint, axis string, pos int, width int")

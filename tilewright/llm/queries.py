@@ -114,6 +114,21 @@ firsts AS (SELECT k, min(id) AS g FROM keyed GROUP BY k),
 grouped AS (SELECT id AS image_id, min(g) AS group_id FROM keyed JOIN firsts USING (k) GROUP BY id),
 sized AS (SELECT group_id, count(*) AS n FROM grouped GROUP BY group_id)
 """
+_PIECES = r"""
+WITH RECURSIVE bases AS (SELECT id, width, height, regexp_replace(regexp_replace(CASE WHEN contains(file_name, '%') THEN url_decode(file_name) ELSE file_name END, '^.*[/\\]', ''), '(?i)\.(?:jpe?g|png|tiff?)$', '') AS b FROM terrain_all_coco WHERE id IS NOT NULL),
+told AS (SELECT id, width, height, [
+  {'w': TRY_CAST(regexp_extract(b, '(?i)[_\-\s]w(\d+)[_x]?h(\d+)\b', 1) AS INT), 'h': TRY_CAST(regexp_extract(b, '(?i)[_\-\s]w(\d+)[_x]?h(\d+)\b', 2) AS INT)},
+  {'w': TRY_CAST(regexp_extract(b, '(?i)[_\-\s](\d+)w[_x]?(\d+)h\b', 1) AS INT), 'h': TRY_CAST(regexp_extract(b, '(?i)[_\-\s](\d+)w[_x]?(\d+)h\b', 2) AS INT)},
+  {'w': TRY_CAST(regexp_extract(b, '(?i)[_\-\s](\d+)x(\d+)(?:px)?(?:[^\dx]|$)', 1) AS INT), 'h': TRY_CAST(regexp_extract(b, '(?i)[_\-\s](\d+)x(\d+)(?:px)?(?:[^\dx]|$)', 2) AS INT)},
+  {'w': TRY_CAST(regexp_extract(b, '_(\d+)_(\d+)_(\d+)_(\d+)\D*$', 3) AS INT) - TRY_CAST(regexp_extract(b, '_(\d+)_(\d+)_(\d+)_(\d+)\D*$', 1) AS INT), 'h': TRY_CAST(regexp_extract(b, '_(\d+)_(\d+)_(\d+)_(\d+)\D*$', 4) AS INT) - TRY_CAST(regexp_extract(b, '_(\d+)_(\d+)_(\d+)_(\d+)\D*$', 2) AS INT)}] AS f FROM bases),
+by_id AS (SELECT id, max(CASE WHEN width > 0 AND height > 0 THEN {'w': width, 'h': height} END) AS own, max(list_filter(f, lambda p: p.w > 0 AND p.h > 0)[1]) AS named FROM told GROUP BY id),
+sizes AS (SELECT id, coalesce(own, named) AS z FROM by_id WHERE coalesce(own, named) IS NOT NULL),
+axes AS (SELECT id, 'x' AS axis, z.w AS n FROM sizes WHERE greatest(z.w, z.h) > 2048 UNION ALL SELECT id, 'y', z.h FROM sizes WHERE greatest(z.w, z.h) > 2048),
+lines AS (SELECT a.id, a.axis, a.n, coalesce(list(s.pos) FILTER (s.pos < a.n), []) AS seams FROM axes a LEFT JOIN mosaic_seams s ON s.image_id = a.id AND lower(trim(s.axis)) = a.axis GROUP BY ALL),
+cut AS (
+  SELECT id, axis, n, seams, 0 AS s, CASE WHEN n <= 2048 THEN n ELSE coalesce(list_max(list_filter(seams, lambda p: p > 160 AND p <= 2048)), 2048) END AS e FROM lines
+  UNION ALL SELECT id, axis, n, seams, e - 160, CASE WHEN n - (e - 160) <= 2048 THEN n ELSE coalesce(list_max(list_filter(seams, lambda p: p > e AND p <= e - 160 + 2048)), e - 160 + 2048) END FROM cut WHERE e < n)
+SELECT x.id AS image_id, x.s AS x1, y.s AS y1, x.e AS x2, y.e AS y2 FROM cut x JOIN cut y ON x.id = y.id AND x.axis = 'x' AND y.axis = 'y'"""
 _PLACE = "CASE WHEN s < 0.8 THEN 'train' WHEN s < 0.9 THEN 'validation' ELSE 'test' END"
 _SHARE = "('0x' || substr(md5(g::VARCHAR), 1, 8))::BIGINT / 4294967296.0"
 _SCORED = "score BETWEEN 0 AND 1 AND NOT isnan(score)"
@@ -136,6 +151,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": _KEPT + "SELECT source AS category_name, det_id FROM ranked JOIN cuts USING (source) WHERE score >= cutoff",
         "p4_report": _KEPT + "SELECT source AS category_name, any_value(keep_pct)::BIGINT AS keep_pct, any_value(n) AS n_items, any_value(cutoff) AS cutoff, count(*) AS n_kept FROM ranked JOIN cuts USING (source) WHERE score >= cutoff GROUP BY source",
         "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p5_found": _PIECES,
         "p7_found": f"""
             WITH RECURSIVE d AS (SELECT DISTINCT det_id, image_id, bbox[1] AS x1, bbox[2] AS y1, bbox[1] + bbox[3] AS x2, bbox[2] + bbox[4] AS y2 FROM coco_result
               WHERE image_id IS NOT NULL AND {_SCORED} AND score >= 0.1 AND len(bbox) = 4 AND bbox[3] > 0 AND bbox[4] > 0),
