@@ -1,3 +1,4 @@
+import random
 import numpy as np
 import pytest
 
@@ -120,3 +121,21 @@ def test_rewrites_and_bad_settings():
     for kw in ({"method": "x"}, {"metric": "GIOU"}, {"strategy": "x"}):
         with pytest.raises(ValueError):
             M.Merging(**kw)
+
+
+def test_hot_cell_is_split(spark):
+    """Most boxes in one cell of one scene: the join is planned with skew handling, which a repartition by hand would forbid."""
+    r = random.Random(4)
+    boxes = [(1, i, r.uniform(0, 60), r.uniform(0, 60)) if i % 3 else (1, i, r.uniform(0, 90_000), r.uniform(0, 90_000)) for i in range(6000)]
+    df = spark.createDataFrame(boxes, "image_id bigint, id bigint, x1 double, y1 double").selectExpr("*", "x1 + 40 AS x2", "y1 + 40 AS y2").repartition(8)
+    low = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in low}
+    for k, v in low.items():
+        spark.conf.set(k, v)
+    try:
+        j = grid_pairs(df, ["image_id"], "id", "IOU", 0.9)
+        j.collect()
+        assert "skew=true" in j._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
