@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.llm.consolidate import matched_groups, overlapping_pairs, seed_tree
+from tilewright.llm.consolidate import matched_groups, seed_tree, usable, with_representatives
 from tilewright.llm.cutoff import kept_fraction, with_source
 from tilewright.llm.pieces import grow, image_sizes, oversized_pieces, pack_axis, size_in_name
 from tilewright.llm.splits import large_star_small_star, related_groups, source_key, split_of
@@ -219,6 +219,42 @@ def test_matched_groups(spark):
     assert matched_groups(df.limit(0)).count() == 0
 
 
+def test_dense_cluster_links_parts_and_not_pairs(spark):
+    """Thousands of boxes that nearly coincide: links stay far below all pairs, and the groups are those of all pairs."""
+    r = random.Random(1)
+    rows = [(1, i, [200 + r.randint(-5, 5), 100 + r.randint(-5, 5), 40 + r.randint(-4, 4), 40 + r.randint(-4, 4)], 0.9) for i in range(700)]
+    rows += [(1, 5000 + i, [330 + 7 * i, 100, 40, 40], 0.9) for i in range(12)]
+    df = spark.createDataFrame(rows, "image_id bigint, det_id bigint, bbox array<int>, score double")
+    assert {x.det_id: x.group_id for x in matched_groups(df).collect()} == brute_matches(rows)
+    boxes = usable(df, 0.1).withColumnRenamed("det_id", "id")
+    reps = with_representatives(boxes, 0.5)
+    assert reps.count() == 712 and reps.select("rep").distinct().count() < 712
+    like = {}
+    for x in reps.collect():
+        like.setdefault(x.rep, []).append((x.x1, x.y1, x.x2, x.y2))
+    for members in like.values():
+        for p in members:
+            for q in members:
+                inter = (min(p[2], q[2]) - max(p[0], q[0])) * (min(p[3], q[3]) - max(p[1], q[1]))
+                assert inter / ((p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - inter) >= 0.5
+
+
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e7])
+def test_boxes_of_any_scale(spark, scale):
+    r = random.Random(2)
+    box = [(r.uniform(0, 300) * scale, r.uniform(0, 60) * scale, r.choice([0.3, 3, 20, 200]) * r.uniform(1, 2) * scale, r.choice([1, 10, 90]) * r.uniform(1, 2) * scale) for _ in range(250)]
+    df = spark.createDataFrame([(1, i, list(b), 0.9) for i, b in enumerate(box)], "image_id bigint, det_id bigint, bbox array<double>, score double")
+    for least in (0.3, 0.75):
+        pairs = []
+        for i, (a, b, c, d) in enumerate(box):
+            for j, (e, f, g, h) in enumerate(box[:i]):
+                inter = max(0, min(a + c, e + g) - max(a, e)) * max(0, min(b + d, f + h) - max(b, f))
+                if inter >= least * (c * d + g * h - inter):
+                    pairs.append((j, i))
+        assert {x.det_id: x.group_id for x in matched_groups(df, min_iou=least).collect()} == union_find(pairs)
+
+
 def test_bad_threshold(spark):
-    with pytest.raises(ValueError):
-        overlapping_pairs(spark.createDataFrame([], "image_id bigint, id bigint, x1 double, y1 double, x2 double, y2 double"), 0.3)
+    for least in (0.0, -1.0, 1.5):
+        with pytest.raises(ValueError):
+            matched_groups(spark.createDataFrame([], "image_id bigint, det_id bigint, bbox array<int>, score double"), min_iou=least)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.topn import scored
-from tilewright.session import Scratch
-
-#: Side of a tile in units of the level's box size.
-TILE = 4
+from tilewright.operators.overlap import meetings
+from tilewright.session import Scratch, fits_broadcast
 
 
 def seed_tree(pairs: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
@@ -54,49 +54,69 @@ def usable(dets: DataFrame, min_score: float) -> DataFrame:
     return dets.filter(ok & real[0] & real[1] & real[2] & real[3]).select("image_id", "det_id", at(1).alias("x1"), at(2).alias("y1"), (at(1) + at(3)).alias("x2"), (at(2) + at(4)).alias("y2"))
 
 
-def overlapping_pairs(boxes: DataFrame, min_iou: float = 0.5, tile: int = TILE) -> DataFrame:
-    """(a, b) of the boxes (image_id, id, x1, y1, x2, y2) of one image whose intersection is at least min_iou of their union.
+def like_boxes(min_iou: float) -> list[Column]:
+    """Columns that are equal only for boxes x1..y2 of which any two have an IoU of min_iou at least: corners in steps of a fraction
+    of the power of two below each side, and those powers. Empty where only equal boxes have it.
 
-    Boxes meet only in tiles scaled to their size. Since a match needs sides within a factor 1/min_iou <= 2, two matching boxes
-    are of the same power of two or of neighbouring ones; each box is laid on the grid of its own level and of the next, and a
-    pair counts only in the tile that holds the corner of its intersection, once. One exchange serves both sides of the join,
-    on (image, level, tile): an image that holds most boxes falls apart into its tiles.
+    Of two boxes with equal columns, the corners of an axis differ by less than a step each, and a step is at most 1/k of the
+    joint extent, so the overlap is at least 1 - 2/k of it; on both axes that is min_iou.
     """
-    if not 0.5 <= min_iou <= 1:
-        raise ValueError("min_iou must be from 0.5 to 1")
-    size = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    level = F.floor(F.log2(size)).cast("int")
-    laid = boxes.withColumn("own_level", level).withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("level", F.col("own_level") + F.col("up"))
-    laid = laid.withColumn("side", tile * F.pow(F.lit(2.0), "level"))
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / F.col("side")), F.floor(F.col(hi) / F.col("side")))
-    laid = laid.withColumn("tx", F.explode(span("x1", "x2"))).withColumn("ty", F.explode(span("y1", "y2")))
-    laid = laid.select("image_id", "level", "tx", "ty", "up", "id", "x1", "y1", "x2", "y2")
-    laid = laid.repartition("image_id", "level", "tx", "ty")
-    a, b = laid.alias("a"), laid.filter("up = 0").alias("b")
-    ix1, iy1 = F.greatest("a.x1", "b.x1"), F.greatest("a.y1", "b.y1")
-    iw, ih = F.least("a.x2", "b.x2") - ix1, F.least("a.y2", "b.y2") - iy1
-    area = lambda s: (F.col(f"{s}.x2") - F.col(f"{s}.x1")) * (F.col(f"{s}.y2") - F.col(f"{s}.y1"))
-    side = tile * F.pow(F.lit(2.0), "a.level")
-    met = (iw > 0) & (ih > 0) & ((F.col("a.up") == 1) | (F.col("a.id") < F.col("b.id"))) & (F.floor(ix1 / side) == F.col("a.tx")) & (F.floor(iy1 / side) == F.col("a.ty"))
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("image_id", "level", "tx", "ty")]
-    hit = iw * ih * (1 + min_iou) >= min_iou * (area("a") + area("b"))
-    return a.join(b, same[0] & same[1] & same[2] & same[3] & met & hit).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    if min_iou >= 0.999:
+        return []
+    k = math.ceil(2 / (1 - math.sqrt(min_iou)))
+    out = []
+    for lo, hi in (("x1", "x2"), ("y1", "y2")):
+        power = F.floor(F.log2((F.col(hi) - F.col(lo)) * 0.9999)).cast("int")
+        step = F.pow(F.lit(2.0), power) / k
+        out += [power, F.floor(F.col(lo) / step), F.floor(F.col(hi) / step)]
+    return out
+
+
+#: A group of like boxes this large is represented by one of them.
+DENSE = 4
+
+
+def with_representatives(boxes: DataFrame, min_iou: float) -> DataFrame:
+    """boxes(image_id, id, x1..y2) with ``rep``: the smallest id among DENSE or more like boxes of the image, else the own id.
+
+    Only counts of like boxes are shuffled, and they are pre-aggregated; of the groups only the dense ones are joined back."""
+    like = like_boxes(min_iou)
+    if not like:
+        return boxes.withColumn("rep", F.col("id"))
+    names = [f"l{k}" for k in range(len(like))]
+    keyed = boxes.select("*", *[c.alias(n) for c, n in zip(like, names, strict=True)])
+    dense = keyed.groupBy("image_id", *names).agg(F.min("id").alias("dense_rep"), F.count("*").alias("n")).filter(F.col("n") >= DENSE).drop("n")
+    return keyed.join(dense, ["image_id", *names], "left").select(*boxes.columns, F.coalesce("dense_rep", "id").alias("rep"))
 
 
 def matched_groups(dets: DataFrame, min_score: float = 0.1, min_iou: float = 0.5) -> DataFrame:
     """(det_id, group_id) of every detection that matches another one; group_id is the smallest det_id linked with it.
 
     Identical boxes of an image are first folded into their smallest det_id, so copies of one box, however many, cost no pairs;
-    they are given their representative's group at the end, one row each. Deliveries of a detection count once. Boxes that
-    are null, short, flat, negative in size or not finite, null image ids and unscored detections match nothing.
+    like boxes, of which any two match, are represented by one vertex, so a dense cluster gives links between its parts and not
+    all pairs. Every pair of boxes is still compared, and each link between different parts kept, so nothing is lost. Matches
+    are found cell by cell (``overlap.meetings``), which adaptive execution may split. Members get their representative's group
+    at the end, one row each. Deliveries of a detection count once. Boxes that are null, short, flat, negative in size or not
+    finite, null image ids and unscored detections match nothing.
     """
-    scratch = Scratch(dets.sparkSession, "matches")
+    if not 0 < min_iou <= 1:
+        raise ValueError("min_iou must be above 0 and at most 1")
+    spark = dets.sparkSession
+    scratch = Scratch(spark, "matches")
     box = ["image_id", "x1", "y1", "x2", "y2"]
     rows = usable(dets, min_score)
-    reps = scratch.write(rows.groupBy(*box).agg(F.min("det_id").alias("id"), F.max("det_id").alias("most")))
-    seeds = seed_tree(overlapping_pairs(reps.drop("most"), min_iou), scratch)
-    copied = reps.filter("most != id").select(*box, F.col("id").alias("rep"))
-    groups = scratch.write(seeds.unionByName(copied.join(seeds, F.col("rep") == F.col("v"), "left_anti").select(F.col("rep").alias("v"), F.col("rep").alias("seed"))))
-    copies = rows.join(copied, box).filter("det_id != rep").select("det_id", "rep").distinct()
-    own = groups.select(F.col("v").alias("det_id"), F.col("seed").alias("group_id"))
-    return own.unionByName(copies.join(groups, F.col("rep") == F.col("v")).select("det_id", F.col("seed").alias("group_id")))
+    folded = scratch.write(rows.groupBy(*box).agg(F.min("det_id").alias("id"), F.max("det_id").alias("most")))
+    dense = scratch.write(with_representatives(folded.drop("most"), min_iou).filter("rep != id"))
+    small = lambda d, width: F.broadcast(d) if fits_broadcast(d, width) else d
+    own = folded.drop("most").join(small(dense.select("id", "rep"), 32), "id", "left").withColumn("rep", F.coalesce("rep", "id"))
+    links = meetings(own, ["image_id"], ["rep"], "IOU", min_iou).filter("g_rep != h_rep").select(F.col("g_rep").alias("a"), F.col("h_rep").alias("b"))
+    seeds = seed_tree(links, scratch)
+    # whoever has a copy or a like box has a match, linked to others or not
+    several = folded.filter("most != id").select(F.col("id").alias("v")).unionByName(dense.select(F.col("rep").alias("v"))).distinct()
+    reps = scratch.write(several.join(dense.select(F.col("id").alias("v"), F.col("rep").alias("r")), "v", "left").select(F.coalesce("r", "v").alias("v")).distinct())
+    groups = scratch.write(seeds.unionByName(reps.join(seeds, "v", "left_anti").select("v", F.col("v").alias("seed"))))
+    group_of = lambda d, rep: d.join(groups.withColumnRenamed("v", rep), rep).select("det_id", F.col("seed").alias("group_id"))
+    members = group_of(dense.select(F.col("id").alias("det_id"), "rep"), "rep")
+    copied = folded.filter("most != id").join(small(dense.select("id", "rep"), 32), "id", "left").select(*box, F.col("id").alias("first"), F.coalesce("rep", "id").alias("rep"))
+    copies = group_of(rows.join(copied, box).filter("det_id != first").select("det_id", "rep").distinct(), "rep")
+    return groups.select(F.col("v").alias("det_id"), F.col("seed").alias("group_id")).unionByName(members).unionByName(copies)
