@@ -223,7 +223,7 @@ def _metric(a: str, b: str, ios: bool = False) -> str:
 
 
 def _pairs_sql(ios: bool, keys: str = "a.scene_id = b.scene_id") -> str:
-    return f"{_DETS} SELECT a.scene_id, a.id AS i, b.id AS j, round({_metric('a', 'b', ios)}, 9) AS metric FROM v_dets a JOIN v_dets b ON {keys} AND a.id < b.id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2 WHERE {_metric('a', 'b', ios)} >= {PAIR_IOU}"
+    return f"{_DETS} SELECT DISTINCT a.scene_id, a.id AS i, b.id AS j, round({_metric('a', 'b', ios)}, 9) AS metric FROM v_dets a JOIN v_dets b ON {keys} AND a.id < b.id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2 WHERE {_metric('a', 'b', ios)} >= {PAIR_IOU}"
 
 
 def _pairs(spark, d, metric) -> DataFrame:
@@ -327,7 +327,7 @@ def _group_query(name: str, how: Merging, fold: bool) -> None:
     if fold:
         query(name, _merged_sql(owners, how.threshold, ios))(lambda spark, d: merged(view(spark, d, "v_dets"), SCENE, how))
     else:
-        query(name, f"{_DETS}, {owners} SELECT id, keeper FROM owners")(lambda spark, d: groups(view(spark, d, "v_dets"), SCENE, how).select("id", "keeper"))
+        query(name, f"{_DETS}, {owners} SELECT DISTINCT id, keeper FROM owners")(lambda spark, d: groups(view(spark, d, "v_dets"), SCENE, how).select("id", "keeper"))
 
 
 _group_query("greedy_nmm", Merging("greedy_nmm", "IOS", 0.5, True), False)
@@ -347,12 +347,12 @@ def union_merge(spark, d):
     return merged(view(spark, d, "v_dets"), SCENE, Merging("union_merge", "IOU", 0.3, False))
 
 
-@query("greedy_nmm_match_all", f"{_DETS}, t AS (SELECT scene_id, id AS keeper FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY {_ORD}) AS rn FROM v_dets) WHERE rn = 1) SELECT id, keeper FROM v_dets JOIN t USING (scene_id)")
+@query("greedy_nmm_match_all", f"{_DETS}, t AS (SELECT scene_id, id AS keeper FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY {_ORD}) AS rn FROM v_dets) WHERE rn = 1) SELECT DISTINCT id, keeper FROM v_dets JOIN t USING (scene_id)")
 def greedy_nmm_match_all(spark, d):
     return groups(view(spark, d, "v_dets"), SCENE, Merging("greedy_nmm", "IOU", 0.0, True)).select("id", "keeper")
 
 
-@query("nmm_match_all", f"{_DETS}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY {_ORD}) AS rn FROM v_dets) WHERE rn = 1) SELECT d.id, CASE WHEN d.score < t.score OR (d.x1 = t.x1 AND d.y1 = t.y1 AND d.x2 = t.x2 AND d.y2 = t.y2) THEN t.id ELSE d.id END AS keeper FROM v_dets d JOIN t USING (scene_id)")
+@query("nmm_match_all", f"{_DETS}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY {_ORD}) AS rn FROM v_dets) WHERE rn = 1) SELECT DISTINCT d.id, CASE WHEN d.score < t.score OR (d.x1 = t.x1 AND d.y1 = t.y1 AND d.x2 = t.x2 AND d.y2 = t.y2) THEN t.id ELSE d.id END AS keeper FROM v_dets d JOIN t USING (scene_id)")
 def nmm_match_all(spark, d):
     return groups(view(spark, d, "v_dets"), SCENE, Merging("nmm", "IOU", 0.0, True)).select("id", "keeper")
 
