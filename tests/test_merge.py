@@ -7,9 +7,10 @@ from tilewright.operators import merge as M
 from tilewright.operators.overlap import grid_pairs
 
 SCHEMA = "image_id bigint, id bigint, category_id int, score double, x1 double, y1 double, x2 double, y2 double"
-NMS = [(0, 0, 10, 10, 0.9, 1), (1, 1, 9, 9, 0.8, 1), (100, 100, 110, 110, 0.7, 1)]
-BATCHED = [(0, 0, 10, 10, 0.9, 1), (1, 1, 9, 9, 0.8, 2), (0, 0, 10, 10, 0.85, 1)]
-NMM = [(0, 0, 20, 20, 0.95, 1), (2, 2, 10, 10, 0.5, 1), (5, 5, 15, 15, 0.4, 1)]
+#: x1, y1, x2, y2, score, category: a strong box with a shifted and a far one; a second category; a wide box over two small ones.
+SHIFTED = [(40, 30, 80, 70, 0.61, 4), (43, 33, 83, 73, 0.55, 4), (400, 30, 440, 70, 0.2, 4)]
+CLASSES = [(7, 7, 27, 47, 0.3, 0), (8, 8, 28, 48, 0.97, 2), (7, 9, 27, 49, 0.4, 0), (9, 7, 29, 47, 0.96, 2)]
+WIDE = [(0, 0, 60, 30, 0.77, 1), (5, 5, 25, 20, 0.31, 1), (50, 10, 66, 26, 0.3, 1)]
 
 
 def frame(spark, boxes, image=0):
@@ -44,22 +45,22 @@ def brute_forest(box, score, metric, thr):
 
 def test_known_cases(spark):
     kept = lambda b, **kw: sorted(r.id for r in M.nms(frame(spark, b), ["image_id"], **kw).collect())
-    assert kept(NMS) == [0, 2]
-    assert kept(BATCHED, class_agnostic=False) == [0, 1]
-    nested = [(0, 0, 100, 100, 0.9, 1), (10, 10, 20, 20, 0.8, 1)]
-    assert kept(nested) == [0, 1] and kept(nested, metric="IOS") == [0]
-    same = [(0, 0, 5, 5, s, 1) for s in (0.7, 0.8, 0.9)]
+    assert kept(SHIFTED) == [0, 2]
+    assert kept(CLASSES, class_agnostic=False) == [1, 2] and kept(CLASSES) == [1]
+    inner = [(10, 10, 210, 110, 0.5, 3), (30, 30, 50, 60, 0.45, 3)]
+    assert kept(inner) == [0, 1] and kept(inner, metric="IOS") == [0]
+    same = [(3, 3, 9, 8, s, 1) for s in (0.2, 0.6, 0.4)]
     own = {r.id: (r.keeper, r.pos) for r in M.groups(frame(spark, same), ["image_id"], M.Merging("greedy_nmm", "IOU", 0.5, True)).collect()}
-    assert own == {2: (2, 0), 1: (2, 1), 0: (2, 2)}
-    r = M.merged(frame(spark, NMM), ["image_id"], M.Merging("greedy_nmm", "IOU", 0.1, True)).collect()
-    assert [(x.id, x.n_merged, x.x2) for x in r] == [(0, 2, 20.0)]
+    assert own == {1: (1, 0), 2: (1, 1), 0: (1, 2)}
+    r = M.merged(frame(spark, WIDE), ["image_id"], M.Merging("greedy_nmm", "IOU", 0.05, True)).collect()
+    assert [(x.id, x.n_merged, x.x2) for x in r] == [(0, 2, 66.0)]
 
 
 @pytest.mark.parametrize("metric", M.METRICS)
 @pytest.mark.parametrize(("n", "spread"), [(0, 10), (120, 120)])
 def test_strategies_agree(spark, metric, n, spread):
     df = frame(spark, rand(n, spread, n)) if n else spark.createDataFrame([], SCHEMA)
-    for method in ("greedy_nmm", "nmm"):
+    for method in ("greedy_nmm", "nmm", "legacy_nms"):
         how = [M.Merging(method, metric, 0.4, True, s) for s in ("arrow", "relational")]
         a, b = (sorted(map(tuple, M.groups(df, ["image_id"], h).select("id", "keeper", "pos").collect())) for h in how)
         assert a == b
@@ -67,12 +68,38 @@ def test_strategies_agree(spark, metric, n, spread):
     assert kept[0] == kept[1] == kept[2]
 
 
-def test_auto_sends_huge_groups_the_relational_way(spark):
-    df = frame(spark, rand(120, 80, 5)).union(frame(spark, rand(10, 80, 6), 1).withColumn("id", M.F.col("id") + 1000))
-    got = [sorted(map(tuple, M.groups(df, ["image_id"], M.Merging("greedy_nmm", "IOS", 0.5, True, s, 50)).select("id", "keeper", "pos").collect())) for s in ("auto", "arrow")]
+@pytest.mark.parametrize("metric", M.METRICS)
+@pytest.mark.parametrize("method", ["nms", "greedy_nmm", "nmm", "legacy_nms"])
+def test_size_of_a_group_changes_nothing(spark, method, metric):
+    """Groups above max_group fall into components, and those above it go the relational way: the same keepers, at exact ties too."""
+    boxes = rand(120, 150, 5) + [(0, 600, 10, 610, 0.5, 1), (0, 600, 10, 605, 0.5, 1), (0, 700, 10, 705, 0.5, 1), (0, 700, 10, 710, 0.5, 1)]
+    df = frame(spark, boxes).union(frame(spark, rand(10, 80, 6), 1).withColumn("id", M.F.col("id") + 1000))
+    got = [sorted(map(tuple, M.groups(df, ["image_id"], M.Merging(method, metric, 0.5, True, "auto", most)).select("id", "keeper", "pos").collect())) for most in (50_000, 4)]
     assert got[0] == got[1]
 
 
+@pytest.mark.parametrize("threshold", [0.0, -0.5])
+def test_thresholds_that_all_boxes_reach(spark, threshold):
+    df = frame(spark, rand(60, 400, 3))
+    for method in ("greedy_nmm", "legacy_nms"):
+        got = [sorted(map(tuple, M.groups(df, ["image_id"], M.Merging(method, "IOU", threshold, True, s, most)).select("id", "keeper").collect())) for s, most in (("arrow", 50_000), ("auto", 4))]
+        assert got[0] == got[1] and (method == "legacy_nms" and threshold == 0 or len({k for _, k in got[0]}) == 1)
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.0])
+def test_union_merge_of_large_groups(spark, threshold):
+    df = frame(spark, rand(100, 600, 11))
+    got = [sorted(map(tuple, M.merged(df, ["image_id"], M.Merging("union_merge", "IOU", threshold, True, "auto", most)).collect())) for most in (50_000, 4)]
+    assert got[0] == got[1] and any(r[-1] for r in got[0])
+
+
+def test_components(spark):
+    r = np.random.default_rng(5)
+    pairs = [(int(a), int(a) + 1) for a in r.permutation(60)] + [(200, 200 + k) for k in range(30)] + [(500, 500)]
+    got = M.connected(spark.createDataFrame(pairs, "a bigint, b bigint"), M.Scratch(spark, "t")).collect()
+    assert len(got) == 61 + 30 and len({x.root for x in got if x.v <= 60}) == 1 and len({x.root for x in got if x.v >= 200}) == 1 and len({x.root for x in got}) == 2
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_kernels_against_plain_definitions(seed):
     box, score = blocks(rand(300, 250, seed))

@@ -41,7 +41,7 @@ def match_edges(b: np.ndarray, metric: str, thr: float, strict: bool = False) ->
     n = len(b)
     if n < 2:
         return EMPTY, EMPTY
-    side = max(1.0, 2 * float(np.median(np.maximum(b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]))))
+    side = max(1e-300, 2 * float(np.median(np.maximum(b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]))))
     lo, hi = np.floor(b[:, :2] / side).astype(np.int64), np.floor(b[:, 2:] / side).astype(np.int64)
     span = np.maximum(hi - lo + 1, 0)
     cells = span[:, 0] * span[:, 1]
@@ -89,24 +89,104 @@ def match_edges(b: np.ndarray, metric: str, thr: float, strict: bool = False) ->
     return i[o], j[o]
 
 
+class _Cells:
+    """Boxes laid on grid cells, to be asked for the neighbours of a few of them at a time."""
+
+    def __init__(self, b: np.ndarray) -> None:
+        n = len(b)
+        side = max(1e-300, 2 * float(np.median(np.maximum(b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]))))
+        lo, hi = np.floor(b[:, :2] / side), np.floor(b[:, 2:] / side)
+        span = np.maximum(hi - lo + 1, 0)
+        cells = span[:, 0] * span[:, 1]
+        self.wide = cells > MANY_CELLS
+        own = np.where(self.wide, 0, cells).astype(np.int64)
+        self.at = np.concatenate([[0], np.cumsum(own)])
+        who = np.repeat(np.arange(n), own)
+        k = np.arange(len(who)) - self.at[who]
+        wide = np.maximum(span[who, 0].astype(np.int64), 1)
+        cx, cy = lo[who, 0] + k % wide, lo[who, 1] + k // wide
+        o = np.lexsort((who, cx, cy))
+        new = np.ones(len(o), bool)
+        new[1:] = (np.diff(cx[o]) != 0) | (np.diff(cy[o]) != 0)
+        #: boxes cell by cell, in order; where each cell starts; the cell of each entry of a box
+        self.boxes, self.start = who[o], np.append(np.flatnonzero(new), len(o))
+        self.cell = np.empty(len(o), np.int64)
+        self.cell[o] = np.cumsum(new) - 1
+        size = np.diff(self.start)
+        #: how many entries asking for a box looks through
+        self.cost = np.concatenate([[0], np.cumsum(size[self.cell])])[self.at]
+        self.cost = np.where(self.wide, n, np.diff(self.cost))
+
+    def near(self, q: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j) with i in q, j > i and live, of boxes that share a cell; repeats included."""
+        out = []
+        few = q[~self.wide[q]]
+        m = self.at[few + 1] - self.at[few]
+        entry = np.repeat(self.at[few] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        c = self.cell[entry]
+        size = self.start[c + 1] - self.start[c]
+        j = self.boxes[np.repeat(self.start[c] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        i = np.repeat(np.repeat(few, m), size)
+        ok = (j > i) & live[j]
+        out.append((i[ok], j[ok]))
+        if self.wide.any():
+            for x, js in [(x, np.flatnonzero(live)) for x in q[self.wide[q]]] + [(x, np.flatnonzero(live & self.wide)) for x in few]:
+                js = js[js > x]
+                out.append((np.full(len(js), x), js))
+        i, j = (np.concatenate(x) for x in zip(*out, strict=True))
+        return i, j
+
+
+#: Boxes settled at once.
+BATCH = 512
+
+
 def greedy(box: np.ndarray, score: np.ndarray, metric: str = "IOU", thr: float = 0.5, strict: bool = False) -> np.ndarray:
     """For each box the position of the keeper that takes it: itself if kept, else the best-ranked keeper it matches.
 
-    ``strict`` is the older variant: only more than the threshold matches, and equal scores keep their position."""
+    ``strict`` is the older variant: only more than the threshold matches, and equal scores keep their position.
+
+    Boxes are settled batch by batch in rank order, and only those that no earlier keeper has taken look for neighbours; in a
+    crowd that is a small part of them."""
     n = len(box)
     rank = np.argsort(-score, kind="stable") if strict else order(box, score)
-    if thr <= 0 and not strict:
-        return np.full(n, rank[0] if n else 0)
-    i, j = match_edges(box[rank], metric, thr, strict)
-    owner = list(range(n))
-    later, at = j.tolist(), np.searchsorted(i, np.arange(n + 1)).tolist()
-    for k in range(n):
-        if owner[k] == k:
-            for m in later[at[k] : at[k + 1]]:
-                if owner[m] == m:
-                    owner[m] = k
+    if n and (thr < 0 or (thr == 0 and not strict)):
+        return np.full(n, rank[0])
+    b = box[rank]
+    owner = np.arange(n)
+    if n:
+        cells, live, at = _Cells(b), np.ones(n, bool), 0
+        area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+    while n and at < n:
+        q = at + np.flatnonzero(live[at : at + 8 * BATCH])[:BATCH]
+        if not len(q):
+            at += 8 * BATCH
+            continue
+        q = q[: max(1, int(np.searchsorted(np.cumsum(cells.cost[q]), CHUNK, "right")))]
+        at = int(q[-1]) + 1
+        i, j = cells.near(q, live)
+        p, o = b[i], b[j]
+        w, h = np.minimum(p[:, 2], o[:, 2]) - np.maximum(p[:, 0], o[:, 0]), np.minimum(p[:, 3], o[:, 3]) - np.maximum(p[:, 1], o[:, 1])
+        inter = np.maximum(w, 0) * np.maximum(h, 0)
+        den = area[i] + area[j] - inter if metric == "IOU" else np.minimum(area[i], area[j])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            v = np.where(den > 0, inter / den, 0.0)
+        ok = v > thr if strict else v >= thr
+        i, j = i[ok], j[ok]
+        # within the batch one after the other; what lies behind it falls to the best of the batch's keepers
+        inside = j < at
+        for x, y in sorted(set(zip(i[inside].tolist(), j[inside].tolist(), strict=True))):
+            if owner[x] == x and owner[y] == y:
+                owner[y] = x
+        first = ~inside & (owner[i] == i)
+        i, j = i[first], j[first]
+        taken = np.full(n - at, n)
+        np.minimum.at(taken, j - at, i)
+        hit = np.flatnonzero(taken < n)
+        owner[at + hit] = taken[hit]
+        live[at + hit] = False
     out = np.empty(n, np.int64)
-    out[rank] = rank[np.array(owner, np.int64)]
+    out[rank] = rank[owner]
     return out
 
 

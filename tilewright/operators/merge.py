@@ -6,7 +6,8 @@ Three interchangeable strategies give the same groups:
 * ``fold``: a Catalyst higher-order fold over the group's sorted array (suppression only); no Python;
 * ``relational``: grid join to match edges, then rounds of joins; for groups of any size, as nothing is gathered per group.
 
-``auto`` counts the groups once: those above ``max_group`` boxes go the relational way, the rest to ``arrow``.
+``auto`` counts the groups once. Those above ``max_group`` boxes are taken apart into the connected components of their match
+graph, on which the result depends and nothing else; components above ``max_group`` go the relational way, the rest to ``arrow``.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import kernels as K
+from tilewright.operators.components import connected
 from tilewright.operators.overlap import grid_pairs
 from tilewright.session import Scratch, ship_package
 
@@ -55,11 +57,20 @@ def _blocks(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return box, np.asarray(t.column("score"), dtype=np.float64)
 
 
-def bucketed(df: DataFrame, keys: list[str], kernel: Callable[[pa.Table], pa.Table], fields: str) -> DataFrame:
-    """Runs a kernel on every group of keys, many groups to an Arrow batch: groups are hashed into a number of buckets that
-    follows the session's shuffle partitions, so small groups don't each pay for a batch of their own."""
+#: Rows of a bucket, as a rule: an Arrow table of some megabytes.
+BUCKET_ROWS = 100_000
+
+
+def buckets(df: DataFrame, rows: int) -> int:
+    """How many buckets ``rows`` rows are hashed into: by their number, and some to each shuffle partition."""
+    return max(8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+
+
+def bucketed(df: DataFrame, keys: list[str], kernel: Callable[[pa.Table], pa.Table], fields: str, rows: int | None = None) -> DataFrame:
+    """Runs a kernel on every group of keys, many groups to an Arrow batch: groups are hashed into as many buckets as the number
+    of rows asks for (counted here unless given), so small groups don't each pay for a batch of their own."""
     ship_package(df.sparkSession)
-    n = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets(df, df.count() if rows is None else rows)
 
     def f(t: pa.Table) -> pa.Table:
         t = t.drop_columns(["__bucket"]).sort_by([(k, "ascending") for k in keys])
@@ -84,7 +95,7 @@ def _group_kernel(how: Merging, key_types: dict[str, pa.DataType]):
         else:
             owner = K.greedy(box, score, how.metric, how.threshold, strict=how.method == "legacy_nms")
             rank = np.empty(len(box), np.int64)
-            rank[K.order(box, score)] = np.arange(len(box))
+            rank[np.argsort(-score, kind="stable") if how.method == "legacy_nms" else K.order(box, score)] = np.arange(len(box))
             claim = rank
         pos = np.zeros(len(box), np.int32)
         members = K.member_order(owner, claim)
@@ -100,8 +111,13 @@ def _fields(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def _arrow_groups(boxes: DataFrame, keys: list[str], how: Merging) -> DataFrame:
-    return bucketed(boxes, keys, _group_kernel(how, dict.fromkeys(keys)), f"{_fields(boxes, keys)}, id bigint, keeper bigint, pos int")
+def _arrow_groups(boxes: DataFrame, keys: list[str], how: Merging, rows: int | None = None) -> DataFrame:
+    return bucketed(boxes, keys, _group_kernel(how, dict.fromkeys(keys)), f"{_fields(boxes, keys)}, id bigint, keeper bigint, pos int", rows)
+
+
+def _order(how: Merging) -> list[str]:
+    """What decides between equal scores."""
+    return ["id"] if how.method == "legacy_nms" else ["x1", "y1", "x2", "y2", "id"]
 
 
 def ranked(boxes: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,26 +141,29 @@ def fold_nms(boxes: DataFrame, keys: list[str], how: Merging) -> DataFrame:
     return g.select(*keys, F.explode(kept).alias("k")).select(*keys, F.col("k.id").alias("id"))
 
 
-def _edges(boxes: DataFrame, keys: list[str], how: Merging, scratch: Scratch) -> DataFrame:
+def _pairs(boxes: DataFrame, keys: list[str], how: Merging) -> DataFrame:
+    return grid_pairs(boxes, keys, "id", how.metric, how.threshold, strict=how.method == "legacy_nms").select("i", "j")
+
+
+def _edges(boxes: DataFrame, pairs: DataFrame, how: Merging, scratch: Scratch) -> DataFrame:
     """(lo, hi) of each matching pair: the better-ranked box and the other; dominated tells whether lo may claim hi."""
-    e = grid_pairs(boxes, keys, "id", how.metric, how.threshold).select("i", "j")
     cols = ["id", "score", "x1", "y1", "x2", "y2"]
     own = boxes.select(*cols)
     a, b = (own.select(*[F.col(c).alias(f"{s}_{c}") for c in cols]) for s in "ab")
-    j = e.join(a, F.col("i") == F.col("a_id")).join(b, F.col("j") == F.col("b_id"))
-    key = lambda s: F.struct((-F.col(f"{s}_score")).alias("s"), *[F.col(f"{s}_{c}").alias(c) for c in ("x1", "y1", "x2", "y2", "id")])
+    j = pairs.join(a, F.col("i") == F.col("a_id")).join(b, F.col("j") == F.col("b_id"))
+    key = lambda s: F.struct((-F.col(f"{s}_score")).alias("s"), *[F.col(f"{s}_{c}").alias(c) for c in _order(how)])
     first = key("a") < key("b")
     same = F.col("a_score") == F.col("b_score")
     twin = same & (F.col("a_x1") == F.col("b_x1")) & (F.col("a_y1") == F.col("b_y1")) & (F.col("a_x2") == F.col("b_x2")) & (F.col("a_y2") == F.col("b_y2"))
     return scratch.write(j.select(F.when(first, F.col("i")).otherwise(F.col("j")).alias("lo"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("hi"), (~same | twin).alias("dominates"), F.when(first, key("a")).otherwise(key("b")).alias("lo_key")))
 
 
-def _relational_groups(boxes: DataFrame, keys: list[str], how: Merging) -> DataFrame:
+def _relational_groups(boxes: DataFrame, keys: list[str], how: Merging, pairs: DataFrame | None = None) -> DataFrame:
     """Greedy: a box with no undecided better neighbour is kept and takes its neighbours; rounds until all are decided.
     Transitive: each box hangs from its best dominating neighbour; roots by pointer doubling."""
     scratch = Scratch(boxes.sparkSession, "merge")
     boxes = scratch.write(boxes.select(*keys, "id", "score", "x1", "y1", "x2", "y2"))
-    edges = _edges(boxes, keys, how, scratch)
+    edges = _edges(boxes, _pairs(boxes, keys, how) if pairs is None else pairs, how, scratch)
     if how.method == "nmm":
         hung = edges.filter("dominates").groupBy("hi").agg(F.min("lo_key").alias("k")).select(F.col("hi").alias("id"), F.col("k.id").alias("up"))
         up = scratch.write(hung)
@@ -163,7 +182,9 @@ def _relational_groups(boxes: DataFrame, keys: list[str], how: Merging) -> DataF
             got = scratch.write(takes.select(F.col("hi").alias("id")).distinct())
             gone = got if gone is None else gone.unionByName(got)
             done = got.unionByName(takes.select(F.col("lo").alias("id"))).distinct()
-            left = scratch.write(left.join(done.withColumnRenamed("id", "lo"), "lo", "left_anti").join(got.withColumnRenamed("id", "hi"), "hi", "left_anti"))
+            before, left = left, scratch.write(left.join(done.withColumnRenamed("id", "lo"), "lo", "left_anti").join(got.withColumnRenamed("id", "hi"), "hi", "left_anti"))
+            scratch.drop(takes)
+            scratch.drop(before)
         if gone is None:
             owners = boxes.select("id", F.col("id").alias("keeper")).limit(0)
         else:  # only now is it known which better neighbour was kept
@@ -171,7 +192,7 @@ def _relational_groups(boxes: DataFrame, keys: list[str], how: Merging) -> DataF
             owners = kept.groupBy("hi").agg(F.min("lo_key").alias("k")).select(F.col("hi").alias("id"), F.col("k.id").alias("keeper"))
     claims = edges.filter("dominates").groupBy("hi").agg(F.min("lo_key").alias("claim")).withColumnRenamed("hi", "id") if how.method == "nmm" else None
     out = boxes.join(owners, "id", "left").withColumn("keeper", F.coalesce("keeper", "id"))
-    own = F.struct((-F.col("score")).alias("s"), "x1", "y1", "x2", "y2", "id")
+    own = F.struct((-F.col("score")).alias("s"), *_order(how))
     out = out.withColumn("claim", own) if claims is None else out.join(claims, "id", "left")
     w = Window.partitionBy("keeper").orderBy("claim", "id")
     members = out.filter("id != keeper").withColumn("pos", F.row_number().over(w))
@@ -183,22 +204,44 @@ def groups(boxes: DataFrame, keys: list[str], how: Merging = Merging()) -> DataF
     orders the others. Ids must be unique. A threshold of 0 or less matches all boxes of a group, in closed form."""
     keys = _keys(keys, how)
     b = boxes.select(*keys, F.col("id").cast("bigint").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("score", "x1", "y1", "x2", "y2")])
-    if how.threshold <= 0 and how.method != "legacy_nms":
+    if how.threshold < 0 or (how.threshold == 0 and how.method != "legacy_nms"):
         return _match_all(b, keys, how)
     if how.strategy == "relational":
         return _relational_groups(b, keys, how)
     if how.strategy == "arrow":
         return _arrow_groups(b, keys, how)
-    sizes = b.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > how.max_group).select(*keys)
-    big = Scratch(boxes.sparkSession, "groups").write(sizes)
-    if not big.limit(1).count():
-        return _arrow_groups(b, keys, how)
-    large = _relational_groups(b.join(big, keys, "left_semi"), keys, how)
-    return _arrow_groups(b.join(big, keys, "left_anti"), keys, how).unionByName(large)
+    scratch = Scratch(boxes.sparkSession, "groups")
+    rows, big = _large(b, keys, how.max_group, scratch)
+    if big is None:
+        return _arrow_groups(b, keys, how, rows)
+    small = _arrow_groups(b.join(big, keys, "left_anti"), keys, how, rows)
+    large = scratch.write(b.join(big, keys, "left_semi"))
+    return small.unionByName(_by_components(large, keys, how, scratch))
+
+
+def _large(b: DataFrame, keys: list[str], most: int, scratch: Scratch) -> tuple[int, DataFrame | None]:
+    """The number of rows, and the groups of more than ``most`` of them, if any."""
+    sizes = scratch.write(b.groupBy(*keys).agg(F.count("*").alias("n")))
+    r = sizes.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).head()
+    return r["rows"] or 0, sizes.filter(F.col("n") > most).select(*keys) if (r["most"] or 0) > most else None
+
+
+def _by_components(large: DataFrame, keys: list[str], how: Merging, scratch: Scratch) -> DataFrame:
+    pairs = scratch.write(_pairs(large, keys, how))
+    roots = connected(pairs.toDF("a", "b"), scratch)
+    placed = scratch.write(large.join(roots.withColumnRenamed("v", "id"), "id", "left").withColumn("__root", F.coalesce("root", "id")).drop("root"))
+    # nothing matches a box without pairs, whatever group it is put into
+    rows, big = _large(placed, ["__root"], how.max_group, scratch)
+    if big is None:
+        return _arrow_groups(placed, [*keys, "__root"], how, rows).drop("__root")
+    rest = _arrow_groups(placed.join(big, "__root", "left_anti"), [*keys, "__root"], how, rows).drop("__root")
+    huge = scratch.write(placed.join(big, "__root", "left_semi").drop("__root"))
+    among = pairs.join(huge.select(F.col("id").alias("i")), "i", "left_semi")
+    return rest.unionByName(_relational_groups(huge, keys, how, among))
 
 
 def _match_all(b: DataFrame, keys: list[str], how: Merging) -> DataFrame:
-    item = F.struct((-F.col("score")).alias("s"), "x1", "y1", "x2", "y2", "id")
+    item = F.struct((-F.col("score")).alias("s"), *dict.fromkeys([*_order(how), "x1", "y1", "x2", "y2"]))
     top = b.groupBy(*keys).agg(F.min(item).alias("top"))
     j = b.join(top, keys)
     taken = F.lit(True)
@@ -206,7 +249,7 @@ def _match_all(b: DataFrame, keys: list[str], how: Merging) -> DataFrame:
         twin = (F.col("x1") == F.col("top.x1")) & (F.col("y1") == F.col("top.y1")) & (F.col("x2") == F.col("top.x2")) & (F.col("y2") == F.col("top.y2"))
         taken = (-F.col("score") > F.col("top.s")) | ((-F.col("score") == F.col("top.s")) & twin)
     j = j.withColumn("keeper", F.when(taken, F.col("top.id")).otherwise(F.col("id")))
-    by = ["id"] if how.method == "nmm" else [F.col("score").desc(), "x1", "y1", "x2", "y2", "id"]
+    by = ["id"] if how.method == "nmm" else [F.col("score").desc(), *_order(how)]
     members = j.filter("id != keeper").withColumn("pos", F.row_number().over(Window.partitionBy("keeper").orderBy(*by)))
     return j.filter("id = keeper").select(*keys, "id", "keeper", F.lit(0).alias("pos")).unionByName(members.select(*keys, "id", "keeper", "pos"))
 
@@ -257,17 +300,40 @@ def merged(boxes: DataFrame, keys: list[str], how: Merging = Merging()) -> DataF
     fields = f"{_fields(boxes, plain_keys)}, id bigint, category_id int, score double, x1 double, y1 double, x2 double, y2 double, n_merged bigint"
     b = boxes.select(*plain_keys, F.col("id").cast("bigint").alias("id"), F.col("category_id").cast("int").alias("category_id"), *[F.col(c).cast("double").alias(c) for c in ("score", "x1", "y1", "x2", "y2")])
     if how.method == "union_merge":
-        return bucketed(b, gk, _union_kernel(how, plain_keys), fields)
+        return _union_merged(b, gk, plain_keys, how, fields)
     ship_package(boxes.sparkSession)
     g = groups(b, keys, how).select("id", "keeper", "pos")
     j = b.join(g, "id")
     if how.method in ("nms", "legacy_nms"):
         return j.filter("id = keeper").drop("keeper", "pos").withColumn("n_merged", F.lit(0).cast("bigint")).select(*plain_keys, "id", "category_id", "score", "x1", "y1", "x2", "y2", "n_merged")
     # whatever is folded together shares a keeper, so keepers are hashed, and a huge scene is spread over its keepers
-    n = 8 * int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets(b, b.count())
     return j.groupBy(F.pmod(F.xxhash64("keeper"), F.lit(n)).alias("__bucket")).applyInArrow(_merge_kernel(how, plain_keys), fields)
 
 
+def _union_merged(b: DataFrame, gk: list[str], plain_keys: list[str], how: Merging, fields: str) -> DataFrame:
+    """Groups of more than max_group boxes are taken apart into clusters whose hulls are disjoint: a grown box never leaves the hull
+    of its cluster, so clusters don't meet. One cluster is worked through by one task, as each step depends on the one before."""
+    kernel = _union_kernel(how, plain_keys)
+    scratch = Scratch(b.sparkSession, "union")
+    rows, big = _large(b, gk, how.max_group, scratch)
+    if big is None or how.threshold < 0:
+        return bucketed(b, gk, kernel, fields, rows)
+    small = bucketed(b.join(big, gk, "left_anti"), gk, kernel, fields, rows)
+    large = scratch.write(b.join(big, gk, "left_semi"))
+    hulls = scratch.write(large.select(*gk, F.col("id").alias("root"), "x1", "y1", "x2", "y2"))
+    member = hulls.select(F.col("root").alias("id"), "root")
+    while True:
+        touch = scratch.write(grid_pairs(hulls, gk, "root", "IOS", 0.0, strict=True).select(F.col("i").alias("a"), F.col("j").alias("b")))
+        if not touch.limit(1).count():
+            break
+        up = connected(touch, scratch).select(F.col("v").alias("root"), F.col("root").alias("next"))
+        lift = lambda d: d.join(up, "root", "left").withColumn("root", F.coalesce("next", "root")).drop("next")  # noqa: E731, B023
+        member = scratch.write(lift(member))
+        hulls = scratch.write(lift(hulls).groupBy(*gk, "root").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")))
+    return small.unionByName(bucketed(large.join(member.withColumnRenamed("root", "__root"), "id"), [*gk, "__root"], kernel, fields, rows))
+
+
 def low_confidence_rewrite(how: Merging, confidence: float, model_gives_obb: bool = False, force: bool = False) -> Merging:
     """Below a confidence of 0.1 merging would chain everything: plain suppression by IoU is used, unless forced; oriented boxes are only ever suppressed."""
     if model_gives_obb:
