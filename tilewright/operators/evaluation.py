@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.session import ship_package
+from tilewright.operators.merge import buckets
+from tilewright.session import fits_broadcast, ship_package
 
 IOU_THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
 AREAS = (1024.0, 9216.0, 1e10)
@@ -62,6 +64,49 @@ def _codes(d: pa.Table, g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return code[:n], code[n:]
 
 
+#: Pairs of boxes looked at in one go; bounds the memory, not the number of detections or of ground truth.
+CHUNK = 1 << 22
+
+
+def _near(d: np.ndarray, dcode: np.ndarray, darea: np.ndarray, g: np.ndarray, gcode: np.ndarray, crowd: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(detection, truth, overlap) of each pair of one image and category that overlaps by ``least``, in order: a sweep along x, by
+    the truth's left edges, between those that start beyond the detection and those too narrow to reach it."""
+    if not len(d) or not len(g):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    low = min(d[:, 0].min(), g[:, 0].min())
+    span = 2.0 * (max(d[:, 2].max(), g[:, 2].max()) - low) + 1.0
+    widest = np.zeros(int(max(dcode.max(), gcode.max())) + 1)
+    np.maximum.at(widest, gcode, g[:, 2] - g[:, 0])
+    key = gcode * span + (g[:, 0] - low)
+    o = np.argsort(key, kind="stable")
+    key = key[o]
+    slack = 1e-9 * (abs(key[-1]) + span)
+    base = dcode * span
+    first = np.searchsorted(key, np.maximum(base, base + (d[:, 0] - low) - widest[dcode]) - slack, "left")
+    n = np.maximum(np.searchsorted(key, base + (d[:, 2] - low) + slack, "right") - first, 0)
+    own = (g[:, 2] - g[:, 0]) * (g[:, 3] - g[:, 1])
+    out, at, total = [], 0, np.cumsum(n)
+    while at < len(d):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK, "right")))
+        m = n[at:to]
+        di = np.repeat(np.arange(at, to), m)
+        gi = o[np.repeat(first[at:to] - (np.cumsum(m) - m), m) + np.arange(len(di))]
+        same = gcode[gi] == dcode[di]
+        di, gi = di[same], gi[same]
+        w = np.minimum(d[di, 2], g[gi, 2]) - np.maximum(d[di, 0], g[gi, 0])
+        h = np.minimum(d[di, 3], g[gi, 3]) - np.maximum(d[di, 1], g[gi, 1])
+        inter = np.maximum(w, 0) * np.maximum(h, 0)
+        den = np.where(crowd[gi], darea[di], darea[di] + own[gi] - inter)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            iou = np.where(den > 0, inter / den, 0.0)
+        near = iou >= least
+        out.append((di[near], gi[near], iou[near]))
+        at = to
+    di, gi, iou = (np.concatenate(x) for x in zip(*out, strict=True))
+    o = np.lexsort((gi, di))
+    return di[o], gi[o], iou[o]
+
+
 def _matcher(thresholds: Sequence[float], ranges: list[tuple[float, float]]):
     """Pairs of a bucket are found all at once. A pair of which neither side overlaps anything else is settled by comparing its
     overlap with the thresholds; only what competes is matched one by one."""
@@ -78,19 +123,7 @@ def _matcher(thresholds: Sequence[float], ranges: list[tuple[float, float]]):
         d, g, nd = corner(dets), corner(gts), len(dcode)
         crowd, gid = np.asarray(gts.column("iscrowd")).astype(bool), np.asarray(gts.column("id"), np.int64)
         garea, darea = np.asarray(gts.column("area"), np.float64), (d[:, 2] - d[:, 0]) * (d[:, 3] - d[:, 1])
-        first = np.searchsorted(gcode, dcode, "left")
-        n = np.searchsorted(gcode, dcode, "right") - first
-        di = np.repeat(np.arange(nd), n)
-        gi = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(di))
-        w = np.minimum(d[di, 2], g[gi, 2]) - np.maximum(d[di, 0], g[gi, 0])
-        h = np.minimum(d[di, 3], g[gi, 3]) - np.maximum(d[di, 1], g[gi, 1])
-        inter = np.maximum(w, 0) * np.maximum(h, 0)
-        own = (g[:, 2] - g[:, 0]) * (g[:, 3] - g[:, 1])
-        den = np.where(crowd[gi], darea[di], darea[di] + own[gi] - inter)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            iou = np.where(den > 0, inter / den, 0.0)
-        near = iou >= min(cuts)
-        di, gi, iou = di[near], gi[near], iou[near]
+        di, gi, iou = _near(d, dcode, darea, g, gcode, crowd, min(cuts))
         alone = (np.bincount(di, minlength=nd)[di] == 1) & (np.bincount(gi, minlength=len(gcode))[gi] == 1)
         hits = np.zeros(len(di), np.int64)
         for t, cut in enumerate(cuts):
@@ -100,7 +133,7 @@ def _matcher(thresholds: Sequence[float], ranges: list[tuple[float, float]]):
         for a, b, v in zip(di[~alone].tolist(), gi[~alone].tolist(), iou[~alone].tolist(), strict=True):
             rest.setdefault(int(dcode[a]), {}).setdefault(a, []).append((b, v))
         crowds, to = crowd.tolist(), np.full((nd, k), -1, np.int64)
-        tps, skips = [], []
+        tps, skips, rows = [], [], []
         for r, (lo, hi) in enumerate(ranges):
             ign = crowd | (garea < lo) | (garea > hi)
             tp, skip = np.zeros(nd, np.int32), np.where((darea < lo) | (darea > hi), everywhere, 0).astype(np.int32)
@@ -121,10 +154,14 @@ def _matcher(thresholds: Sequence[float], ranges: list[tuple[float, float]]):
                                 skip[a] &= ~(1 << t)
                             if r == 0:
                                 to[a, t] = gid[m]
-            tps.append(tp), skips.append(skip)
-        gt_ids = pa.concat_arrays([pa.ListArray.from_arrays(pa.array(np.arange(nd + 1) * k, pa.int32()), pa.array(to.ravel())), pa.nulls(nd * (len(ranges) - 1), pa.list_(pa.int64()))])
-        rep = lambda c, t: pa.concat_arrays([pa.array(np.asarray(dets.column(c)), t)] * len(ranges))
-        return pa.table([rep("category_id", pa.int32()), rep("id", pa.int64()), rep("score", pa.float64()), pa.array(np.repeat(AREA_LABELS[: len(ranges)], nd).tolist(), pa.string()), pa.array(np.concatenate(tps)), pa.array(np.concatenate(skips)), gt_ids], schema=_OUT)
+            # outside its range a detection that matched nothing counts nowhere
+            on = np.arange(nd) if r == 0 else np.flatnonzero((tp != 0) | (skip != everywhere))
+            tps.append(tp[on]), skips.append(skip[on]), rows.append(on)
+        all_, rest_n = nd, sum(map(len, rows[1:]))
+        gt_ids = pa.concat_arrays([pa.ListArray.from_arrays(pa.array(np.arange(all_ + 1) * k, pa.int32()), pa.array(to.ravel())), pa.nulls(rest_n, pa.list_(pa.int64()))])
+        of = lambda c, t: pa.concat_arrays([pa.array(np.asarray(dets.column(c))[on], t) for on in rows])
+        lbl = pa.array(np.repeat(AREA_LABELS[: len(ranges)], [len(on) for on in rows]).tolist(), pa.string())
+        return pa.table([of("category_id", pa.int32()), of("id", pa.int64()), of("score", pa.float64()), lbl, pa.array(np.concatenate(tps)), pa.array(np.concatenate(skips)), gt_ids], schema=_OUT)
 
     return f
 
@@ -138,7 +175,8 @@ def matches(dets: DataFrame, truth: DataFrame, thresholds: Sequence[float] = IOU
     """(category_id, id, score, area_lbl, tp, ignored, gt_id[]): a bit, or an element, for each IoU threshold.
 
     dets(id, image_id, category_id, score, x1..y2); truth(id, image_id, category_id, iscrowd, x1..y2). Each image and category
-    is matched by itself, its best max_detections only; many of them share an Arrow batch, by a hash whose range follows the shuffle partitions."""
+    is matched by itself, its best max_detections only; many of them share an Arrow batch, by a hash whose range follows the number of detections. The
+    smaller area labels have rows for what counts in them only."""
     ship_package(dets.sparkSession)
     box = [F.col(k).cast("double").alias(k) for k in ("x1", "y1", "x2", "y2")]
     keys = [F.col("image_id").cast("bigint").alias("image_id"), F.col("category_id").cast("int").alias("category_id"), F.col("id").cast("bigint").alias("id")]
@@ -146,7 +184,7 @@ def matches(dets: DataFrame, truth: DataFrame, thresholds: Sequence[float] = IOU
     area = F.col("area") if "area" in truth.columns else (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     g = truth.select(*keys, F.col("iscrowd").cast("int").alias("iscrowd"), area.cast("double").alias("area"), *box)
     f = _matcher(thresholds, area_ranges(areas))
-    n = 8 * int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets(dets, dets.count())
     by = F.pmod(F.xxhash64("image_id", "category_id"), F.lit(n)).alias("bucket")
     return d.groupBy(by).cogroup(g.groupBy(by)).applyInArrow(f, _OUT_DDL)
 
@@ -160,7 +198,7 @@ def truth_counts(truth: DataFrame, areas: Sequence[float] = AREAS) -> DataFrame:
 
 
 def pr_points(m: DataFrame, npig: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS) -> DataFrame:
-    """(category_id, area_lbl, iou_thr, tp, fp, npig) after each counted detection.
+    """(category_id, area_lbl, iou_thr, tp, fp, npig) after each detection that is a hit.
 
     All thresholds are summed in one pass over the detections, and exploded only behind it. The running sums have two levels: within a bucket of scores, and over the buckets' totals, so that a category with most of
     the detections is summed by as many tasks as it has buckets."""
@@ -174,10 +212,15 @@ def pr_points(m: DataFrame, npig: DataFrame, thresholds: Sequence[float] = IOU_T
     before = Window.partitionBy(*key).orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*key, "b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"o_{c}") for c in sums])
     within = Window.partitionBy(*key, "b").orderBy(F.col("score").desc(), "id").rowsBetween(Window.unboundedPreceding, 0)
-    run = each.select(*key, "b", *[F.sum(c).over(within).alias(c) for c in sums]).join(offsets, [*key, "b"])
-    point = lambda k: F.struct(F.lit(float(thresholds[k])).alias("iou_thr"), (F.col(hit[k]) + F.col(f"o_{hit[k]}")).alias("tp"), (F.col(seen[k]) + F.col(f"o_{seen[k]}")).alias("n"))
-    p = run.select(*key, F.explode(F.array(*[point(k) for k in t])).alias("z")).select(*key, "z.iou_thr", "z.tp", (F.col("z.n") - F.col("z.tp")).alias("fp")).filter("tp + fp > 0")
-    return p.join(F.broadcast(npig), key)
+    run = each.select(*key, "b", *[F.sum(c).over(within).alias(c) for c in sums], *[F.col(hit[k]).alias(f"h{k}") for k in t]).filter(reduce(lambda x, y: x | y, [F.col(f"h{k}") == 1 for k in t])).join(offsets, [*key, "b"])
+    # precision falls behind a detection that is no hit, so its best values stand at hits
+    point = lambda k: F.when(F.col(f"h{k}") == 1, F.struct(F.lit(float(thresholds[k])).alias("iou_thr"), (F.col(hit[k]) + F.col(f"o_{hit[k]}")).alias("tp"), (F.col(seen[k]) + F.col(f"o_{seen[k]}")).alias("n")))
+    p = run.select(*key, F.explode(F.array_compact(F.array(*[point(k) for k in t]))).alias("z")).select(*key, "z.iou_thr", "z.tp", (F.col("z.n") - F.col("z.tp")).alias("fp"))
+    return p.join(_small(npig), key)
+
+
+def _small(d: DataFrame, width: int = 64) -> DataFrame:
+    return F.broadcast(d) if fits_broadcast(d, width) else d
 
 
 def pr_curve(m: DataFrame, npig: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS) -> DataFrame:
@@ -235,9 +278,9 @@ def error_layers(dets: DataFrame, truth: DataFrame, categories: DataFrame, areas
     c = pr_curve(base, npig, (0.75, 0.5, 0.1)).groupBy("category_id", "area_lbl", "iou_thr").agg(F.avg("precision").alias("precision"))
     out = c.select("category_id", F.element_at(named, F.col("iou_thr")).alias("layer"), "area_lbl", "precision")
     super_of = categories.select("category_id", "supercategory")
-    asked = dets.select("image_id", F.col("category_id").alias("as_category")).distinct().join(F.broadcast(super_of.toDF("as_category", "as_super")), "as_category")
+    asked = dets.select("image_id", F.col("category_id").alias("as_category")).distinct().join(_small(super_of.toDF("as_category", "as_super")), "as_category")
     area = F.col("area") if "area" in truth.columns else (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    t = truth.withColumn("area", area).join(F.broadcast(super_of), "category_id", "left")
+    t = truth.withColumn("area", area).join(_small(super_of), "category_id", "left")
     others = t.join(asked, "image_id").filter(F.col("category_id") != F.col("as_category"))
     cols = ["id", "image_id", "category_id", "iscrowd", "area", "x1", "y1", "x2", "y2"]
     for layer, cond in (("Sim", F.col("supercategory") == F.col("as_super")), ("Oth", F.lit(True))):

@@ -733,6 +733,39 @@ def mask_labels(spark, d):
 # --- evaluation --------------------------------------------------------------------------------------------------------
 
 _EV = ctes("v_truth", "v_preds")
+_MIXED = ctes("v_truth", "v_preds") + ", v_mixed AS (SELECT id, image_id, category_id, CASE WHEN id % 17 = 0 THEN 1 ELSE 0 END AS iscrowd, x1, y1, x2, y2, (x2 - x1) * (y2 - y1) AS area FROM v_truth)"
+_AREA_ROWS = "(VALUES ('all', 0, 1e10), ('s', 0, 1024), ('m', 1024, 9216), ('l', 9216, 1e10)) AS a(area_lbl, lo, hi)"
+
+
+def _match_sql(truth: str, thresholds: str, out: str, areas: str = _AREA_ROWS) -> str:
+    """CTEs of the public matching rule over truth(id, image_id, category_id, iscrowd, area, x1..y2) and v_preds, named after ``out``:
+    detections with their near ground truth first, so that the fold runs over those alone."""
+    v = f"(CASE WHEN g.iscrowd = 1 THEN {_inter('d', 'g')} / {_size('d')} ELSE {_metric('d', 'g')} END)"
+    free = "list_filter(q.c, lambda c: c.v >= least(acc.thr, 1 - 1e-10) AND (c.crowd OR NOT list_contains(acc.used, c.g)))"
+    best = f"list_reverse_sort(list_transform({free}, lambda c: {{'r': NOT (c.crowd OR c.area < acc.lo OR c.area > acc.hi), 'v': c.v, 'g': c.g}}))[1]"
+    return f"""
+{out}_near AS (SELECT d.image_id, d.category_id, d.id, any_value(d.score) AS score, any_value({_size('d')}) AS da, list({{'g': g.id, 'v': {v}, 'crowd': g.iscrowd = 1, 'area': g.area}} ORDER BY g.id) AS c
+  FROM v_preds d JOIN {truth} g ON g.image_id = d.image_id AND g.category_id = d.category_id WHERE {v} >= (SELECT min(thr) - 1e-9 FROM {thresholds}) GROUP BY ALL),
+{out}_each AS (SELECT image_id, category_id, list({{'id': id, 's': score, 'da': da, 'c': c}} ORDER BY score DESC, id) AS l FROM {out}_near GROUP BY ALL),
+{out}_start AS (SELECT image_id, category_id, thr, area_lbl, list_concat([{{'q': NULL, 'thr': thr, 'lo': lo, 'hi': hi, 'used': []::BIGINT[], 'res': []::STRUCT(d BIGINT, r BOOLEAN)[]}}],
+  list_transform(l, lambda q: {{'q': q, 'thr': thr, 'lo': lo, 'hi': hi, 'used': []::BIGINT[], 'res': []::STRUCT(d BIGINT, r BOOLEAN)[]}})) AS l FROM {out}_each CROSS JOIN {thresholds} CROSS JOIN {areas}),
+{out}_hits AS (SELECT category_id, thr, area_lbl, unnest(list_reduce(l, lambda acc, s: {{'q': s.q, 'thr': acc.thr, 'lo': acc.lo, 'hi': acc.hi,
+  'used': list_append(acc.used, coalesce({best.replace('q.c', 's.q.c')}.g, -1)), 'res': list_append(acc.res, {{'d': s.q.id, 'r': {best.replace('q.c', 's.q.c')}.r}})}}).res) AS h FROM {out}_start),
+{out}_judged AS (SELECT d.category_id, d.id, d.score, t.thr, a.area_lbl, coalesce(h.h.r, FALSE) AS tp, CASE WHEN h.h.r IS NULL THEN {_size('d')} < a.lo OR {_size('d')} > a.hi ELSE NOT h.h.r END AS ign
+  FROM v_preds d CROSS JOIN {thresholds} t CROSS JOIN {areas} LEFT JOIN {out}_hits h ON h.category_id = d.category_id AND h.thr = t.thr AND h.area_lbl = a.area_lbl AND h.h.d = d.id)"""
+
+
+def _curve_sql(truth: str, thresholds: str, out: str, npig_of: str) -> str:
+    """Interpolated precision of ``out``'s matches at 101 recalls: {out}_curve, and {out}_tp, the hits of each group."""
+    return f"""
+{out}_npig AS (SELECT category_id, area_lbl, count(*) AS npig FROM {npig_of} CROSS JOIN {_AREA_ROWS} WHERE iscrowd = 0 AND area >= lo AND area <= hi GROUP BY ALL),
+{out}_run AS (SELECT category_id, area_lbl, thr, tp AS hit, sum(tp::INT) OVER w AS tp, count(*) OVER w AS n FROM {out}_judged WHERE NOT ign WINDOW w AS (PARTITION BY category_id, area_lbl, thr ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING)),
+{out}_best AS (SELECT category_id, area_lbl, thr, (tp * 100) // npig AS k, max(tp / n) AS p FROM {out}_run JOIN {out}_npig USING (category_id, area_lbl) GROUP BY ALL),
+{out}_grid AS (SELECT category_id, area_lbl, thr, r.k AS k FROM {out}_npig CROSS JOIN {thresholds} CROSS JOIN range(0, 101) r(k)),
+{out}_curve AS (SELECT g.category_id, g.area_lbl, g.thr AS iou_thr, g.k::INT AS rec_pct, coalesce(max(b.p), 0) AS precision FROM {out}_grid g LEFT JOIN {out}_best b ON b.category_id = g.category_id AND b.area_lbl = g.area_lbl AND b.thr = g.thr AND b.k >= g.k GROUP BY ALL),
+{out}_tp AS (SELECT category_id, area_lbl, thr, count(*) FILTER (tp AND NOT ign) AS tp FROM {out}_judged GROUP BY ALL)"""
+
+
 _THR = "thr AS (SELECT round(0.5 + 0.05 * k, 2)::DOUBLE AS thr, k FROM range(0, 10) t(k))"
 _FREE = f"list_filter(gs, lambda g: NOT list_contains(acc.used, g.id) AND {_metric('q.d', 'g')} >= least(thr, 1 - 1e-10))"
 _MATCH = f"""{_THR},
@@ -752,10 +785,16 @@ grid AS (SELECT category_id, thr, r.k AS k FROM npig CROSS JOIN thr CROSS JOIN r
 curve AS (SELECT g.category_id, g.thr AS iou_thr, g.k::INT AS rec_pct, coalesce(max(b.p), 0) AS precision FROM grid g LEFT JOIN best b ON b.category_id = g.category_id AND b.thr = g.thr AND b.k >= g.k GROUP BY ALL)"""
 
 
-def _eval(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Matches are written once, since curves and recalls both read them."""
-    truth = view(spark, d, "v_truth")
-    return Scratch(spark, "eval").write(E.matches(view(spark, d, "v_preds"), truth)), E.truth_counts(truth)
+def _eval(spark, d, truth: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Matches and counts are written once, since curves and recalls both read them."""
+    truth = view(spark, d, "v_truth") if truth is None else truth
+    scratch = Scratch(spark, "eval")
+    return scratch.write(E.matches(view(spark, d, "v_preds"), truth)), scratch.write(E.truth_counts(truth))
+
+
+def _mixed(spark, d) -> DataFrame:
+    """Ground truth of which a part is crowds."""
+    return view(spark, d, "v_truth").withColumn("iscrowd", F.when(F.col("id") % 17 == 0, 1).otherwise(0))
 
 
 @query("eval_matches", f"{_EV}, {_MATCH} SELECT id, thr AS iou_thr, gt_id FROM m")
@@ -776,12 +815,27 @@ def eval_map(spark, d):
     return E.summary(E.pr_curve(m, n), E.max_recall(m, n)).filter("metric in ('mAP', 'mAP50', 'mAP75')")
 
 
-@query("eval_summary")
+_ALL_OF = f"{_MIXED}, {_THR}, {_match_sql('v_mixed', 'thr', 'x')}, {_curve_sql('v_mixed', 'thr', 'x', 'v_mixed')}"
+_AP = "ap AS (SELECT category_id, area_lbl, iou_thr, avg(precision) AS v FROM x_curve GROUP BY ALL)"
+_AR = "ar AS (SELECT n.area_lbl, coalesce(t.tp, 0) / npig AS v FROM x_npig n CROSS JOIN thr LEFT JOIN x_tp t ON t.category_id = n.category_id AND t.area_lbl = n.area_lbl AND t.thr = thr.thr)"
+_FIGURE = "SELECT '{0}' AS metric, coalesce(round(avg(v), 6), -1) AS value FROM {1} WHERE {2}"
+_FIGURES = [("mAP", "ap", "area_lbl = 'all'"), ("mAP75", "ap", "area_lbl = 'all' AND iou_thr = 0.75"), ("mAP50", "ap", "area_lbl = 'all' AND iou_thr = 0.5")]
+_FIGURES += [x for s in "sml" for x in ((f"mAP_{s}", "ap", f"area_lbl = '{s}'"), (f"mAP50_{s}", "ap", f"area_lbl = '{s}' AND iou_thr = 0.5"), (f"AR_{s}", "ar", f"area_lbl = '{s}'"))]
+
+
+@query("eval_summary", f"{_ALL_OF}, {_AP}, {_AR} {' UNION ALL '.join(_FIGURE.format(*x) for x in _FIGURES)}")
 def eval_summary(spark, d):
-    m, n = _eval(spark, d)
+    """All twelve figures, with crowds in the ground truth."""
+    m, n = _eval(spark, d, _mixed(spark, d))
     return E.summary(E.pr_curve(m, n), E.max_recall(m, n))
 
 
+@query("eval_areas_and_crowds", f"{_ALL_OF} SELECT category_id, area_lbl, iou_thr, rec_pct, round(precision, 9) AS precision FROM x_curve")
+def eval_areas_and_crowds(spark, d):
+    m, n = _eval(spark, d, _mixed(spark, d))
+    return E.pr_curve(m, n).withColumn("precision", F.round("precision", 9))
+
+
 @query("eval_classwise", f"{_EV}, {_PR} SELECT category_id, round(avg(precision), 6) AS \"mAP\", round(avg(precision) FILTER (iou_thr = 0.5), 6) AS \"mAP50\", round(avg(precision) FILTER (iou_thr = 0.75), 6) AS \"mAP75\" FROM curve GROUP BY 1")
 def eval_classwise(spark, d):
     m, n = _eval(spark, d)
@@ -799,7 +853,23 @@ def eval_area_ranges(spark, d):
     return E.truth_counts(view(spark, d, "v_truth"))
 
 
-@query("error_layers")
+def _layers_sql() -> str:
+    """C75, C50 and Loc by their thresholds; Sim and Oth with ground truth of other classes as crowds of the asked class."""
+    truth = "v_full AS (SELECT id, image_id, category_id, iscrowd, x1, y1, x2, y2, (x2 - x1) * (y2 - y1) AS area FROM v_truth)"
+    asked = "asked AS (SELECT DISTINCT image_id, p.category_id AS as_category, c.supercategory AS as_super FROM v_preds p JOIN v_categories c USING (category_id))"
+    extra = "SELECT t.id, t.image_id, a.as_category AS category_id, 1 AS iscrowd, t.x1, t.y1, t.x2, t.y2, t.area FROM v_full t JOIN v_categories c USING (category_id) JOIN asked a ON a.image_id = t.image_id AND a.as_category <> t.category_id"
+    sets = f"v_sim AS (SELECT * FROM v_full UNION ALL {extra} WHERE a.as_super = c.supercategory), v_oth AS (SELECT * FROM v_full UNION ALL {extra})"
+    parts = [_match_sql("v_full", "t3", "c") + "," + _curve_sql("v_full", "t3", "c", "v_full")]
+    parts += [_match_sql(f"v_{x}", "t1", x) + "," + _curve_sql(f"v_{x}", "t1", x, "v_full") for x in ("sim", "oth")]
+    named = "SELECT category_id, CASE WHEN iou_thr = 0.75 THEN 'C75' WHEN iou_thr = 0.5 THEN 'C50' ELSE 'Loc' END AS layer, area_lbl, avg(precision) AS p FROM c_curve GROUP BY ALL"
+    named += "".join(f" UNION ALL SELECT category_id, '{x.title()}', area_lbl, avg(precision) FROM {x}_curve GROUP BY ALL" for x in ("sim", "oth"))
+    return (
+        f"{ctes('v_truth', 'v_preds', 'v_categories')}, {truth}, {asked}, {sets}, t3 AS (SELECT unnest([0.75, 0.5, 0.1])::DOUBLE AS thr), t1 AS (SELECT 0.1::DOUBLE AS thr), {', '.join(parts)}, layers AS ({named}) "
+        "SELECT category_id, layer, area_lbl, round(p, 6) AS precision FROM layers UNION ALL SELECT category_id, 'BG', area_lbl, CASE WHEN p > 0 THEN 1.0 ELSE 0.0 END::DOUBLE FROM layers WHERE layer = 'Oth' UNION ALL SELECT category_id, 'FN', area_lbl, 1.0::DOUBLE FROM layers WHERE layer = 'Oth'"
+    )
+
+
+@query("error_layers", _layers_sql())
 def error_layers(spark, d):
     e = E.error_layers(view(spark, d, "v_preds"), view(spark, d, "v_truth"), view(spark, d, "v_categories"))
     return e.withColumn("precision", F.round("precision", 6))
