@@ -66,40 +66,43 @@ def to_export(segmentation: Column, ox: Column, oy: Column) -> Column:
     return F.filter(open_, lambda p: ring_area(p) > 0)
 
 
-# --- Arrow kernels -----------------------------------------------------------------------------------------------------
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def clip_ring(ring: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
-    """A ring (n, 2) cut to a box, edge by edge; parts that fall apart stay joined along the box's edge."""
-    x1, y1, x2, y2 = box
-    for axis, limit, keep_less in ((0, x1, False), (0, x2, True), (1, y1, False), (1, y2, True)):
-        if not len(ring):
-            break
-        v = ring[:, axis]
-        inside = v <= limit if keep_less else v >= limit
-        out = []
-        for k in range(len(ring)):
-            p, q = ring[k - 1], ring[k]
-            if inside[k] != inside[k - 1]:
-                t = (limit - p[axis]) / (q[axis] - p[axis])
-                out.append(p + t * (q - p))
-            if inside[k]:
-                out.append(q)
-        ring = np.array(out).reshape(-1, 2)
-    return ring
-
-
-@pandas_udf(_RINGS)
-def clip_to_box(segmentation: pd.Series, x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
-    def one(seg, box):
-        out = []
-        for p in seg if seg is not None else ():
-            a = np.asarray(p, float)
-            if len(a) >= 6 and len(a) % 2 == 0 and len(r := clip_ring(a.reshape(-1, 2), box)) >= 3:
-                out.append(r.ravel().tolist())
-        return out
+def points(poly: Column) -> Column:
+    """A flat ring as structs of x and y."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(poly) / 2).cast("int") - 1), lambda k: F.struct(F.get(poly, 2 * k).cast("double").alias("x"), F.get(poly, 2 * k + 1).cast("double").alias("y")))
+
+
+def _cut(ring: Column, axis: str, limit: Column, keep_less: bool) -> Column:
+    """The part of a ring of points on one side of a line: corners inside, and the line's crossings."""
+    inside = lambda p: p[axis] <= limit if keep_less else p[axis] >= limit
+    other = "y" if axis == "x" else "x"
+
+    def crossing(p: Column, q: Column) -> Column:
+        at = p[other] + (limit - p[axis]) / (q[axis] - p[axis]) * (q[other] - p[other])
+        x, y = (limit, at) if axis == "x" else (at, limit)
+        return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+    def corner(q: Column, k: Column, r: Column) -> Column:
+        p = F.get(r, F.when(k == 0, F.size(r) - 1).otherwise(k - 1))
+        return F.array(F.when(inside(p) != inside(q), crossing(p, q)), F.when(inside(q), q))
 
-    return pd.Series([one(s, b) for s, b in zip(segmentation, zip(x1, y1, x2, y2, strict=True), strict=True)])
+    return _bound(ring, lambda r: F.array_compact(F.flatten(F.transform(r, lambda q, k: corner(q, k, r)))))
+
+
+def clip_to_box(segmentation: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Rings cut to a box, edge by edge, as flat rings again; parts that fall apart stay joined along the box's edge. Rings of fewer
+    than three points, before or after, are left out; null stays null."""
+    whole = F.filter(segmentation, lambda p: (F.size(p) >= 6) & (F.size(p) % 2 == 0))
+    cut = lambda r: _cut(_cut(_cut(_cut(points(r), "x", x1, False), "x", x2, True), "y", y1, False), "y", y2, True)
+    parts = F.filter(F.transform(whole, cut), lambda r: F.size(r) >= 3)
+    return F.transform(parts, lambda r: F.flatten(F.transform(r, lambda p: F.array(p["x"], p["y"]))))
+
+
+# --- Arrow kernels -----------------------------------------------------------------------------------------------------
 
 
 def hull(points: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import boxes as B
 from tilewright.operators import tiling
 from tilewright.operators.merge import Merging, low_confidence_rewrite, merged
-from tilewright.session import ship_package
+from tilewright.session import Scratch, ship_package
 
 PREDICTION = "image_id bigint, tile_idx int, category_id int, category_name string, score double, x1 double, y1 double, x2 double, y2 double"
 
@@ -95,9 +95,9 @@ def sliced_prediction(images: DataFrame, make: Callable[[], Detector], spec: til
     p = tiling.to_full_image(p, t).join(images.select("image_id", "height", "width"), "image_id")
     c = B.clamp(B.cols(), F.col("width").cast("double"), F.col("height").cast("double"))
     p = p.withColumns(dict(zip(("x1", "y1", "x2", "y2"), c, strict=True))).filter(~B.degenerate(B.cols())).drop("height", "width")
-    # ids come from the content, so a retried task gives the same ones
-    p = p.withColumn("id", F.xxhash64("image_id", "tile_idx", "category_id", "score", "x1", "y1", "x2", "y2"))
-    return merged(p.dropDuplicates(["id"]), ["image_id"], low_confidence_rewrite(how, confidence))
+    # ids are given once and written, so that they are unique and stay what they are; equal predictions are all kept
+    p = Scratch(images.sparkSession, "predictions").write(p.withColumn("id", F.monotonically_increasing_id()))
+    return merged(p, ["image_id"], low_confidence_rewrite(how, confidence))
 
 
 def reading_order(preds: DataFrame, row_height: float = 10.0) -> DataFrame:

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions import polygons as P
+
 DEFAULT_OVERLAP = 0.2
 
 
@@ -114,32 +116,63 @@ def _hit_tiles(lo: Column, hi: Column, axis: str) -> Column:
     return F.filter(cand, lambda k: (axis_start(k, length, size, ov) < hi) & (axis_end(k, length, size, ov) > lo))
 
 
+def _on_tiles(images: DataFrame, annotations: DataFrame, spec: TileSpec) -> DataFrame:
+    """Annotations with each tile (row, col, tx1..ty2, nx) that their box overlaps. One equi-join with the images' sizes."""
+    i = with_tile_size(images.select("image_id", "height", "width"), spec)
+    a = annotations.join(i, "image_id").withColumn("nx", axis_count(*_axis("x")))
+    hit = a.withColumn("col", F.explode(_hit_tiles(F.col("x"), F.col("x") + F.col("w"), "x"))).withColumn("row", F.explode(_hit_tiles(F.col("y"), F.col("y") + F.col("h"), "y")))
+    return hit.withColumns({"tx1": axis_start(F.col("col"), *_axis("x")), "tx2": axis_end(F.col("col"), *_axis("x")), "ty1": axis_start(F.col("row"), *_axis("y")), "ty2": axis_end(F.col("row"), *_axis("y"))})
+
+
+_TILE_IDX = "cast(row * nx + col as int) AS tile_idx"
+
+
 def slice_annotations(images: DataFrame, annotations: DataFrame, spec: TileSpec = TileSpec(), min_area_ratio: float = 0.1) -> DataFrame:
     """annotations(image_id, ann_id, category_id, x, y, w, h) on the tiles they overlap, clipped and relative to them.
 
     Columns: image_id, tile_idx, ann_id, category_id, x, y, w, h, area. A part counts if its whole-pixel area is at least
     min_area_ratio of the annotation's; one whose own area is below 1 is dropped. One equi-join with the images' sizes.
     """
-    i = with_tile_size(images.select("image_id", "height", "width"), spec)
-    a = annotations.select("image_id", "ann_id", "category_id", "x", "y", "w", "h").join(i, "image_id")
-    a = a.withColumn("nx", axis_count(*_axis("x")))
-    hit = a.withColumn("col", F.explode(_hit_tiles(F.col("x"), F.col("x") + F.col("w"), "x"))).withColumn("row", F.explode(_hit_tiles(F.col("y"), F.col("y") + F.col("h"), "y")))
-    hit = hit.withColumns({"tx1": axis_start(F.col("col"), *_axis("x")), "tx2": axis_end(F.col("col"), *_axis("x")), "ty1": axis_start(F.col("row"), *_axis("y")), "ty2": axis_end(F.col("row"), *_axis("y"))})
+    hit = _on_tiles(images, annotations.select("image_id", "ann_id", "category_id", "x", "y", "w", "h"), spec)
     cut = hit.withColumns({"cx1": F.greatest("x", "tx1"), "cy1": F.greatest("y", "ty1"), "cx2": F.least(F.col("x") + F.col("w"), F.col("tx2")), "cy2": F.least(F.col("y") + F.col("h"), F.col("ty2"))})
     cut = cut.withColumn("area", F.floor((F.col("cx2") - F.col("cx1")) * (F.col("cy2") - F.col("cy1")))).withColumn("full", F.floor(F.col("w") * F.col("h")))
     kept = cut.filter((F.col("full") >= 1) & (F.col("area") / F.col("full") >= F.lit(float(min_area_ratio))))
     return kept.select(
-        "image_id", (F.col("row") * F.col("nx") + F.col("col")).cast("int").alias("tile_idx"), "ann_id", "category_id",
+        "image_id", F.expr(_TILE_IDX), "ann_id", "category_id",
         (F.col("cx1") - F.col("tx1")).cast("double").alias("x"), (F.col("cy1") - F.col("ty1")).cast("double").alias("y"),
         (F.col("cx2") - F.col("cx1")).cast("double").alias("w"), (F.col("cy2") - F.col("cy1")).cast("double").alias("h"), F.col("area").cast("bigint").alias("area"),
     )
 
 
+def slice_polygons(images: DataFrame, annotations: DataFrame, spec: TileSpec = TileSpec(), min_area_ratio: float = 0.1) -> DataFrame:
+    """annotations(image_id, ann_id, category_id, segmentation) on the tiles they overlap: polygons clipped to the tile and relative
+    to it, box and area derived from what is left of them.
+
+    Columns: image_id, tile_idx, ann_id, category_id, segmentation, x, y, w, h, area. A part counts if its whole-pixel area is
+    at least min_area_ratio of the annotation's, whose own must be at least 1; annotations without polygons have no rows.
+    """
+    seg = F.col("segmentation")
+    a = annotations.select("image_id", "ann_id", "category_id", seg.cast("array<array<double>>").alias("segmentation")).withColumn("b", P.bounds(F.col("segmentation"))).filter("b is not null")
+    a = a.withColumns({"x": F.col("b.x1"), "y": F.col("b.y1"), "w": F.col("b.x2") - F.col("b.x1"), "h": F.col("b.y2") - F.col("b.y1"), "full": P.area(seg)}).drop("b").filter("full >= 1")
+    hit = _on_tiles(images, a, spec).drop("x", "y", "w", "h")
+    box = [F.col(k).cast("double") for k in ("tx1", "ty1", "tx2", "ty2")]
+    cut = hit.withColumn("segmentation", P.clip_to_box(seg, *box)).withColumn("area", P.area(seg)).filter(F.col("area") / F.col("full") >= F.lit(float(min_area_ratio)))
+    moved = F.transform(seg, lambda p: F.transform(p, lambda v, i: F.when(i % 2 == 0, v - box[0]).otherwise(v - box[1])))
+    cut = cut.withColumn("segmentation", moved).withColumn("b", P.bounds(seg)).filter("b is not null")
+    return cut.select("image_id", F.expr(_TILE_IDX), "ann_id", "category_id", "segmentation", F.col("b.x1").alias("x"), F.col("b.y1").alias("y"), (F.col("b.x2") - F.col("b.x1")).alias("w"), (F.col("b.y2") - F.col("b.y1")).alias("h"), "area")
+
+
 def slice_dataset(images: DataFrame, annotations: DataFrame, spec: TileSpec = TileSpec(), min_area_ratio: float = 0.1, ignore_negatives: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The sliced dataset: (tile images with their new sizes and names, annotations on them); empty tiles go if asked."""
+    """The sliced dataset: (tile images with their new sizes and names, annotations on them); empty tiles go if asked. Annotations
+    with a ``segmentation`` keep it, clipped; those without polygons among them are sliced by their box."""
     t = tiles(images.select("image_id", "file_name", "height", "width"), spec)
     t = t.select("image_id", "tile_idx", tile_name(F.col("file_name")).alias("file_name"), (F.col("y2") - F.col("y1")).alias("height"), (F.col("x2") - F.col("x1")).alias("width"))
-    a = slice_annotations(images, annotations, spec, min_area_ratio)
+    if "segmentation" in annotations.columns:
+        drawn = F.coalesce(F.size("segmentation"), F.lit(0)) > 0
+        boxes = slice_annotations(images, annotations.filter(~drawn), spec, min_area_ratio).withColumn("segmentation", F.lit(None).cast("array<array<double>>"))
+        a = slice_polygons(images, annotations.filter(drawn), spec, min_area_ratio).unionByName(boxes)
+    else:
+        a = slice_annotations(images, annotations, spec, min_area_ratio)
     if ignore_negatives:
         t = t.join(a, ["image_id", "tile_idx"], "left_semi")
     return t, a

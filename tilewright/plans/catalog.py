@@ -312,10 +312,10 @@ def _forest_sql(thr: float, ios: bool, cat: bool) -> str:
     )
 
 
-def _merged_sql(owners: str, thr: float, ios: bool) -> str:
+def _merged_sql(owners: str, thr: float, ios: bool, head: str = "") -> str:
     grown = "{'x1': least(acc.x1, m.x1), 'y1': least(acc.y1, m.y1), 'x2': greatest(acc.x2, m.x2), 'y2': greatest(acc.y2, m.y2), 's': greatest(acc.s, m.s), 'c': CASE WHEN acc.s > m.s THEN acc.c ELSE m.c END, 'n': acc.n + 1}"
     return (
-        f"{_DETS}, {owners}, ms AS (SELECT d.scene_id, o.keeper, list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 's': score, 'c': category_id, 'n': 0::BIGINT}} ORDER BY (o.id = o.keeper) DESC, claim, o.id) AS l FROM owners o JOIN v_dets d ON d.id = o.id GROUP BY ALL), "
+        f"{head or _DETS}, {owners}, ms AS (SELECT d.scene_id, o.keeper, list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 's': score, 'c': category_id, 'n': 0::BIGINT}} ORDER BY (o.id = o.keeper) DESC, claim, o.id) AS l FROM owners o JOIN v_dets d ON d.id = o.id GROUP BY ALL), "
         f"fd AS (SELECT scene_id, keeper AS id, list_reduce(l, lambda acc, m: CASE WHEN {_metric('acc', 'm', ios)} > {thr} THEN {grown} ELSE acc END) AS f FROM ms) "
         f"SELECT scene_id, id, f.c AS category_id, f.s AS score, f.x1 AS x1, f.y1 AS y1, f.x2 AS x2, f.y2 AS y2, f.n AS n_merged FROM fd"
     )
@@ -342,7 +342,19 @@ _group_query("nmm_merged", Merging("nmm", "IOU", 0.3, False), True)
 _group_query("batched_nmm_merged", Merging("nmm", "IOS", 0.5, False), True)
 
 
-@query("union_merge")
+_BOX_M = "{'x1': m.x1, 'y1': m.y1, 'x2': m.x2, 'y2': m.y2}"
+_UNION = f"""{_DETS}, start AS (SELECT scene_id, category_id, list({{'id': id, 's': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY score DESC, id) AS l FROM v_dets GROUP BY ALL),
+step AS (
+  SELECT scene_id, category_id, NULL::BIGINT AS id, NULL::DOUBLE AS score, NULL::STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE) AS b, 0::BIGINT AS n_merged, l FROM start
+  UNION ALL
+  SELECT scene_id, category_id, l[1].id, l[1].s, f.b, len(f.t)::BIGINT, list_filter(l[2:], lambda z: NOT list_contains(f.t, z.id)) FROM (
+    SELECT scene_id, category_id, l, list_reduce(list_transform(l, lambda m: {{'id': m.id, 'b': {_BOX_M}, 't': []::BIGINT[]}}), lambda acc, m: CASE WHEN {_metric('acc.b', 'm.b')} > 0.3
+      THEN {{'id': acc.id, 'b': {{'x1': least(acc.b.x1, m.b.x1), 'y1': least(acc.b.y1, m.b.y1), 'x2': greatest(acc.b.x2, m.b.x2), 'y2': greatest(acc.b.y2, m.b.y2)}}, 't': list_append(acc.t, m.id)}} ELSE acc END) AS f
+    FROM step WHERE len(l) > 0) q)
+SELECT scene_id, id, category_id, score, b.x1 AS x1, b.y1 AS y1, b.x2 AS x2, b.y2 AS y2, n_merged FROM step WHERE id IS NOT NULL"""
+
+
+@query("union_merge", _UNION)
 def union_merge(spark, d):
     return merged(view(spark, d, "v_dets"), SCENE, Merging("union_merge", "IOU", 0.3, False))
 
@@ -396,7 +408,7 @@ def sigmoid_decode(spark, d):
 _GRID_BOXES = f"""{ctes('v_images')}, {_grid(512, 102)},
 t AS (SELECT image_id, tile_idx, x1, y1, x2, y2 FROM grid UNION ALL SELECT image_id, -1, 0, 0, width, height FROM v_images WHERE image_id IN (SELECT image_id FROM grid WHERE tile_idx = 1)),
 k AS (SELECT *, unnest(range(0, greatest(1, least(x2 - x1, y2 - y1) - 64), 128)) AS k FROM t),
-p AS (SELECT image_id, tile_idx, ((image_id + k // 128) % 3)::INT AS category_id, ((image_id * 31 + tile_idx * 17 + k) % 1000) / 1000.0::DOUBLE AS score, x1 + k AS x1, y1 + k AS y1, x1 + least(x2 - x1, k + 64) AS x2, y1 + least(y2 - y1, k + 64) AS y2 FROM k)"""
+p AS (SELECT image_id, tile_idx, k, ((image_id + k // 128) % 3)::INT AS category_id, (((image_id * 31 + tile_idx * 17 + k) % 1000 + 1000) % 1000) / 1000.0::DOUBLE AS score, x1 + k AS x1, y1 + k AS y1, x1 + least(x2 - x1, k + 64) AS x2, y1 + least(y2 - y1, k + 64) AS y2 FROM k)"""
 
 
 @query("detect_tiles", f"{_GRID_BOXES} SELECT image_id, tile_idx, category_id, round(score, 6) AS score, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM p WHERE tile_idx >= 0 AND score >= 0.3")
@@ -406,7 +418,11 @@ def detect_tiles(spark, d):
     return T.to_full_image(p, t).withColumn("score", F.round("score", 6))
 
 
-@query("sliced_pipeline")
+_PREDICTED = f"""{_GRID_BOXES}, v_dets AS (SELECT image_id AS scene_id, row_number() OVER (ORDER BY image_id, tile_idx, k) AS id, category_id, score, x1, y1, x2, y2 FROM (
+  SELECT p.image_id, tile_idx, k, category_id, score, greatest(x1, 0)::DOUBLE AS x1, greatest(y1, 0)::DOUBLE AS y1, least(x2, width)::DOUBLE AS x2, least(y2, height)::DOUBLE AS y2 FROM p JOIN v_images i ON i.image_id = p.image_id WHERE score >= 0.3) q WHERE x2 > x1 AND y2 > y1)"""
+
+
+@query("sliced_pipeline", f"SELECT scene_id AS image_id, category_id, score, x1, y1, x2, y2, n_merged FROM ({_merged_sql(_owner_sql(0.5, True, True), 0.5, True, _PREDICTED)})")
 def sliced_pipeline(spark, d):
     return L.sliced_prediction(view(spark, d, "v_images"), L.GridDetector).drop("id")
 
@@ -670,21 +686,91 @@ def poly_export(spark, d):
     return _polys(spark, d).select("id", P.to_export(F.col("segmentation"), F.lit(0.0), F.lit(0.0)).alias("segmentation"))
 
 
-@query("poly_clip")
+def _cut_sql(r: str, axis: str, limit: str, keep_less: bool) -> str:
+    """Points of ring r on one side of a line, as a list."""
+    other, op = ("y", "x")[axis == "y"], "<=" if keep_less else ">="
+    p, q = f"{r}[CASE WHEN k = 1 THEN len({r}) ELSE k - 1 END]", f"{r}[k]"
+    at = f"{p}.{other} + ({limit} - {p}.{axis}) / ({q}.{axis} - {p}.{axis}) * ({q}.{other} - {p}.{other})"
+    x, y = (limit, at) if axis == "x" else (at, limit)
+    return f"list_filter(flatten(list_transform(range(1, len({r}) + 1), lambda k: [CASE WHEN ({p}.{axis} {op} {limit}) <> ({q}.{axis} {op} {limit}) THEN {{'x': ({x})::DOUBLE, 'y': ({y})::DOUBLE}} END, CASE WHEN {q}.{axis} {op} {limit} THEN {q} END])), lambda z: z IS NOT NULL)"
+
+
+def _clip_sql(source: str, keys: str, out: str) -> str:
+    """CTEs that cut rings (keys, seg, no, r: points; bx1..by2) to their box, leaving {out}(keys, no, r, a: area)."""
+    steps, at = [], source
+    for n, (axis, limit, less) in enumerate((("x", "bx1", False), ("x", "bx2", True), ("y", "by1", False), ("y", "by2", True))):
+        steps.append(f"{out}{n} AS MATERIALIZED (SELECT {keys}, no, bx1, by1, bx2, by2, {_cut_sql('r', axis, limit, less)} AS r FROM {at})")
+        at = f"{out}{n}"
+    area = "abs(list_sum(list_transform(range(1, len(r) + 1), lambda k: r[k].x * r[CASE WHEN k = len(r) THEN 1 ELSE k + 1 END].y - r[CASE WHEN k = len(r) THEN 1 ELSE k + 1 END].x * r[k].y))) / 2"
+    return ", ".join(steps) + f", {out} AS (SELECT {keys}, no, bx1, by1, bx2, by2, r, {area} AS a FROM {at} WHERE len(r) >= 3)"
+
+
+_RINGS = "generate_subscripts(segmentation, 1) AS no, unnest(segmentation) AS q"
+_POINTS = "list_transform(range(0, len(q) // 2), lambda k: {'x': q[2 * k + 1]::DOUBLE, 'y': q[2 * k + 2]::DOUBLE})"
+
+
+@query(
+    "poly_clip",
+    f"WITH p AS ({_POLY}), rr AS (SELECT id, {_RINGS} FROM p), f AS (SELECT id, min(q[k]) FILTER (k % 2 = 1) AS x1, min(q[k]) FILTER (k % 2 = 0) AS y1, max(q[k]) FILTER (k % 2 = 1) AS x2, max(q[k]) FILTER (k % 2 = 0) AS y2 FROM (SELECT id, q, unnest(range(1, len(q) + 1)) AS k FROM rr) GROUP BY id), "
+    f"s0 AS (SELECT id, no, {_POINTS} AS r, x1::DOUBLE AS bx1, y1::DOUBLE AS by1, ((x1 + x2) / 2)::DOUBLE AS bx2, ((y1 + y2) / 2)::DOUBLE AS by2 FROM rr JOIN f USING (id) WHERE len(q) >= 6 AND len(q) % 2 = 0), {_clip_sql('s0', 'id', 'c')} "
+    "SELECT p.id, round(coalesce(sum(a), 0), 4)::DOUBLE AS area FROM p LEFT JOIN c USING (id) GROUP BY p.id",
+)
 def poly_clip(spark, d):
     """Polygons cut to the left upper quarter of their own bounds, with the area left."""
     p = _polys(spark, d).withColumn("b", P.bounds(F.col("segmentation")))
     c = P.clip_to_box(F.col("segmentation"), F.col("b.x1"), F.col("b.y1"), (F.col("b.x1") + F.col("b.x2")) / 2, (F.col("b.y1") + F.col("b.y2")) / 2)
-    return p.select("id", c.alias("s")).select("id", F.round(P.area_exact(F.col("s")), 6).alias("area"))
+    return p.select("id", c.alias("s")).select("id", F.round(P.area_exact(F.col("s")), 4).alias("area"))
+
+
+_SIZED = "v_images AS (SELECT id AS image_id, '' AS file_name, max(height) AS height, max(width) AS width FROM terrain_all_coco WHERE height > 0 AND width > 0 GROUP BY id)"
+_DRAWN = f"drawn AS (SELECT DISTINCT ON (id) id AS ann_id, image_id, segmentation FROM coco_annotations WHERE len(segmentation) > 0), rr AS (SELECT ann_id, image_id, {_RINGS} FROM drawn)"
+_WHOLE = f"fulls AS (SELECT ann_id, floor(sum(CASE WHEN len(q) >= 6 AND len(q) % 2 = 0 THEN (SELECT abs(list_sum(list_transform(range(1, len(z) + 1), lambda k: z[k].x * z[CASE WHEN k = len(z) THEN 1 ELSE k + 1 END].y - z[CASE WHEN k = len(z) THEN 1 ELSE k + 1 END].x * z[k].y))) / 2 FROM (SELECT {_POINTS} AS z)) ELSE 0 END)) AS full_area FROM rr GROUP BY ann_id)"
 
 
-@query("poly_hull")
+def sized_images(spark, d) -> DataFrame:
+    t = table(spark, d, "terrain_all_coco").filter("height > 0 and width > 0")
+    return t.groupBy(F.col("id").alias("image_id")).agg(F.max("height").alias("height"), F.max("width").alias("width"))
+
+
+@query(
+    "slice_polygons",
+    f"WITH {_SIZED}, {_grid(512, 102)}, {_DRAWN}, {_WHOLE}, s0 AS (SELECT rr.image_id, g.tile_idx, rr.ann_id, no, {_POINTS} AS r, g.x1::DOUBLE AS bx1, g.y1::DOUBLE AS by1, g.x2::DOUBLE AS bx2, g.y2::DOUBLE AS by2 FROM rr JOIN grid g USING (image_id) JOIN fulls USING (ann_id) WHERE full_area >= 1 AND len(q) >= 6 AND len(q) % 2 = 0), "
+    f"{_clip_sql('s0', 'image_id, tile_idx, ann_id', 'c')}, z AS (SELECT image_id, tile_idx, ann_id, floor(sum(a)) AS area, min(list_min(list_transform(r, lambda p: p.x))) - any_value(bx1) AS x, min(list_min(list_transform(r, lambda p: p.y))) - any_value(by1) AS y, max(list_max(list_transform(r, lambda p: p.x))) - any_value(bx1) AS x2, max(list_max(list_transform(r, lambda p: p.y))) - any_value(by1) AS y2, count(*) AS n_rings FROM c GROUP BY ALL) "
+    "SELECT image_id, tile_idx, ann_id, area::BIGINT AS area, round(x, 4) AS x, round(y, 4) AS y, round(x2 - x, 4) AS w, round(y2 - y, 4) AS h, n_rings::INT AS n_rings FROM z JOIN fulls USING (ann_id) WHERE area / full_area >= 0.1::DOUBLE AND area > 0",
+)
+def slice_polygons(spark, d):
+    a = table(spark, d, "coco_annotations").filter(F.size("segmentation") > 0).groupBy(F.col("id").alias("ann_id")).agg(F.min_by(F.struct("image_id", "category_id", "segmentation"), "id").alias("r")).select("ann_id", "r.*")
+    s = T.slice_polygons(sized_images(spark, d), a)
+    return s.select("image_id", "tile_idx", "ann_id", "area", *[F.round(k, 4).alias(k) for k in ("x", "y", "w", "h")], F.size("segmentation").alias("n_rings"))
+
+
+_CROSS = "((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x))"
+
+
+@query(
+    "poly_hull",
+    f"WITH p0 AS ({_POLY}), rr AS (SELECT id, {_RINGS} FROM p0), pt AS (SELECT DISTINCT id, z.x AS x, z.y AS y FROM (SELECT id, unnest({_POINTS}) AS z FROM rr WHERE len(q) % 2 = 0)), "
+    # an edge has all points on its left and, of those on its line, none beyond its ends
+    f"e AS (SELECT p.id, p.x * q.y - q.x * p.y AS c FROM pt p JOIN pt q ON p.id = q.id AND (p.x, p.y) <> (q.x, q.y) WHERE NOT EXISTS (SELECT 1 FROM pt r WHERE r.id = p.id AND ({_CROSS} < 0 OR ({_CROSS} = 0 AND ((r.x - p.x) * (q.x - p.x) + (r.y - p.y) * (q.y - p.y) < 0 OR (r.x - q.x) * (p.x - q.x) + (r.y - q.y) * (p.y - q.y) < 0))))) "
+    "SELECT p0.id, round(coalesce(abs(sum(c)) / 2, 0), 4)::DOUBLE AS hull_area FROM p0 LEFT JOIN e ON e.id = p0.id GROUP BY p0.id",
+)
 def poly_hull(spark, d):
     h = _polys(spark, d).select("id", P.convex_hull("segmentation").alias("hull"))
-    return h.select("id", F.round(P.ring_area(F.col("hull")), 6).alias("hull_area"))
+    return h.select("id", F.round(P.ring_area(F.col("hull")), 4).alias("hull_area"))
+
 
+_OFF = "(abs((r[b + 1].x - r[a + 1].x) * (r[k + 1].y - r[a + 1].y) - (r[b + 1].y - r[a + 1].y) * (r[k + 1].x - r[a + 1].x)))"
+_CHORD = "sqrt((r[b + 1].x - r[a + 1].x) ** 2 + (r[b + 1].y - r[a + 1].y) ** 2)"
+_FAR = f"list_transform(range(a + 1, b), lambda k: CASE WHEN {_CHORD} > 0 THEN {_OFF} / {_CHORD} ELSE sqrt((r[k + 1].x - r[a + 1].x) ** 2 + (r[k + 1].y - r[a + 1].y) ** 2) END)"
 
-@query("poly_simplify")
+
+@query(
+    "poly_simplify",
+    f"WITH RECURSIVE p0 AS ({_POLY}), rr AS (SELECT id, {_RINGS} FROM p0), ring AS (SELECT id, no, list_append({_POINTS}, {{'x': q[1]::DOUBLE, 'y': q[2]::DOUBLE}}) AS r FROM rr WHERE len(q) >= 6 AND len(q) % 2 = 0), "
+    f"seg AS (SELECT id, no, r, 0::BIGINT AS a, (len(r) - 1)::BIGINT AS b FROM ring UNION ALL SELECT id, no, r, unnest([a, a + list_position(f, list_max(f))]), unnest([a + list_position(f, list_max(f)), b]) FROM (SELECT *, {_FAR} AS f FROM seg WHERE b - a >= 2) q WHERE list_max(f) > 1), "
+    "kept AS (SELECT id, no, list_transform(list_sort(list_distinct(list(a))), lambda k: [any_value(r)[k + 1].x, any_value(r)[k + 1].y]) AS l FROM seg GROUP BY id, no), "
+    "outs AS (SELECT id, list(flatten(l) ORDER BY no) AS s FROM kept GROUP BY id) SELECT p0.id, coalesce(s, []) AS segmentation FROM p0 LEFT JOIN outs USING (id)",
+)
 def poly_simplify(spark, d):
     return _polys(spark, d).select("id", P.simplify(1.0)("segmentation").alias("segmentation"))
 
