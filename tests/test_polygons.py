@@ -16,11 +16,23 @@ def test_shoelace_and_bounds(spark):
     assert r[2].a == 0 and r[2].b is None and r[3].b is None
 
 
-def test_clip():
-    ring = np.array([[0, 0], [10, 0], [10, 10], [0, 10]], float)
-    c = P.clip_ring(ring, (5, 5, 20, 20))
-    assert sorted(map(tuple, c.tolist())) == [(5, 5), (5, 10), (10, 5), (10, 10)]
-    assert len(P.clip_ring(ring, (20, 20, 30, 30))) == 0
+def test_clip(spark):
+    square, comb = [0, 0, 10, 0, 10, 10, 0, 10], [0, 0, 30, 0, 30, 20, 20, 20, 20, 5, 10, 5, 10, 20, 0, 20]
+    df = spark.createDataFrame([(1, [[float(v) for v in square]]), (2, [[float(v) for v in comb], [1.0, 1.0]]), (3, []), (4, None)], "id int, s array<array<double>>")
+    cut = lambda *b: {r.id: r.c for r in df.select("id", P.clip_to_box(F.col("s"), *[F.lit(float(v)) for v in b]).alias("c")).collect()}
+    got = cut(5, 5, 20, 20)
+    assert sorted(zip(got[1][0][::2], got[1][0][1::2])) == [(5, 5), (5, 10), (10, 5), (10, 10)] and got[3] == [] and got[4] is None
+    assert cut(50, 50, 60, 60) == {1: [], 2: [], 3: [], 4: None}
+    areas = {r.id: r.a for r in df.filter("id = 2").select("id", P.area_exact(P.clip_to_box(F.col("s"), *[F.lit(float(v)) for v in (5, 2, 25, 15)])).alias("a")).collect()}
+    # a strip of 20 x 3, and two teeth of 5 x 10
+    assert areas == {2: 160.0}
+
+
+def test_union_of_rings(spark):
+    a, b, far = [0, 0, 9, 0, 9, 9, 0, 9], [5, 5, 14, 5, 14, 14, 5, 14], [40, 40, 44, 40, 44, 44, 40, 44]
+    df = spark.createDataFrame([(1, [[float(v) for v in r] for r in (a, b, far)]), (2, [[1.0, 2.0]]), (3, None)], "id int, s array<array<double>>")
+    rows = {r.id: (r.u, r.n, r.m) for r in df.select("id", P.union_rings("s").alias("u"), P.pixels_of("s").alias("n")).withColumn("m", P.pixels_of(F.col("u").cast("array<array<double>>"))).collect()}
+    assert rows[1][1] == rows[1][2] == 100 + 100 - 25 + 25 and len(rows[1][0]) == 2 and rows[2] == ([], 0, 0) and rows[3] == (None, None, None)
 
 
 def test_hull_and_simplify():

@@ -1,11 +1,17 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from tilewright import cli
 from tilewright.cli import next_path
+from tilewright.functions import decode as X
 from tilewright.functions import draw
 from tilewright.functions.text import file_base, is_blank, spelling
+from tilewright.operators import pipeline as L
 from tilewright.operators import tiling as T
-from tilewright.sources import datasource
+from tilewright.session import shared_dir
+from tilewright.sources import coco, datasource, yolo
 
 
 def test_frames_batch_and_stream(spark):
@@ -55,3 +61,90 @@ def test_pairs_refuse_a_threshold_of_zero(spark, kind):
 
     with pytest.raises(ValueError):
         grid_pairs(spark.createDataFrame([], "k int, id int, x1 double, y1 double, x2 double, y2 double"), ["k"], metric=kind, threshold=0)
+
+
+def document(path, ids, boxes):
+    """A COCO document of images of 900 x 1300 with the given boxes each."""
+    anns = [{"id": 1, "image_id": i, "category_id": 1 + k % 2, "bbox": list(map(float, b))} for i in ids for k, b in enumerate(boxes)]
+    doc = {"images": [{"id": i, "file_name": f"d/p{i}.png", "height": 900, "width": 1300} for i in ids], "categories": [{"id": 1, "name": "car"}, {"id": 2, "name": "bus", "supercategory": "road"}], "annotations": anns}
+    path.write_text(json.dumps(doc))
+
+
+def test_annotations_of_several_documents_are_numbered_together(spark, tmp_path):
+    document(tmp_path / "a.json", [1, 2], [(0, 0, 10, 10), (5, 5, 20, 20)])
+    document(tmp_path / "b.json", [2, 3], [(1, 1, 10, 10)])
+    d = coco.read_coco(spark, str(tmp_path / "*.json"))
+    assert sorted(r.ann_id for r in d.annotations.collect()) == [1, 2, 3, 4, 5, 6]
+    assert sorted(r.image_id for r in d.images.collect()) == [1, 2, 3] and d.categories.count() == 2
+    (tmp_path / "out").mkdir()
+    coco.write_coco_document(d, f"file://{tmp_path}/out/whole.json")
+    assert len(json.loads((tmp_path / "out" / "whole.json").read_text())["annotations"]) == 6
+
+
+def test_yolo_folder(spark, tmp_path):
+    document(tmp_path / "a.json", range(1, 21), [(10, 10, 100, 50), (5, 5, 0, 20), (2000, 5, 10, 10)])
+    (tmp_path / "img" / "d").mkdir(parents=True)
+    for i in range(1, 21):
+        (tmp_path / "img" / "d" / f"p{i}.png").write_bytes(b"x%d" % i)
+    d = coco.read_coco(spark, str(tmp_path / "a.json"))
+    yolo.write_labels(d, f"file://{tmp_path}/y", str(tmp_path / "img"), 0.7)
+    files = {p.relative_to(tmp_path / "y").as_posix(): p.read_bytes() for p in (tmp_path / "y").rglob("*") if p.is_file()}
+    texts = {k: v for k, v in files.items() if k.endswith(".txt")}
+    assert len(texts) == 20 and {k.split("/")[0] for k in texts} == {"train", "val"}
+    assert all(v.decode().split("\n")[0].startswith("1 ") and len(v.decode().strip().split("\n")) == 1 for v in texts.values())
+    assert all(files[k[:-3] + "png"] == b"x" + k.rpartition("/p")[2][:-4].encode() for k in texts)
+    assert b"nc: 2" in files["data.yml"] and not any(k.endswith(".part") for k in files)
+    yolo.write_labels(d, str(tmp_path / "z"))
+    assert len(list((tmp_path / "z" / "labels").iterdir())) == 20
+
+
+def test_predict_command(spark, tmp_path, capsys):
+    document(tmp_path / "a.json", [4, 5], [])
+    cli.main(["predict", str(tmp_path / "a.json"), str(tmp_path / "run"), "--confidence", "0.1"])
+    rows = spark.read.json(str(tmp_path / "run" / "results"))
+    want = L.sliced_prediction(coco.read_coco(spark, str(tmp_path / "a.json")).images, L.GridDetector, T.TileSpec(512, 512), confidence=0.1)
+    assert rows.count() == want.count() > 10 and {"bbox", "category_name", "area", "iscrowd"} <= set(rows.columns)
+    assert spark.read.parquet(str(tmp_path / "run" / "visuals")).count() == rows.count() and "prediction" in capsys.readouterr().out
+    cli.main(["slice", str(tmp_path / "a.json"), str(tmp_path / "cut"), "--size", "512"])
+    tiles = spark.read.json(str(tmp_path / "cut" / "512" / "images"))
+    assert sorted(r.id for r in tiles.collect()) == list(range(1, tiles.count() + 1))
+
+
+def test_unsliced_prediction_sees_whole_images(spark):
+    im = spark.createDataFrame([(7, "a", 900, 1300)], "image_id bigint, file_name string, height int, width int")
+    whole, cut = (L.raw_predictions(im, L.GridDetector, confidence=0.0, full_image=f, sliced=s).collect() for f, s in ((True, False), (True, True)))
+    assert {r.tile_idx for r in whole} == {-1} and {r.tile_idx for r in cut} == {-1, *range(6)}
+
+
+def test_detection_on_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = [{"image_id": i, "height": 700, "width": 600} for i in range(5)]
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, rows)))
+    frames = spark.readStream.schema("image_id bigint, height int, width int").json(str(tmp_path / "in"))
+    q = L.detect_stream(frames, L.GridDetector, str(tmp_path / "out"), confidence=0.0)
+    q.processAllAvailable()
+    (tmp_path / "in" / "b.json").write_text(json.dumps({"image_id": 9, "height": 700, "width": 600}))
+    q.processAllAvailable()
+    q.stop()
+    got = spark.read.parquet(str(tmp_path / "out" / "predictions"))
+    batch = L.raw_predictions(spark.createDataFrame([*[(i, 700, 600) for i in range(5)], (9, 700, 600)], "image_id bigint, height int, width int"), L.GridDetector, confidence=0.0, full_image=False)
+    key = lambda d: sorted((r.image_id, r.tile_idx, r.score, r.x1, r.y1) for r in d.collect())
+    assert key(got) == key(batch)
+
+
+def test_run_lengths(spark):
+    df = spark.createDataFrame([(1, [3, 2, 6, 9]), (2, [0, 4]), (3, [20]), (4, []), (5, None)], "id int, c array<bigint>")
+    got = {r.id: (r.n, r.b and tuple(r.b)) for r in df.select("id", X.rle_pixels(F.col("c")).alias("n"), X.rle_bounds(F.col("c"), F.lit(4)).alias("b")).collect()}
+    assert got == {1: (11, (0, 0, 4, 3)), 2: (4, (0, 0, 0, 3)), 3: (0, None), 4: (0, None), 5: (None, None)}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), type("C", (), {"master": "spark://a:7077", "applicationId": "x"})()
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())

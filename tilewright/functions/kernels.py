@@ -223,12 +223,12 @@ def member_order(owner: np.ndarray, claim: np.ndarray) -> np.ndarray:
     return members[np.lexsort((members, claim[members], owner[members]))]
 
 
-def fold(box: np.ndarray, score: np.ndarray, category: np.ndarray, owner: np.ndarray, members: np.ndarray, metric: str, thr: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def fold(box: np.ndarray, score: np.ndarray, category: np.ndarray, owner: np.ndarray, members: np.ndarray, metric: str, thr: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Members in order grow their keeper: the union box, the greater score, the category of the higher score (the member's on
     a tie), if they still overlap the grown box by more than thr; others are dropped. Returns corners, scores, categories and
-    the number merged, by position; only keepers' rows mean anything."""
+    the number merged, by position, of which only keepers' rows mean anything, and whether each member was merged."""
     b, s, c, k = box.tolist(), score.tolist(), category.tolist(), [0] * len(box)
-    old = box.tolist()
+    old, took = box.tolist(), np.zeros(len(box), bool)
     for m, o in zip(members.tolist(), owner[members].tolist(), strict=True):
         g, x = b[o], old[m]
         w, h = min(g[2], x[2]) - max(g[0], x[0]), min(g[3], x[3]) - max(g[1], x[1])
@@ -241,7 +241,8 @@ def fold(box: np.ndarray, score: np.ndarray, category: np.ndarray, owner: np.nda
                 c[o] = int(category[m])
             s[o] = max(s[o], float(score[m]))
             k[o] += 1
-    return np.array(b, float).reshape(-1, 4), np.array(s, float), np.array(c), np.array(k, np.int64)
+            took[m] = True
+    return np.array(b, float).reshape(-1, 4), np.array(s, float), np.array(c), np.array(k, np.int64), took
 
 
 def union_merge(box: np.ndarray, score: np.ndarray, metric: str, thr: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

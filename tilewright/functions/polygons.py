@@ -163,27 +163,40 @@ def simplify(tolerance: float = 1.0):
 # --- masks: rows of pixels ---------------------------------------------------------------------------------------------
 
 
+#: Crossings of scan lines and edges looked at in one go.
+_CROSSINGS = 1 << 20
+
+
 def fill(segmentation, width: int, height: int) -> np.ndarray:
     """Pixels whose centre lies in a ring (even-odd), and the rounded outline itself."""
     m = np.zeros((height, width), bool)
     for p in segmentation:
         r = np.rint(np.asarray(p, float)).reshape(-1, 2)
-        if len(r) < 3:
+        if len(r) < 3 or not width:
             continue
-        nxt = np.roll(r, -1, axis=0)
-        inside = np.zeros((height, width), bool)
-        for y in range(max(0, int(r[:, 1].min())), min(height - 1, int(r[:, 1].max())) + 1):
-            (x0, y0), (x1, y1) = r.T, nxt.T
-            cross = (y0 <= y) != (y1 <= y)
-            at = np.sort(x0[cross] + (y - y0[cross]) * (x1[cross] - x0[cross]) / (y1[cross] - y0[cross]))
-            for a, b in zip(at[::2], at[1::2], strict=False):
-                inside[y, max(0, int(np.ceil(a))) : max(0, int(np.floor(b)) + 1)] = True
-        for (x0, y0), (x1, y1) in zip(r, nxt, strict=True):
-            n = int(max(abs(x1 - x0), abs(y1 - y0))) + 1
-            lx, ly = np.rint(np.linspace(x0, x1, n)).astype(int), np.rint(np.linspace(y0, y1, n)).astype(int)
+        (x0, y0), (x1, y1) = r.T, np.roll(r, -1, axis=0).T
+        top, end = max(0, int(y0.min())), min(height - 1, int(y0.max())) + 1
+        rows = max(1, _CROSSINGS // len(r))
+        for y in range(top, end, rows):
+            line = np.arange(y, min(end, y + rows))[:, None]
+            cross = (y0 <= line) != (y1 <= line)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                at = np.where(cross, x0 + (line - y0) * (x1 - x0) / (y1 - y0), np.inf)
+            at = np.sort(at, axis=1)[:, : 2 * int(cross.sum(axis=1).max(initial=0) // 2)]
+            a, b = at[:, ::2], at[:, 1::2]
+            some = np.isfinite(b)
+            k = np.nonzero(some)[0]
+            lo = np.clip(np.ceil(a[some]), 0, width).astype(np.int64)
+            hi = np.clip(np.floor(b[some]) + 1, 0, width).astype(np.int64)
+            step = np.zeros((len(line), width + 1), np.int32)
+            np.add.at(step, (k, lo), 1)
+            np.add.at(step, (k, np.maximum(lo, hi)), -1)
+            m[y : y + len(line)] |= np.cumsum(step[:, :-1], axis=1) > 0
+        n = np.maximum(np.abs(x1 - x0), np.abs(y1 - y0)).astype(np.int64) + 1
+        for e in range(len(r)):
+            lx, ly = np.rint(np.linspace(x0[e], x1[e], n[e])).astype(int), np.rint(np.linspace(y0[e], y1[e], n[e])).astype(int)
             ok = (lx >= 0) & (lx < width) & (ly >= 0) & (ly < height)
-            inside[ly[ok], lx[ok]] = True
-        m |= inside
+            m[ly[ok], lx[ok]] = True
     return m
 
 
@@ -192,33 +205,47 @@ def mask_from_polygons(segmentation: pd.Series, width: pd.Series, height: pd.Ser
     return pd.Series([fill(s if s is not None else [], int(w), int(h)).tolist() for s, w, h in zip(segmentation, width, height, strict=True)])
 
 
+def _tops(mask: np.ndarray) -> list[tuple[int, int]]:
+    """The first pixel, row by row, of each 8-connected part: runs of a row joined with those they touch in the row above."""
+    step = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (ys, starts), (_, ends) = np.nonzero(step == 1), np.nonzero(step == -1)
+    up = list(range(len(ys)))
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    runs = list(zip(ys.tolist(), starts.tolist(), ends.tolist(), strict=True))
+    above = 0
+    for k, (y, a, b) in enumerate(runs):
+        while above < k and (runs[above][0] < y - 1 or (runs[above][0] == y - 1 and runs[above][2] < a)):
+            above += 1
+        j = above
+        while j < k and runs[j][0] == y - 1 and runs[j][1] <= b:
+            p, q = root(j), root(k)
+            up[max(p, q)] = min(p, q)
+            j += 1
+    return [runs[k][:2] for k in range(len(runs)) if up[k] == k]
+
+
 def outline(mask: np.ndarray) -> list[list[int]]:
     """Outer borders of the 8-connected parts as rings of pixel positions, straight runs reduced to their ends; at least three points."""
     h, w = mask.shape
-    pad = np.zeros((h + 2, w + 2), bool)
-    pad[1:-1, 1:-1] = mask
+    wide = np.zeros((h + 2, w + 2), bool)
+    wide[1:-1, 1:-1] = mask
+    pad = wide.tolist()
     step = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
-    seen = np.zeros_like(pad)
     out = []
-    for y, x in zip(*np.nonzero(pad), strict=True):
-        if seen[y, x]:
-            continue
-        stack, part = [(y, x)], []
-        seen[y, x] = True
-        while stack:
-            a, b = stack.pop()
-            part.append((a, b))
-            for dy, dx in step:
-                if pad[a + dy, b + dx] and not seen[a + dy, b + dx]:
-                    seen[a + dy, b + dx] = True
-                    stack.append((a + dy, b + dx))
+    for y, x in _tops(wide):
         ring, at, came = [(y, x)], (y, x), 4
         first = None
         while True:
             for k in range(1, 9):
                 d = (came + k) % 8
                 n = (at[0] + step[d][0], at[1] + step[d][1])
-                if pad[n]:
+                if pad[n[0]][n[1]]:
                     break
             else:
                 break
@@ -247,6 +274,42 @@ def union_polygons(a: pd.Series, b: pd.Series, width: pd.Series, height: pd.Seri
     return pd.Series([outline(fill(p if p is not None else [], int(w), int(h)) | fill(q if q is not None else [], int(w), int(h))) for p, q, w, h in zip(a, b, width, height, strict=True)])
 
 
+def unite(rings: list) -> list[list[int]]:
+    """Outlines of what any ring covers, on a raster no larger than their bounds."""
+    r = [np.asarray(p, float) for p in rings]
+    r = [p for p in r if len(p) >= 6 and len(p) % 2 == 0]
+    if not r:
+        return []
+    x = min(np.floor(p[::2].min()) for p in r)
+    y = min(np.floor(p[1::2].min()) for p in r)
+    w, h = (int(max(np.ceil(p[k::2].max()) for p in r) - o) + 1 for k, o in ((0, x), (1, y)))
+    seg = [p - np.tile([x, y], len(p) // 2) for p in r]
+    return [[int(v + (x if k % 2 == 0 else y)) for k, v in enumerate(ring)] for ring in outline(fill(seg, w, h))]
+
+
+@pandas_udf(_INT_RINGS)
+def union_rings(segmentation: pd.Series) -> pd.Series:
+    """One segmentation that covers what any of its rings covers."""
+    return segmentation.map(lambda s: None if s is None else unite(s))
+
+
+@pandas_udf(T.LongType())
+def pixels_of(segmentation: pd.Series) -> pd.Series:
+    """How many pixels its rings cover together; null for null."""
+
+    def one(s) -> int | None:
+        if s is None:
+            return None
+        r = [np.asarray(p, float) for p in s if len(p) >= 6 and len(p) % 2 == 0]
+        if not r:
+            return 0
+        x, y = min(p[::2].min() for p in r), min(p[1::2].min() for p in r)
+        w, h = (int(np.rint(max(p[k::2].max() for p in r) - o)) + 1 for k, o in ((0, x), (1, y)))
+        return int(fill([p - np.tile([x, y], len(p) // 2) for p in r], w, h).sum())
+
+    return segmentation.map(one).astype("Int64")
+
+
 def threshold(mask: Column, limit: float = 0.5) -> Column:
     return F.transform(mask, lambda row: F.transform(row, lambda v: v > F.lit(limit)))
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import kernels as K
+from tilewright.functions import polygons as P
 from tilewright.operators.components import connected
 from tilewright.operators.overlap import grid_pairs
 from tilewright.session import Scratch, ship_package
@@ -263,14 +264,17 @@ def nms(boxes: DataFrame, keys: list[str], metric: str = "IOU", threshold: float
     return groups(boxes, keys, how).filter("id = keeper").select(*keys, "id")
 
 
-def _merge_kernel(how: Merging, keys: list[str]):
+def _merge_kernel(how: Merging, keys: list[str], members_too: bool = False):
     def f(t: pa.Table) -> pa.Table:
         t = t.sort_by([("keeper", "ascending"), ("pos", "ascending")])
         box, score = _blocks(t)
         cat = np.asarray(t.column("category_id"))
         owner = np.searchsorted(np.asarray(t.column("keeper")), np.asarray(t.column("keeper")), "left")
         members = np.flatnonzero(np.asarray(t.column("pos")) > 0)
-        b, s, c, k = K.fold(box, score, cat, owner, members, how.metric, how.threshold)
+        b, s, c, k, took = K.fold(box, score, cat, owner, members, how.metric, how.threshold)
+        if members_too:
+            on = np.flatnonzero(took | (np.asarray(t.column("pos")) == 0))
+            return pa.table({"keeper": t.column("keeper").take(pa.array(on)), "id": t.column("id").take(pa.array(on))})
         kept = np.flatnonzero(np.asarray(t.column("pos")) == 0)
         cols = {x: t.column(x).take(pa.array(kept)) for x in [*keys, "id"]}
         return pa.table(cols | {"category_id": c[kept].astype(np.int32), "score": s[kept], "x1": b[kept, 0], "y1": b[kept, 1], "x2": b[kept, 2], "y2": b[kept, 3], "n_merged": k[kept]})
@@ -301,14 +305,42 @@ def merged(boxes: DataFrame, keys: list[str], how: Merging = Merging()) -> DataF
     b = boxes.select(*plain_keys, F.col("id").cast("bigint").alias("id"), F.col("category_id").cast("int").alias("category_id"), *[F.col(c).cast("double").alias(c) for c in ("score", "x1", "y1", "x2", "y2")])
     if how.method == "union_merge":
         return _union_merged(b, gk, plain_keys, how, fields)
-    ship_package(boxes.sparkSession)
-    g = groups(b, keys, how).select("id", "keeper", "pos")
-    j = b.join(g, "id")
+    j = _placed(b, keys, how)
     if how.method in ("nms", "legacy_nms"):
         return j.filter("id = keeper").drop("keeper", "pos").withColumn("n_merged", F.lit(0).cast("bigint")).select(*plain_keys, "id", "category_id", "score", "x1", "y1", "x2", "y2", "n_merged")
-    # whatever is folded together shares a keeper, so keepers are hashed, and a huge scene is spread over its keepers
-    n = buckets(b, b.count())
-    return j.groupBy(F.pmod(F.xxhash64("keeper"), F.lit(n)).alias("__bucket")).applyInArrow(_merge_kernel(how, plain_keys), fields)
+    return _by_keeper(j).applyInArrow(_merge_kernel(how, plain_keys), fields)
+
+
+def _placed(b: DataFrame, keys: list[str], how: Merging) -> DataFrame:
+    ship_package(b.sparkSession)
+    return b.join(groups(b, keys, how).select("id", "keeper", "pos"), "id")
+
+
+def _by_keeper(j: DataFrame):
+    """Whatever is folded together shares a keeper, so keepers are hashed, and a huge scene is spread over its keepers."""
+    return j.groupBy(F.pmod(F.xxhash64("keeper"), F.lit(buckets(j, j.count()))).alias("__bucket"))
+
+
+def merged_masks(boxes: DataFrame, keys: list[str], how: Merging = Merging()) -> DataFrame:
+    """(keys, id, segmentation) of the kept boxes of ``merged``: the union, on the pixel raster, of the polygons of each kept box and
+    of those it absorbed. boxes carry a ``segmentation``, null or empty where there is none; a kept box that absorbed nothing
+    keeps its polygons as they are, and its null if all are. Suppression absorbs nothing."""
+    gk = _keys(keys, how)
+    plain_keys = [k for k in gk if k != "category_id"]
+    own = boxes.select(*plain_keys, F.col("id").cast("bigint").alias("id"), F.col("category_id").cast("int").alias("category_id"), *[F.col(c).cast("double").alias(c) for c in ("score", "x1", "y1", "x2", "y2")])
+    drawn = boxes.select(*plain_keys, F.col("id").cast("bigint").alias("id"), F.col("segmentation").cast("array<array<double>>").alias("segmentation"))
+    j = _placed(own, keys, how)
+    if how.method in ("nms", "legacy_nms"):
+        return drawn.join(j.filter("id = keeper").select("id"), "id", "left_semi").select(*plain_keys, "id", "segmentation")
+    if how.method == "union_merge":
+        raise ValueError("union_merge merges boxes only")
+    took = _by_keeper(j).applyInArrow(_merge_kernel(how, plain_keys, True), "keeper bigint, id bigint")
+    # drawing costs far more than its bytes tell, so partitions are not left to be coalesced by size
+    parts = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rings = took.join(drawn.select("id", "segmentation"), "id").repartition(parts, "keeper").groupBy("keeper").agg(F.count("*").alias("n"), F.flatten(F.collect_list("segmentation")).alias("s"))
+    none = F.size("s") == 0
+    united = F.when(none, F.lit(None)).when(F.col("n") == 1, F.col("s")).otherwise(P.union_rings("s").cast("array<array<double>>"))
+    return drawn.drop("segmentation").join(rings.select(F.col("keeper").alias("id"), united.alias("segmentation")), "id").select(*plain_keys, "id", "segmentation")
 
 
 def _union_merged(b: DataFrame, gk: list[str], plain_keys: list[str], how: Merging, fields: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -50,8 +51,9 @@ def register_detector(name: str, factory: Callable[..., Detector]) -> None:
     DETECTORS[name] = factory
 
 
-def detect(tile_table: DataFrame, make: Callable[[], Detector], batch_size: int = 64) -> DataFrame:
-    """Predictions of every tile, by Arrow batches; the model is made once per task."""
+def detect(tile_table: DataFrame, make: Callable[[], Detector], batch_size: int = 64, shifted: bool = False) -> DataFrame:
+    """Predictions of every tile, by Arrow batches; the model is made once per task. ``shifted``: already moved by their tile's
+    corner, so that nothing has to be joined back; streams can be detected on, too."""
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
     ship_package(tile_table.sparkSession)
@@ -61,7 +63,14 @@ def detect(tile_table: DataFrame, make: Callable[[], Detector], batch_size: int
         model = make()
         for b in batches:
             for at in range(0, b.num_rows, batch_size):
-                yield pa.RecordBatch.from_pylist(model.predict(b.slice(at, batch_size).to_pylist()), schema=schema)
+                tiles = b.slice(at, batch_size).to_pylist()
+                found = model.predict(tiles)
+                if shifted:
+                    corner = {(t["image_id"], t["tile_idx"]): (t["x1"], t["y1"]) for t in tiles}
+                    for p in found:
+                        dx, dy = corner[p["image_id"], p["tile_idx"]]
+                        p.update(x1=p["x1"] + dx, x2=p["x2"] + dx, y1=p["y1"] + dy, y2=p["y2"] + dy)
+                yield pa.RecordBatch.from_pylist(found, schema=schema)
 
     return tile_table.mapInArrow(run, PREDICTION)
 
@@ -81,25 +90,66 @@ def remap_categories(preds: DataFrame, mapping: dict[str, int]) -> DataFrame:
     return preds.withColumn("category_id", F.coalesce(m[F.col("category_id").cast("string")], F.col("category_id")).cast("int"))
 
 
-def sliced_prediction(images: DataFrame, make: Callable[[], Detector], spec: tiling.TileSpec = tiling.TileSpec(), how: Merging = Merging(), confidence: float = 0.3, exclude_names: list[str] | None = None, exclude_ids: list[int] | None = None, full_image: bool = True) -> DataFrame:
-    """(image_id, id, category_id, score, x1..y2, n_merged) of images(image_id, file_name, height, width).
-
-    Images of several tiles also get a pass over the whole image. Boxes are moved by their tile's corner, clamped to the image
-    and merged per image; the merging strategy is rewritten for very low confidence."""
-    t = tiling.tiles(images.select("image_id", "height", "width"), spec).select("image_id", "tile_idx", "x1", "y1", "x2", "y2")
+def _tile_rows(images: DataFrame, spec: tiling.TileSpec, full_image: bool, sliced: bool = True) -> DataFrame:
+    """Tiles with the size of their image; images of several tiles, or all if none are cut, have tile -1, the whole image."""
+    size = [F.col("height").alias("ih"), F.col("width").alias("iw")]
+    whole = lambda d: d.select("image_id", F.lit(-1).alias("tile_idx"), F.lit(0).alias("x1"), F.lit(0).alias("y1"), F.col("width").alias("x2"), F.col("height").alias("y2"), *size)
+    if not sliced:
+        return whole(images)
+    t = tiling.tiles(images.select("image_id", "height", "width"), spec).select("image_id", "tile_idx", "x1", "y1", "x2", "y2", *size)
     if full_image:
-        many = t.filter("tile_idx = 1").select("image_id")
-        whole = images.join(many, "image_id", "left_semi").select("image_id", F.lit(-1).alias("tile_idx"), F.lit(0).alias("x1"), F.lit(0).alias("y1"), F.col("width").alias("x2"), F.col("height").alias("y2"))
-        t = t.unionByName(whole)
-    p = exclude(detect(t, make).filter(F.col("score") >= confidence), exclude_names, exclude_ids)
-    p = tiling.to_full_image(p, t).join(images.select("image_id", "height", "width"), "image_id")
+        many = tiling.with_tile_size(images.select("image_id", "height", "width"), spec)
+        n = tiling.axis_count(F.col("width"), F.col("tile_width"), F.col("ov_w")) * tiling.axis_count(F.col("height"), F.col("tile_height"), F.col("ov_h"))
+        t = t.unionByName(whole(many.filter(n > 1)))
+    return t
+
+
+def raw_predictions(images: DataFrame, make: Callable[[], Detector], spec: tiling.TileSpec = tiling.TileSpec(), confidence: float = 0.3, exclude_names: list[str] | None = None, exclude_ids: list[int] | None = None, full_image: bool = True, sliced: bool = True) -> DataFrame:
+    """(image_id, tile_idx, category_id, category_name, score, x1..y2) of images(image_id, height, width), moved to the image and
+    clamped to it; empty boxes go. No shuffle but for the images' size, so this runs on a stream as well."""
+    t = _tile_rows(images, spec, full_image, sliced)
+    p = exclude(detect(t.select("image_id", "tile_idx", "x1", "y1", "x2", "y2"), make, shifted=True).filter(F.col("score") >= confidence), exclude_names, exclude_ids)
+    p = p.join(images.select("image_id", "height", "width"), "image_id") if not images.isStreaming else p
+    if images.isStreaming:
+        return p.filter(~B.degenerate(B.cols()))
     c = B.clamp(B.cols(), F.col("width").cast("double"), F.col("height").cast("double"))
-    p = p.withColumns(dict(zip(("x1", "y1", "x2", "y2"), c, strict=True))).filter(~B.degenerate(B.cols())).drop("height", "width")
+    return p.withColumns(dict(zip(("x1", "y1", "x2", "y2"), c, strict=True))).filter(~B.degenerate(B.cols())).drop("height", "width")
+
+
+def sliced_prediction(images: DataFrame, make: Callable[[], Detector], spec: tiling.TileSpec = tiling.TileSpec(), how: Merging = Merging(), confidence: float = 0.3, exclude_names: list[str] | None = None, exclude_ids: list[int] | None = None, full_image: bool = True, sliced: bool = True) -> DataFrame:
+    """(image_id, id, category_id, score, x1..y2, n_merged) of images(image_id, file_name, height, width).
+
+    Images of several tiles also get a pass over the whole image; ``sliced`` False gives that alone. Boxes are moved by their
+    tile's corner, clamped to the image and merged per image; the merging strategy is rewritten for very low confidence."""
+    p = raw_predictions(images, make, spec, confidence, exclude_names, exclude_ids, full_image, sliced).drop("category_name")
     # ids are given once and written, so that they are unique and stay what they are; equal predictions are all kept
     p = Scratch(images.sparkSession, "predictions").write(p.withColumn("id", F.monotonically_increasing_id()))
     return merged(p, ["image_id"], low_confidence_rewrite(how, confidence))
 
 
+def predict(images: DataFrame, make: Callable[[], Detector], path: str, category_names: dict[int, str] | None = None, **options) -> dict[str, float]:
+    """Predicts images(image_id, file_name, height, width) and writes path/results, COCO result rows with their names as JSON lines,
+    and path/visuals, one row for each box that would be drawn; returns how many seconds each step took."""
+    took, t = {}, time.time()
+    scratch = Scratch(images.sparkSession, "predict")
+    p = scratch.write(sliced_prediction(images, make, **options))
+    took["prediction"], t = time.time() - t, time.time()
+    names = F.create_map(*[x for k, v in (category_names or {}).items() for x in (F.lit(int(k)), F.lit(v))]) if category_names else None
+    named = p.withColumn("category_name", names[F.col("category_id")] if names is not None else F.col("category_id").cast("string"))
+    coco_predictions(named, True).write.mode("overwrite").json(f"{path}/results")
+    took["results"], t = time.time() - t, time.time()
+    named.join(images.select("image_id", "file_name", "height", "width"), "image_id").write.mode("overwrite").parquet(f"{path}/visuals")
+    took["visuals"] = time.time() - t
+    return took
+
+
+def detect_stream(frames: DataFrame, make: Callable[[], Detector], path: str, spec: tiling.TileSpec = tiling.TileSpec(), confidence: float = 0.3, checkpoint: str | None = None):
+    """Detects on a stream of frames(image_id, height, width) and appends the predictions, on the frame's coordinates, to the parquet
+    table at path; returns the running query."""
+    w = raw_predictions(frames, make, spec, confidence, full_image=False).writeStream.format("parquet").outputMode("append")
+    return w.option("checkpointLocation", checkpoint or f"{path}/_checkpoint").start(f"{path}/predictions")
+
+
 def reading_order(preds: DataFrame, row_height: float = 10.0) -> DataFrame:
     """Predictions with their reading position per image: rows of equal height from top to bottom, then left to right."""
     from pyspark.sql import Window
@@ -122,5 +172,8 @@ def sigmoid_decode(logits: Column) -> Column:
     return F.struct((F.array_position(logits, best) - 1).cast("int").alias("label"), (1 / (1 + F.exp(-best.cast("double")))).alias("score"))
 
 
-def coco_predictions(preds: DataFrame) -> DataFrame:
-    return preds.select("image_id", F.array(F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox"), "score", "category_id")
+def coco_predictions(preds: DataFrame, named: bool = False) -> DataFrame:
+    """COCO result rows; ``named``: with category_name, area, iscrowd and, where there is one, the segmentation."""
+    more = [F.col("category_name"), ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"), F.lit(0).alias("iscrowd")] if named else []
+    more += [F.col("segmentation")] if named and "segmentation" in preds.columns else []
+    return preds.select("image_id", F.array(F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox"), "score", "category_id", *more)

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import boxes as B
+from tilewright.functions import decode as X
 from tilewright.functions import polygons as P
 from tilewright.functions.text import file_base
 from tilewright.operators import dataset as D
 from tilewright.operators import evaluation as E
 from tilewright.operators import pipeline as L
 from tilewright.operators import tiling as T
-from tilewright.operators.merge import Merging, groups, merged, nms, ranked
+from tilewright.operators.merge import Merging, groups, merged, merged_masks, nms, ranked
 from tilewright.operators.overlap import grid_pairs, mean_degree
 from tilewright.plans.views import ctes, dataset, view
 from tilewright.session import Scratch, table
@@ -359,6 +360,24 @@ def union_merge(spark, d):
     return merged(view(spark, d, "v_dets"), SCENE, Merging("union_merge", "IOU", 0.3, False))
 
 
+_TOOK = "{'x1': least(acc.x1, m.x1), 'y1': least(acc.y1, m.y1), 'x2': greatest(acc.x2, m.x2), 'y2': greatest(acc.y2, m.y2), 't': list_concat(acc.t, m.t)}"
+_PIXELS = (
+    f"{_DETS}, {_owner_sql(0.5, True, False)}, ms AS (SELECT d.scene_id, o.keeper, list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 't': [d.id]}} ORDER BY (o.id = o.keeper) DESC, claim, o.id) AS l FROM owners o JOIN v_dets d ON d.id = o.id GROUP BY ALL), "
+    f"fd AS (SELECT scene_id, keeper AS id, list_reduce(l, lambda acc, m: CASE WHEN {_metric('acc', 'm', True)} > 0.5 THEN {_TOOK} ELSE acc END).t AS t FROM ms), "
+    "px AS (SELECT f.scene_id, f.id, unnest(range(x1::BIGINT, x2::BIGINT + 1)) AS x, y1, y2 FROM (SELECT scene_id, id, unnest(t) AS m FROM fd WHERE len(t) > 1) f JOIN v_dets d ON d.id = f.m), "
+    "pq AS (SELECT scene_id, id, x, unnest(range(y1::BIGINT, y2::BIGINT + 1)) AS y FROM px) "
+    "SELECT scene_id, id, count(DISTINCT (x, y)) AS pixels FROM pq GROUP BY ALL UNION ALL SELECT scene_id, id, ((x2 - x1 + 1) * (y2 - y1 + 1))::BIGINT FROM v_dets JOIN (SELECT id FROM fd WHERE len(t) = 1) s USING (id)"
+)
+
+
+@query("merge_masks", _PIXELS)
+def merge_masks(spark, d):
+    """Boxes as polygons, merged and united; the pixels that each kept one covers."""
+    boxes = view(spark, d, "v_dets").withColumn("segmentation", F.array(P.box_ring(*B.cols())))
+    m = merged_masks(boxes, SCENE, Merging("greedy_nmm", "IOS", 0.5, True))
+    return m.select("scene_id", "id", P.pixels_of("segmentation").alias("pixels"))
+
+
 @query("greedy_nmm_match_all", f"{_DETS}, t AS (SELECT scene_id, id AS keeper FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY {_ORD}) AS rn FROM v_dets) WHERE rn = 1) SELECT DISTINCT id, keeper FROM v_dets JOIN t USING (scene_id)")
 def greedy_nmm_match_all(spark, d):
     return groups(view(spark, d, "v_dets"), SCENE, Merging("greedy_nmm", "IOU", 0.0, True)).select("id", "keeper")
@@ -454,11 +473,10 @@ def category_filter_by_name(spark, d):
 
 
 def _other(spark, d) -> D.Dataset:
-    """A second dataset: every third image, with one category of its own."""
+    """A second dataset: the same images and annotations under categories of its own, one of them new."""
     a = dataset(spark, d)
-    cats = spark.createDataFrame([(0, "R", "returned"), (1, "X", "new")], "category_id int, name string, supercategory string")
-    pick = a.images.filter("image_id % 3 = 0")
-    return D.Dataset(pick, cats, a.annotations.filter("image_id % 3 = 0 and category_id < 2"))
+    cats = spark.createDataFrame([(0, "R", "returned"), (1, "X", "new"), (2, "A", "kept")], "category_id int, name string, supercategory string")
+    return D.Dataset(a.images, cats, a.annotations)
 
 
 @query("dataset_merge", "SELECT * FROM (VALUES (0, 'A'), (1, 'N'), (2, 'R'), (3, 'X')) AS t(category_id, name)")
@@ -468,13 +486,13 @@ def dataset_merge(spark, d):
 
 @query(
     "dataset_merge_ids",
-    f"{_DS}, t AS (SELECT (SELECT max(image_id) + 1 FROM v_images) AS di, (SELECT max(ann_id) + 1 FROM v_annotations) AS da) SELECT ann_id, image_id, category_id FROM v_annotations UNION ALL SELECT ann_id + da, image_id + di, CASE category_id WHEN 0 THEN 2 ELSE 3 END FROM v_annotations, t WHERE image_id % 3 = 0 AND category_id < 2",
+    f"{_DS}, t AS (SELECT (SELECT max(image_id) + 1 FROM v_images) AS di, (SELECT max(ann_id) + 1 FROM v_annotations) AS da) SELECT ann_id, image_id, category_id FROM v_annotations UNION ALL SELECT ann_id + da, image_id + di, CASE category_id WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END FROM v_annotations, t",
 )
 def dataset_merge_ids(spark, d):
     return D.merge_datasets(dataset(spark, d), _other(spark, d)).annotations.select("ann_id", "image_id", "category_id")
 
 
-@query("dataset_merge_list", f"{_DS}, t AS (SELECT max(image_id) + 1 AS m FROM v_images), o AS (SELECT image_id FROM v_images WHERE image_id % 3 = 0), s AS (SELECT image_id FROM v_images UNION ALL SELECT image_id + m FROM o, t), t2 AS (SELECT max(image_id) + 1 AS m FROM s) SELECT image_id FROM s UNION ALL SELECT image_id + m FROM o, t2")
+@query("dataset_merge_list", f"{_DS}, t AS (SELECT max(image_id) + 1 AS m FROM v_images), s AS (SELECT image_id FROM v_images UNION ALL SELECT image_id + m FROM v_images, t), t2 AS (SELECT max(image_id) + 1 AS m FROM s) SELECT image_id FROM s UNION ALL SELECT image_id + m FROM v_images, t2")
 def dataset_merge_list(spark, d):
     o = _other(spark, d)
     return D.merge_datasets(D.merge_datasets(dataset(spark, d), o), o).images.select("image_id")
@@ -792,6 +810,26 @@ def _mask(spark, d) -> DataFrame:
 _PIX = "px AS (SELECT vec_id, (k - 1) % 8 AS x, (k - 1) // 8 AS y, v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings))"
 
 
+_COUNTED = "c AS (SELECT vec_id, list_transform(embedding, lambda v: floor(abs(v) * 10)::BIGINT) AS counts FROM embeddings), ends AS (SELECT vec_id, unnest(generate_series(2, len(counts), 2)) AS k, counts FROM c), runs AS (SELECT vec_id, list_sum(counts[1:k - 1])::BIGINT AS a, list_sum(counts[1:k])::BIGINT AS b FROM ends), set_ AS (SELECT vec_id, unnest(range(a, b)) AS p FROM runs WHERE b > a)"
+
+
+@query("rle_decode", f"WITH {_COUNTED} SELECT vec_id, count(*) AS pixels, min(p // 8)::INT AS x1, min(p % 8)::INT AS y1, max(p // 8)::INT AS x2, max(p % 8)::INT AS y2 FROM set_ GROUP BY vec_id")
+def rle_decode(spark, d):
+    """Run-length masks of height 8: pixels and bounds without drawing them."""
+    counts = F.transform("embedding", lambda v: F.floor(F.abs(v) * F.lit(10).cast("float")).cast("bigint"))
+    m = table(spark, d, "embeddings").select("vec_id", counts.alias("counts"))
+    r = m.select("vec_id", X.rle_pixels(F.col("counts")).alias("pixels"), X.rle_bounds(F.col("counts"), F.lit(8)).alias("b")).filter("b is not null")
+    return r.select("vec_id", "pixels", "b.*")
+
+
+@query("centre_boxes", f"{_ANNI}, {_BOXED} SELECT ann_id, round(greatest(0, x1), 6) AS x1, round(greatest(0, y1), 6) AS y1, round(least(x2, width), 6) AS x2, round(least(y2, height), 6) AS y2 FROM b")
+def centre_boxes(spark, d):
+    """Relative centre boxes, as many detectors give them, back to clamped corners."""
+    y = _ann_boxes(spark, d).select("ann_id", "height", "width", *_named(B.voc_to_yolo(B.cols(), F.col("width"), F.col("height")), _YOLO))
+    c = X.centre_boxes(*[F.col(k) for k in _YOLO], F.col("width"), F.col("height"))
+    return y.select("ann_id", *[F.round(v, 6).alias(n) for v, n in zip(c, ("x1", "y1", "x2", "y2"), strict=True)])
+
+
 @query("mask_threshold", f"WITH {_PIX} SELECT vec_id, count(*) FILTER (v > 0.1::FLOAT)::INT AS pixels FROM px GROUP BY 1")
 def mask_threshold(spark, d):
     m = P.threshold(F.transform("mask", lambda r: F.transform(r, lambda v: v.cast("float"))), F.lit(0.1).cast("float"))

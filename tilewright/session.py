@@ -7,7 +7,6 @@ import os
 import tempfile
 import uuid
 import zipfile
-from importlib import import_module
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,10 +51,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where the session names one, else a local one (tests)."""
+    """The folder all executors share: spark.checkpoint.dir where the session names one, else, on one machine (tests), a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if _made.get("local_app") != sc.applicationId:
             _made["local_app"] = sc.applicationId
             _made["local_dir"] = tempfile.mkdtemp(prefix="tilewright-")
@@ -103,11 +104,6 @@ class Scratch:
             _delete(self.spark, path)
 
 
-def tables_rows(df: DataFrame) -> int:
-    """Row count of a written table; from parquet footers alone."""
-    return df.count()
-
-
 def fits_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int = 64 << 20) -> bool:
     """Whether a written table is proven small: its counted rows times row_bytes stay within limit_bytes."""
     return df.count() * row_bytes <= limit_bytes
@@ -120,9 +116,3 @@ def cores(spark: SparkSession) -> int:
 def env_path(name: str, default: str) -> str:
     return os.environ.get(name, default)
 
-
-def optional(name: str):
-    try:
-        return import_module(name)
-    except ImportError:
-        return None

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import polygons as P
 from tilewright.operators.dataset import Dataset, first_of_id, running_ids
+from tilewright.sources.files import filesystem
 
 SCHEMA = """
 images ARRAY<STRUCT<id: BIGINT, file_name: STRING, height: INT, width: INT>>,
@@ -18,17 +21,21 @@ RESULT_SCHEMA = "image_id BIGINT, bbox ARRAY<DOUBLE>, score DOUBLE, category_id
 
 def read_coco(spark: SparkSession, path: str, ignore_negatives: bool = False) -> Dataset:
     """Images (the first of an id wins), categories (supercategory defaults to the name) and annotations with boxes derived from
-    their polygons where they have any. A run-length segmentation (an object) is passed over in favour of the box."""
-    raw = spark.read.schema(SCHEMA).json(path, multiLine=True)
-    im = raw.select(F.posexplode("images").alias("ord", "i")).select("ord", F.col("i.id").alias("image_id"), "i.file_name", "i.height", "i.width")
+    their polygons where they have any. A run-length segmentation (an object) is passed over in favour of the box.
+    ``path`` may name several documents; annotations are numbered over all of them, in order of file and place."""
+    raw = spark.read.schema(SCHEMA).json(path, multiLine=True).select("*", F.col("_metadata.file_path").alias("file"))
+    place = F.struct("file", "pos").alias("ord")
+    im = raw.select("file", F.posexplode("images").alias("pos", "i")).select(place, F.col("i.id").alias("image_id"), "i.file_name", "i.height", "i.width")
     images = first_of_id(im.select("image_id", "file_name", "height", "width", "ord"), "image_id", "ord")
     cats = raw.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), "c.name", F.coalesce("c.supercategory", "c.name").alias("supercategory"))
-    an = raw.select(F.posexplode("annotations").alias("ord", "a")).select("ord", "a.*").withColumn("polygons", F.from_json("segmentation", "ARRAY<ARRAY<DOUBLE>>"))
+    cats = cats.dropDuplicates(["category_id"])
+    an = raw.select("file", F.posexplode("annotations").alias("pos", "a")).select(place, F.col("a.image_id"), F.col("a.category_id"), F.col("a.iscrowd"), F.col("a.bbox"), F.col("a.segmentation"))
+    an = running_ids(an, ["ord"], "ann_id").withColumn("polygons", F.from_json("segmentation", "ARRAY<ARRAY<DOUBLE>>"))
     b = P.bounds(F.col("polygons"))
     box = lambda k: F.try_element_at(F.col("bbox"), F.lit(k))
     an = an.withColumn("b", b)
     anns = an.select(
-        (F.col("ord") + 1).cast("bigint").alias("ann_id"), "image_id", "category_id", F.coalesce(F.col("b.x1"), box(1)).alias("x"), F.coalesce(F.col("b.y1"), box(2)).alias("y"),
+        "ann_id", "image_id", "category_id", F.coalesce(F.col("b.x1"), box(1)).alias("x"), F.coalesce(F.col("b.y1"), box(2)).alias("y"),
         F.coalesce(F.col("b.x2") - F.col("b.x1"), box(3)).alias("w"), F.coalesce(F.col("b.y2") - F.col("b.y1"), box(4)).alias("h"), F.col("polygons").alias("segmentation"), F.coalesce("iscrowd", F.lit(0)).alias("iscrowd"),
     )
     if ignore_negatives:
@@ -64,7 +71,8 @@ def write_coco_document(d: Dataset, path: str, ignore_negatives: bool = False, m
     if n > max_rows:
         raise ValueError(f"{n} rows are too many for one document; use write_coco")
     parts = (("images", images.orderBy("id")), ("categories", d.categories.withColumnRenamed("category_id", "id").orderBy("id")), ("annotations", anns.orderBy("id")))
-    with open(path, "w", encoding="utf-8") as f:
+    fs, to = filesystem(path)
+    with io.TextIOWrapper(fs.open_output_stream(to), encoding="utf-8") as f:
         f.write("{")
         for k, (name, df) in enumerate(parts):
             f.write(("," if k else "") + f'"{name}":[')
