@@ -58,8 +58,21 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return p6_found(spark, d).groupBy("table_name", "ref_name", "kind", "period").agg(F.count("*").alias("n"))
 
 
+def _composite(match: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Detections by their (image_id, category_id), either of which may be null, against the pairs that annotations have."""
+
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        own = F.col("category_id").cast("bigint").alias("category_id")
+        refs = table(spark, d, "coco_result").select("det_id", "image_id", own, "created_at").distinct()
+        targets = table(spark, d, "coco_annotations").select("image_id", own, "loaded_at", F.lit(None).cast("timestamp_ntz").alias("deleted_at"))
+        o = orphan_references(refs, targets, {"image_id": "image_id", "category_id": "category_id"}, "created_at", match=match)
+        return o.select("det_id", F.col("orphan_kind").alias("kind"))
+
+    return f
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_records": p1_records, "p1_shapes": p1_shapes, "p1_points": p1_points, "p1_unreadable": p1_unreadable, "p6_found": p6_found, "p6_report": p6_report}
+    return {"p1_found": p1_found, "p1_records": p1_records, "p1_shapes": p1_shapes, "p1_points": p1_points, "p1_unreadable": p1_unreadable, "p6_found": p6_found, "p6_report": p6_report, "p6_composite_partial": _composite("partial"), "p6_composite_full": _composite("full")}
 
 
 _ORPHANS = """
@@ -95,6 +108,17 @@ points AS (SELECT record_id, shape_path, point_no::INT AS point_no, CASE WHEN js
 _LABEL = "CASE json_type(s -> '$.label') WHEN 'ARRAY' THEN s -> '$.label' ->> 0 WHEN 'OBJECT' THEN s -> '$.label' ->> '$.name' WHEN 'NULL' THEN NULL ELSE s ->> '$.label' END"
 
 
+_PAIRS = """
+WITH refs AS (SELECT DISTINCT det_id, image_id, category_id::BIGINT AS category_id, created_at FROM coco_result),
+pairs AS (SELECT image_id, category_id::BIGINT AS category_id, min(loaded_at) AS first, max(loaded_at) AS last FROM coco_annotations WHERE image_id IS NOT NULL AND category_id IS NOT NULL GROUP BY ALL),
+images AS (SELECT image_id, min(loaded_at) AS first FROM coco_annotations WHERE image_id IS NOT NULL GROUP BY ALL),
+categories AS (SELECT category_id::BIGINT AS category_id, min(loaded_at) AS first FROM coco_annotations WHERE category_id IS NOT NULL GROUP BY ALL),
+whole AS (SELECT det_id, created_at, first FROM refs LEFT JOIN pairs USING (image_id, category_id) WHERE image_id IS NOT NULL AND category_id IS NOT NULL),
+one AS (SELECT det_id, created_at, first FROM refs LEFT JOIN images USING (image_id) WHERE image_id IS NOT NULL AND refs.category_id IS NULL UNION ALL SELECT det_id, created_at, first FROM refs LEFT JOIN categories USING (category_id) WHERE refs.image_id IS NULL AND category_id IS NOT NULL)
+"""
+_KIND = "SELECT DISTINCT det_id, CASE WHEN first IS NULL THEN 'missing' ELSE 'late' END AS kind FROM {0} WHERE first IS NULL OR first > created_at"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _UNWRAPPED + "SELECT record_id, shape_path, -1 AS point_no FROM flat UNION ALL SELECT record_id, shape_path, point_no FROM points WHERE x IS NOT NULL AND y IS NOT NULL",
@@ -102,6 +126,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_shapes": _UNWRAPPED + f"SELECT record_id, shape_path, parent_path, {_LABEL} AS label, s ->> '$.shape_type' AS shape_type, TRY_CAST(s ->> '$.group_id' AS BIGINT) AS group_id, depth FROM flat",
         "p1_points": _UNWRAPPED + "SELECT record_id, shape_path, point_no, x, y FROM points WHERE x IS NOT NULL AND y IS NOT NULL",
         "p1_unreadable": _UNWRAPPED + "SELECT record_id, delivery_id, CASE WHEN raw IS NULL THEN 'null' WHEN trim(raw) = '' THEN 'empty' ELSE 'not readable' END AS reason FROM terrain1 t WHERE delivery_id NOT IN (SELECT delivery_id FROM found)",
+        "p6_composite_partial": _PAIRS + _KIND.format("(SELECT * FROM whole UNION ALL SELECT * FROM one)"),
+        "p6_composite_full": _PAIRS + _KIND.format("whole") + " UNION SELECT det_id, 'partial_null' FROM refs WHERE (image_id IS NULL) <> (category_id IS NULL)",
         "p6_found": _ORPHANS + "SELECT * FROM orphans",
         "p6_report": _ORPHANS + "SELECT table_name, ref_name, kind, period, count(*) AS n FROM orphans GROUP BY ALL",
     }
