@@ -258,3 +258,11 @@ def test_bad_threshold(spark):
     for least in (0.0, -1.0, 1.5):
         with pytest.raises(ValueError):
             matched_groups(spark.createDataFrame([], "image_id bigint, det_id bigint, bbox array<int>, score double"), min_iou=least)
+
+
+def test_targets_that_spell_alike_are_refused(spark):
+    targets = spark.createDataFrame([("fuel truck", 50), ("Fuel-Truck", 20)], "category_name string, keep_pct int")
+    dets = spark.createDataFrame([(1, 0.5, "fuel truck", 1)], "det_id bigint, score double, category_name string, category_id int")
+    cats = spark.createDataFrame([(1, "fuel truck")], "id int, name string")
+    with pytest.raises(Exception, match="spell alike"):
+        with_source(dets, targets, cats).collect()

@@ -12,8 +12,11 @@ from tilewright.session import Scratch, cores, fits_broadcast
 
 def with_source(dets: DataFrame, targets: DataFrame, categories: DataFrame) -> DataFrame:
     """dets' det_id and score with ``source``: the target name its category_name spells or, if that is null or blank, the name of
-    its category_id spells; null if neither is a target. The two dimensions are broadcast behind a count of their rows."""
-    names = targets.select(F.col("category_name").alias("source"), spelling(F.col("category_name")).alias("key")).filter("key != ''").dropDuplicates(["key"])
+    its category_id spells; rows of neither are left out. Two targets of one spelling are an error. The two dimensions are
+    broadcast behind a count of their rows."""
+    spelt = targets.select(F.col("category_name").alias("source"), spelling(F.col("category_name")).alias("key")).filter("key != ''").distinct()
+    twice = F.raise_error(F.concat(F.lit("two targets spell alike: "), F.array_join(F.collect_set("source"), ", ")))
+    names = spelt.groupBy("key").agg(F.when(F.count("*") > 1, twice).otherwise(F.min("source")).alias("source")).select("source", "key")
     by_id = categories.select(F.col("id").cast("bigint").alias("cid"), F.col("name").alias("cname")).dropDuplicates(["cid"])
     small = lambda d, width: F.broadcast(d) if fits_broadcast(d, width) else d
     own = dets.select("det_id", "score", F.col("category_name").alias("n"), F.col("category_id").cast("bigint").alias("cid"))

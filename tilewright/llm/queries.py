@@ -30,6 +30,13 @@ def p2_split_images(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.col("record_id").alias("image_id"), split_of(F.col("group_id"), SPLITS).alias("split"))
 
 
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What the splits reach: images, groups and percentage of the images in each."""
+    g = picture_groups(table(spark, d, "terrain_all_coco")).withColumn("split", split_of(F.col("group_id"), SPLITS))
+    n = g.groupBy("split").agg(F.count("*").alias("n_images"), F.count_distinct("group_id").alias("n_groups"))
+    return n.crossJoin(F.broadcast(n.agg(F.sum("n_images").alias("total")))).select("split", "n_images", "n_groups", F.round(100 * F.col("n_images") / F.col("total"), 6).alias("pct"))
+
+
 def p2_split_detections(spark: SparkSession, d: str) -> DataFrame:
     """Detections follow their image; those of an image that is nowhere described form a group by its id."""
     g = picture_groups(table(spark, d, "terrain_all_coco")).select(F.col("record_id").alias("image_id"), "group_id")
@@ -91,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p2_split_images": p2_split_images,
+        "p2_shares": p2_shares,
         "p2_split_detections": p2_split_detections,
         "p3_found": p3_found,
         "p4_found": p4_found,
@@ -146,6 +154,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"WITH {_PICTURES} SELECT image_id, group_id FROM grouped JOIN sized USING (group_id) WHERE n > 1",
         "p2_split_images": f"WITH {_PICTURES}, a AS (SELECT DISTINCT i.id AS image_id, coalesce(group_id, i.id) AS g FROM terrain_all_coco i LEFT JOIN grouped ON image_id = i.id), b AS (SELECT image_id, {_SHARE} AS s FROM a) SELECT image_id, {_PLACE} AS split FROM b",
+        "p2_shares": f"WITH {_PICTURES}, a AS (SELECT DISTINCT i.id AS image_id, coalesce(group_id, i.id) AS g FROM terrain_all_coco i LEFT JOIN grouped ON image_id = i.id), b AS (SELECT image_id, g, {_SHARE} AS s FROM a), c AS (SELECT g, {_PLACE} AS split FROM b) SELECT split, count(*) AS n_images, count(DISTINCT g) AS n_groups, round(100 * count(*) / (SELECT count(*) FROM c), 6) AS pct FROM c GROUP BY split",
         "p2_split_detections": f"WITH {_PICTURES}, a AS (SELECT DISTINCT det_id, coalesce(group_id, r.image_id) AS g FROM coco_result r LEFT JOIN grouped USING (image_id) WHERE r.image_id IS NOT NULL), b AS (SELECT det_id, {_SHARE} AS s FROM a) SELECT det_id, {_PLACE} AS split FROM b",
         "p3_found": f"WITH d AS (SELECT DISTINCT image_id, det_id, score FROM coco_result WHERE image_id IS NOT NULL AND {_SCORED}), r AS (SELECT image_id, det_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS INT) AS rank_no FROM d) SELECT * FROM r WHERE rank_no <= 5",
         "p4_found": _KEPT + "SELECT source AS category_name, det_id FROM ranked JOIN cuts USING (source) WHERE score >= cutoff",
