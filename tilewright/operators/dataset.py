@@ -204,11 +204,46 @@ def video_ids(frames: DataFrame) -> DataFrame:
     return frames.withColumn("frame_id", (F.row_number().over(w) - 1).cast("int")).join(numbered, "video_id")
 
 
+def running_totals(df: DataFrame, order: list[str], value: str, name: str, start: int = 0) -> DataFrame:
+    """df with the sum of ``value`` over all rows before each in a global order: a range sort, sums per partition, and offsets."""
+    from tilewright.session import Scratch, cores
+
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(max(cores(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))), *[F.col(c) for c in order])
+    rows = Scratch(spark, "totals").write(ranged.withColumn("__part", F.spark_partition_id()))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("__part").agg(F.sum(value).alias("__s"))
+    # one row for each partition
+    offsets = parts.select("__part", (F.coalesce(F.sum("__s").over(before(Window.orderBy("__part"))), F.lit(0)) + start).alias("__from"))
+    inside = F.coalesce(F.sum(value).over(before(Window.partitionBy("__part").orderBy(*order))), F.lit(0))
+    return rows.join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__from") + inside).cast("bigint")).drop("__part", "__from")
+
+
 def instance_offsets(anns: DataFrame) -> DataFrame:
     """anns(video_id, instance_id, …) with instance ids made distinct across videos: each video's start after those of the videos before."""
     per = anns.groupBy("video_id").agg((F.max("instance_id") + 1).alias("n"))
-    off = per.select("video_id", F.coalesce(F.sum("n").over(Window.orderBy("video_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
-    return anns.join(F.broadcast(off), "video_id").withColumn("instance_id", F.col("instance_id") + F.col("off")).drop("off")
+    off = running_totals(per, ["video_id"], "n", "off").select("video_id", "off")
+    return anns.join(off, "video_id").withColumn("instance_id", F.col("instance_id") + F.col("off")).drop("off")
+
+
+def video_tables(frames: DataFrame, anns: DataFrame, categories: DataFrame) -> dict[str, DataFrame]:
+    """videos, images, annotations and categories of frames(video_id, image_id, ts, …) and anns(ann_id, image_id, instance_id, …).
+
+    Videos, images and annotations are numbered anew from 1 in order of video, time and old id, frames from 0 within each video; a
+    video's instance ids move by 1 and by the number of different ones in the videos before. A null instance id stays null."""
+    videos = running_ids(frames.select("video_id").distinct(), ["video_id"], "id")
+    im = video_ids(frames)
+    im = running_ids(im, ["new_video_id", "frame_id"], "new_image_id")
+    a = anns.join(im.select("image_id", "new_image_id", "new_video_id"), "image_id")
+    per = videos.select(F.col("id").alias("new_video_id")).join(a.groupBy("new_video_id").agg(F.count_distinct("instance_id").alias("n")), "new_video_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    off = running_totals(per, ["new_video_id"], "n", "off", 1).select("new_video_id", "off")
+    a = running_ids(a.join(off, "new_video_id"), ["new_image_id", "ann_id"], "id").withColumn("instance_id", F.col("instance_id") + F.col("off"))
+    return {
+        "videos": videos,
+        "images": im.drop("video_id", "image_id").withColumnsRenamed({"new_video_id": "video_id", "new_image_id": "id"}),
+        "annotations": a.drop("image_id", "ann_id", "off").withColumnsRenamed({"new_video_id": "video_id", "new_image_id": "image_id"}),
+        "categories": categories,
+    }
 
 
 def relative_columns(width: Column, height: Column) -> list[Column]:

@@ -255,12 +255,13 @@ def summary(curve: DataFrame, recall: DataFrame) -> DataFrame:
 
 
 def classwise(curve: DataFrame) -> DataFrame:
-    """Per category, average precision over the thresholds, at 0.5 and at 0.75, and by area."""
+    """Per category, average precision over the thresholds, at 0.5 and at 0.75, and by area, over the thresholds and at 0.5."""
     v = curve.groupBy("category_id").agg(
         F.round(F.avg(F.when(F.col("area_lbl") == "all", F.col("precision"))), 6).alias("mAP"),
         F.round(F.avg(F.when((F.col("area_lbl") == "all") & (F.abs(F.col("iou_thr") - 0.5) < 1e-9), F.col("precision"))), 6).alias("mAP50"),
         F.round(F.avg(F.when((F.col("area_lbl") == "all") & (F.abs(F.col("iou_thr") - 0.75) < 1e-9), F.col("precision"))), 6).alias("mAP75"),
         *[F.round(F.avg(F.when(F.col("area_lbl") == s, F.col("precision"))), 6).alias(f"mAP_{s}") for s in "sml"],
+        *[F.round(F.avg(F.when((F.col("area_lbl") == s) & (F.abs(F.col("iou_thr") - 0.5) < 1e-9), F.col("precision"))), 6).alias(f"mAP50_{s}") for s in "sml"],
     )
     return v
 

@@ -661,6 +661,23 @@ def instance_offsets(spark, d):
     return D.instance_offsets(a).select("image_id", F.col("instance_id").cast("bigint").alias("instance_id"))
 
 
+_FRAME_ANNS = "fa AS (SELECT image_id * 2 + k AS ann_id, image_id, CASE WHEN image_id % 5 = 0 THEN NULL ELSE (frame_id * 7 + k) % 11 END::BIGINT AS instance_id FROM v_frames CROSS JOIN (VALUES (0), (1)) t(k))"
+
+
+@query(
+    "video_export",
+    f"{ctes('v_frames')}, {_FRAME_ANNS}, im AS (SELECT image_id, dense_rank() OVER (ORDER BY video_id) AS video_id, row_number() OVER (PARTITION BY video_id ORDER BY ts, image_id) - 1 AS frame_id, row_number() OVER (ORDER BY video_id, ts, image_id) AS new_image_id FROM v_frames), "
+    "a AS (SELECT f.*, i.video_id, i.frame_id, i.new_image_id FROM fa f JOIN im i USING (image_id)), per AS (SELECT video_id, count(DISTINCT instance_id) AS n FROM a GROUP BY 1), off AS (SELECT video_id, 1 + coalesce(sum(n) OVER (ORDER BY video_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM per) "
+    "SELECT DISTINCT row_number() OVER (ORDER BY new_image_id, ann_id) AS id, new_image_id AS image_id, video_id::BIGINT AS video_id, instance_id + o AS instance_id FROM a JOIN off USING (video_id)",
+)
+def video_export(spark, d):
+    f = view(spark, d, "v_frames").drop("frame_id")
+    numbered = view(spark, d, "v_frames")
+    k = F.explode(F.array(F.lit(0), F.lit(1))).alias("k")
+    a = numbered.select("image_id", "frame_id", k).select((F.col("image_id") * 2 + F.col("k")).alias("ann_id"), "image_id", F.when(F.col("image_id") % 5 != 0, ((F.col("frame_id") * 7 + F.col("k")) % 11).cast("bigint")).alias("instance_id"))
+    return D.video_tables(f, a, view(spark, d, "v_categories"))["annotations"].select("id", "image_id", "video_id", "instance_id")
+
+
 @query("frame_skip", f"{ctes('v_frames')} SELECT video_id, frame_id, image_id FROM v_frames WHERE frame_id % 4 = 3")
 def frame_skip(spark, d):
     return media.skip_frames(view(spark, d, "v_frames"), 3).select("video_id", "frame_id", "image_id")
@@ -960,10 +977,13 @@ def eval_areas_and_crowds(spark, d):
     return E.pr_curve(m, n).withColumn("precision", F.round("precision", 9))
 
 
-@query("eval_classwise", f"{_EV}, {_PR} SELECT category_id, round(avg(precision), 6) AS \"mAP\", round(avg(precision) FILTER (iou_thr = 0.5), 6) AS \"mAP50\", round(avg(precision) FILTER (iou_thr = 0.75), 6) AS \"mAP75\" FROM curve GROUP BY 1")
+_CLASS_FIGURES = ", ".join(f"round(avg(precision) FILTER ({c}), 6) AS \"{n}\"" for n, c in [("mAP", "area_lbl = 'all'"), ("mAP50", "area_lbl = 'all' AND iou_thr = 0.5"), ("mAP75", "area_lbl = 'all' AND iou_thr = 0.75"), *[(f"mAP_{s}", f"area_lbl = '{s}'") for s in "sml"], *[(f"mAP50_{s}", f"area_lbl = '{s}' AND iou_thr = 0.5") for s in "sml"]])
+
+
+@query("eval_classwise", f"{_ALL_OF} SELECT category_id, {_CLASS_FIGURES} FROM x_curve GROUP BY category_id")
 def eval_classwise(spark, d):
-    m, n = _eval(spark, d)
-    return E.classwise(E.pr_curve(m, n)).select("category_id", "mAP", "mAP50", "mAP75")
+    m, n = _eval(spark, d, _mixed(spark, d))
+    return E.classwise(E.pr_curve(m, n))
 
 
 @query("eval_recall", f"{_EV}, {_MATCH} SELECT category_id, thr AS iou_thr, round(count(*) FILTER (gt_id >= 0) / any_value(npig), 9) AS recall FROM m JOIN npig USING (category_id) GROUP BY ALL")
