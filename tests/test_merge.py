@@ -1,4 +1,5 @@
 import random
+
 import numpy as np
 import pytest
 
@@ -166,3 +167,20 @@ def test_hot_cell_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_kernels_of_points_and_outliers():
+    """More boxes without size than with, one as wide as everything, fractions of a pixel."""
+    r = np.random.default_rng(3)
+    xy = r.uniform(0, 1, (80, 2))
+    box = np.concatenate([xy, xy + r.uniform(0, 0.3, (80, 2)) * (np.arange(80) % 3 == 0)[:, None]], axis=1)
+    box[5] = [0, 0, 5000, 5000]
+    score = np.round(r.uniform(0, 1, 80), 1)
+    for metric in M.METRICS:
+        owner = K.greedy(box, score, metric, 0.2)
+        for i in range(80):
+            keepers = [k for k in K.order(box, score) if owner[k] == k and (k == i or (lambda x: x[1][0] > 0 and x[0][0] / x[1][0] >= 0.2)(K.overlaps(box[k], box[i : i + 1], metric)))]
+            assert owner[i] == keepers[0]
+        assert K.transitive(box, score, metric, 0.2)[0].tolist() == brute_forest(box, score, metric, 0.2)
+    zero = np.zeros((5, 4))
+    assert K.greedy(zero, np.arange(5.0)).tolist() == list(range(5)) and K.transitive(zero, np.arange(5.0))[0].tolist() == list(range(5))

@@ -7,8 +7,6 @@ from __future__ import annotations
 
 import numpy as np
 
-EMPTY = np.empty(0, np.int64)
-
 
 def order(box: np.ndarray, score: np.ndarray) -> np.ndarray:
     return np.lexsort((box[:, 3], box[:, 2], box[:, 1], box[:, 0], -score))
@@ -31,70 +29,17 @@ def _match(one: np.ndarray, many: np.ndarray, metric: str, thr: float, strict: b
     return v > thr if strict else v >= thr
 
 
-#: Pairs looked at in one go; bounds the kernel's memory. Cells above which a box is compared with all others instead.
+#: Pairs looked at in one go, as a rule; bounds the kernel's memory. Cells above which a box is compared with all others instead.
 CHUNK, MANY_CELLS = 1 << 20, 1 << 10
 
 
-def match_edges(b: np.ndarray, metric: str, thr: float, strict: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j), i < j, of the boxes that match, for a threshold that disjoint boxes cannot reach. Boxes meet in grid cells about
-    twice their usual size; a pair counts in the cell of its intersection's corner. Sorted by i, then j."""
-    n = len(b)
-    if n < 2:
-        return EMPTY, EMPTY
-    side = max(1e-300, 2 * float(np.median(np.maximum(b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]))))
-    lo, hi = np.floor(b[:, :2] / side).astype(np.int64), np.floor(b[:, 2:] / side).astype(np.int64)
-    span = np.maximum(hi - lo + 1, 0)
-    cells = span[:, 0] * span[:, 1]
-    wide = cells > MANY_CELLS
-    out = []
-
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
-        w = np.minimum(b[i, 2], b[j, 2]) - np.maximum(b[i, 0], b[j, 0])
-        h = np.minimum(b[i, 3], b[j, 3]) - np.maximum(b[i, 1], b[j, 1])
-        inter = np.maximum(w, 0) * np.maximum(h, 0)
-        ai, aj = ((b[k, 2] - b[k, 0]) * (b[k, 3] - b[k, 1]) for k in (i, j))
-        den = ai + aj - inter if metric == "IOU" else np.minimum(ai, aj)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            v = np.where(den > 0, inter / den, 0.0)
-        ok = v > thr if strict else v >= thr
-        out.append((i[ok], j[ok]))
-
-    for i in np.flatnonzero(wide):
-        j = np.arange(n)
-        j = j[(j != i) & (~wide | (j > i))]
-        keep(np.minimum(i, j), np.maximum(i, j))
-    who = np.repeat(np.flatnonzero(~wide), cells[~wide])
-    k = np.arange(len(who)) - np.repeat(np.cumsum(cells[~wide]) - cells[~wide], cells[~wide])
-    cx, cy = lo[who, 0] + k % span[who, 0], lo[who, 1] + k // span[who, 0]
-    o = np.lexsort((who, cx, cy))
-    who, cx, cy = who[o], cx[o], cy[o]
-    new = np.flatnonzero((np.diff(cx) != 0) | (np.diff(cy) != 0)) + 1
-    end = np.repeat(np.append(new, len(who)), np.diff(np.concatenate([[0], new, [len(who)]])))
-    after = end - np.arange(len(who)) - 1
-    at = 0
-    total = np.cumsum(after)
-    while at < len(who):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK, "right")))
-        m = after[at:to]
-        p = np.repeat(np.arange(at, to), m)
-        q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(m) - m, m)
-        i, j = who[p], who[q]
-        here = (np.floor(np.maximum(b[i, 0], b[j, 0]) / side) == cx[p]) & (np.floor(np.maximum(b[i, 1], b[j, 1]) / side) == cy[p])
-        keep(i[here], j[here])
-        at = to
-    if not out:
-        return EMPTY, EMPTY
-    i, j = (np.concatenate(x) for x in zip(*out, strict=True))
-    o = np.lexsort((j, i))
-    return i[o], j[o]
-
-
 class _Cells:
     """Boxes laid on grid cells, to be asked for the neighbours of a few of them at a time."""
 
     def __init__(self, b: np.ndarray) -> None:
         n = len(b)
-        side = max(1e-300, 2 * float(np.median(np.maximum(b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]))))
+        size = np.maximum(b[:, 2] - b[:, 0], b[:, 3] - b[:, 1])
+        side = 2 * float(np.median(size[size > 0])) if (size > 0).any() else 1.0
         lo, hi = np.floor(b[:, :2] / side), np.floor(b[:, 2:] / side)
         span = np.maximum(hi - lo + 1, 0)
         cells = span[:, 0] * span[:, 1]
@@ -137,10 +82,27 @@ class _Cells:
         return i, j
 
 
+    def prune(self, live: np.ndarray) -> None:
+        """Leaves only live boxes to be found, once enough of them are not."""
+        keep = live[self.boxes]
+        if 4 * np.count_nonzero(keep) < 3 * len(keep):
+            self.start = np.concatenate([[0], np.cumsum(keep)])[self.start]
+            self.boxes = self.boxes[keep]
+
+
 #: Boxes settled at once.
 BATCH = 512
 
 
+def _matches(b: np.ndarray, area: np.ndarray, i: np.ndarray, j: np.ndarray, metric: str) -> np.ndarray:
+    p, o = b[i], b[j]
+    w, h = np.minimum(p[:, 2], o[:, 2]) - np.maximum(p[:, 0], o[:, 0]), np.minimum(p[:, 3], o[:, 3]) - np.maximum(p[:, 1], o[:, 1])
+    inter = np.maximum(w, 0) * np.maximum(h, 0)
+    den = area[i] + area[j] - inter if metric == "IOU" else np.minimum(area[i], area[j])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(den > 0, inter / den, 0.0)
+
+
 def greedy(box: np.ndarray, score: np.ndarray, metric: str = "IOU", thr: float = 0.5, strict: bool = False) -> np.ndarray:
     """For each box the position of the keeper that takes it: itself if kept, else the best-ranked keeper it matches.
 
@@ -165,12 +127,7 @@ def greedy(box: np.ndarray, score: np.ndarray, metric: str = "IOU", thr: float =
         q = q[: max(1, int(np.searchsorted(np.cumsum(cells.cost[q]), CHUNK, "right")))]
         at = int(q[-1]) + 1
         i, j = cells.near(q, live)
-        p, o = b[i], b[j]
-        w, h = np.minimum(p[:, 2], o[:, 2]) - np.maximum(p[:, 0], o[:, 0]), np.minimum(p[:, 3], o[:, 3]) - np.maximum(p[:, 1], o[:, 1])
-        inter = np.maximum(w, 0) * np.maximum(h, 0)
-        den = area[i] + area[j] - inter if metric == "IOU" else np.minimum(area[i], area[j])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            v = np.where(den > 0, inter / den, 0.0)
+        v = _matches(b, area, i, j, metric)
         ok = v > thr if strict else v >= thr
         i, j = i[ok], j[ok]
         # within the batch one after the other; what lies behind it falls to the best of the batch's keepers
@@ -185,6 +142,8 @@ def greedy(box: np.ndarray, score: np.ndarray, metric: str = "IOU", thr: float =
         hit = np.flatnonzero(taken < n)
         owner[at + hit] = taken[hit]
         live[at + hit] = False
+        live[:at] = False
+        cells.prune(live)
     out = np.empty(n, np.int64)
     out[rank] = rank[owner]
     return out
@@ -202,10 +161,23 @@ def transitive(box: np.ndarray, score: np.ndarray, metric: str = "IOU", thr: flo
             same = np.all(b == b[0], axis=1) & (s == s[0])
             parent[(s < s[0]) | same] = 0
             parent[0] = n
-    else:
-        i, j = match_edges(b, metric, thr)
-        ok = (s[i] > s[j]) | np.all(b[i] == b[j], axis=1)
-        np.minimum.at(parent, j[ok], i[ok])
+    elif n:
+        # batch by batch in rank order: a box that has its best claim need not be found again
+        cells, live, at = _Cells(b), np.ones(n, bool), 0
+        area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+        upto = np.cumsum(cells.cost)
+        while at < n and live[at:].any():
+            end = min(n, at + 8 * BATCH, max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, "right"))))
+            live[at] = False
+            i, j = cells.near(np.arange(at, end), live)
+            ok = (s[i] > s[j]) | np.all(b[i] == b[j], axis=1)
+            i, j = i[ok], j[ok]
+            ok = _matches(b, area, i, j, metric) >= thr
+            np.minimum.at(parent, j[ok], i[ok])
+            live[:end] = False
+            live[parent < n] = False
+            cells.prune(live)
+            at = end
     root = np.where(parent < n, parent, np.arange(n))
     while True:
         up = root[root]
@@ -223,7 +195,7 @@ def member_order(owner: np.ndarray, claim: np.ndarray) -> np.ndarray:
     return members[np.lexsort((members, claim[members], owner[members]))]
 
 
-def fold(box: np.ndarray, score: np.ndarray, category: np.ndarray, owner: np.ndarray, members: np.ndarray, metric: str, thr: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def fold_members(box: np.ndarray, score: np.ndarray, category: np.ndarray, owner: np.ndarray, members: np.ndarray, metric: str, thr: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Members in order grow their keeper: the union box, the greater score, the category of the higher score (the member's on
     a tie), if they still overlap the grown box by more than thr; others are dropped. Returns corners, scores, categories and
     the number merged, by position, of which only keepers' rows mean anything, and whether each member was merged."""
@@ -245,6 +217,11 @@ def fold(box: np.ndarray, score: np.ndarray, category: np.ndarray, owner: np.nda
     return np.array(b, float).reshape(-1, 4), np.array(s, float), np.array(c), np.array(k, np.int64), took
 
 
+def fold(*args) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``fold_members`` without the last."""
+    return fold_members(*args)[:4]
+
+
 def union_merge(box: np.ndarray, score: np.ndarray, metric: str, thr: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keeper positions, grown corners, number merged): the best box left takes, in score order, whatever overlaps it by more
     than thr as it has grown so far."""

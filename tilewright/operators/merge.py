@@ -271,7 +271,7 @@ def _merge_kernel(how: Merging, keys: list[str], members_too: bool = False):
         cat = np.asarray(t.column("category_id"))
         owner = np.searchsorted(np.asarray(t.column("keeper")), np.asarray(t.column("keeper")), "left")
         members = np.flatnonzero(np.asarray(t.column("pos")) > 0)
-        b, s, c, k, took = K.fold(box, score, cat, owner, members, how.metric, how.threshold)
+        b, s, c, k, took = K.fold_members(box, score, cat, owner, members, how.metric, how.threshold)
         if members_too:
             on = np.flatnonzero(took | (np.asarray(t.column("pos")) == 0))
             return pa.table({"keeper": t.column("keeper").take(pa.array(on)), "id": t.column("id").take(pa.array(on))})
