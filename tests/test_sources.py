@@ -81,6 +81,17 @@ def test_annotations_of_several_documents_are_numbered_together(spark, tmp_path)
     assert len(json.loads((tmp_path / "out" / "whole.json").read_text())["annotations"]) == 6
 
 
+def test_lines_come_back_as_they_went(spark, tmp_path):
+    doc = {"images": [{"id": 9, "file_name": "a.png", "height": 50, "width": 60}], "categories": [{"id": 3, "name": "x"}], "annotations": [{"id": 5, "image_id": 9, "category_id": 3, "segmentation": [[0, 0, 10, 0, 10, 5]]}, {"id": 6, "image_id": 9, "category_id": 3, "bbox": [1, 2, 3, 4]}]}
+    (tmp_path / "a.json").write_text(json.dumps(doc))
+    coco.write_coco(coco.read_coco(spark, str(tmp_path / "a.json")), str(tmp_path / "out"))
+    rows = sorted((r.id, r.image_id, r.area, r.bbox) for r in spark.read.json(str(tmp_path / "out" / "annotations")).collect())
+    assert rows == [(1, 1, 25, [0.0, 0.0, 10.0, 5.0]), (2, 1, 12, [1.0, 2.0, 3.0, 4.0])]
+    d = coco.read_coco_lines(spark, str(tmp_path / "out"))
+    got = sorted((r.ann_id, r.x, r.w, r.segmentation) for r in d.annotations.collect())
+    assert got == [(1, 0.0, 10.0, [[0.0, 0.0, 10.0, 0.0, 10.0, 5.0]]), (2, 1.0, 3.0, None)] and d.images.count() == d.categories.count() == 1
+
+
 def test_yolo_folder(spark, tmp_path):
     document(tmp_path / "a.json", range(1, 21), [(10, 10, 100, 50), (5, 5, 0, 20), (2000, 5, 10, 10)])
     (tmp_path / "img" / "d").mkdir(parents=True)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import boxes as B
+from tilewright.functions import polygons as P
 
 
 @dataclass(frozen=True)
@@ -21,6 +22,14 @@ class Dataset:
     annotations: DataFrame
 
 
+def annotation_area(annotations: DataFrame) -> Column:
+    """Whole-pixel area: of the polygons where there are any, else of the box; an area that was delivered is not trusted."""
+    box = F.floor(F.col("w") * F.col("h")).cast("bigint")
+    if "segmentation" not in annotations.columns:
+        return box
+    return F.when(F.coalesce(F.size("segmentation"), F.lit(0)) > 0, P.area(F.col("segmentation"))).otherwise(box)
+
+
 def first_of_id(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each id, by a partial aggregate: nothing of a group is gathered."""
     rest = [c for c in rows.columns if c not in (key, order)]
@@ -131,7 +140,7 @@ def upsample(d: Dataset, ratio: int = 2, category_id: int | None = None) -> Data
 
 def area_filter(d: Dataset, low: float = 0, high: float = float("inf"), intervals: DataFrame | None = None) -> DataFrame:
     """Images none of whose annotations lies outside the global interval or that of its category(category_id, lo, hi)."""
-    a = d.annotations.withColumn("area", F.floor(F.col("w") * F.col("h")))
+    a = d.annotations.withColumn("area", annotation_area(d.annotations))
     bad = (F.col("area") < low) | (F.col("area") > high)
     if intervals is not None:
         a = a.join(intervals, "category_id", "left")
@@ -169,7 +178,7 @@ def add_counts(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def stats(d: Dataset) -> DataFrame:
     """One row of counts, annotations per image (images without any left out of the mean) and areas."""
-    a = d.annotations.withColumn("area", F.floor(F.col("w") * F.col("h")))
+    a = d.annotations.withColumn("area", annotation_area(d.annotations))
     per = a.groupBy("image_id").agg(F.count("*").alias("n"))
     whole = a.agg(F.count("*").alias("num_annotations"), F.min("area").alias("min_annotation_area"), F.max("area").alias("max_annotation_area"), F.avg("area").alias("avg_annotation_area"))
     im = d.images.join(per, "image_id", "left").agg(
@@ -181,7 +190,7 @@ def stats(d: Dataset) -> DataFrame:
 
 
 def stats_by_category(d: Dataset) -> DataFrame:
-    a = d.annotations.withColumn("area", F.floor(F.col("w") * F.col("h")))
+    a = d.annotations.withColumn("area", annotation_area(d.annotations))
     per_image = a.groupBy("category_id", "image_id").agg(F.count("*").alias("n"), F.min("area").alias("lo"), F.max("area").alias("hi"), F.sum("area").alias("s"))
     by = per_image.groupBy("category_id").agg(F.sum("n").alias("num_annotations"), F.count("*").alias("num_images"), F.min("lo").alias("min_area"), F.max("hi").alias("max_area"), (F.sum("s") / F.sum("n")).alias("avg_area"))
     return by.join(F.broadcast(d.categories.select("category_id", "name")), "category_id")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.functions import polygons as P
+from tilewright.functions.polygons import fill
 from tilewright.operators.merge import buckets
 from tilewright.session import fits_broadcast, ship_package
 
@@ -107,7 +108,24 @@ def _near(d: np.ndarray, dcode: np.ndarray, darea: np.ndarray, g: np.ndarray, gc
     return di[o], gi[o], iou[o]
 
 
-def _matcher(thresholds: Sequence[float], ranges: list[tuple[float, float]]):
+def _mask_overlaps(dseg: list, gseg: list, di: np.ndarray, gi: np.ndarray, crowd: np.ndarray) -> np.ndarray:
+    """Overlap of the pixels of each pair of segmentations, drawn on the raster of their common bounds; a mask without polygons has none."""
+    out = np.zeros(len(di))
+    rings = lambda s: [np.asarray(p, float) for p in (s if s is not None else ()) if len(p) >= 6 and len(p) % 2 == 0]
+    a, b = {k: rings(dseg[k]) for k in set(di.tolist())}, {k: rings(gseg[k]) for k in set(gi.tolist())}
+    for n, (i, j) in enumerate(zip(di.tolist(), gi.tolist(), strict=True)):
+        p, q = a[i], b[j]
+        if not p or not q:
+            continue
+        x, y = (np.floor(min(r[k::2].min() for r in (*p, *q))) for k in (0, 1))
+        w, h = (int(np.rint(max(r[k::2].max() for r in (*p, *q)) - o)) + 1 for k, o in ((0, x), (1, y)))
+        m, g = (fill([r - np.tile([x, y], len(r) // 2) for r in s], w, h) for s in (p, q))
+        inter, whole = np.count_nonzero(m & g), np.count_nonzero(m) if crowd[j] else np.count_nonzero(m | g)
+        out[n] = inter / whole if whole else 0.0
+    return out
+
+
+def _matcher(thresholds: Sequence[float], ranges: list[tuple[float, float]], masks: bool = False):
     """Pairs of a bucket are found all at once. A pair of which neither side overlaps anything else is settled by comparing its
     overlap with the thresholds; only what competes is matched one by one."""
     cuts = [min(t, 1 - 1e-10) for t in thresholds]
@@ -123,7 +141,13 @@ def _matcher(thresholds: Sequence[float], ranges: list[tuple[float, float]]):
         d, g, nd = corner(dets), corner(gts), len(dcode)
         crowd, gid = np.asarray(gts.column("iscrowd")).astype(bool), np.asarray(gts.column("id"), np.int64)
         garea, darea = np.asarray(gts.column("area"), np.float64), (d[:, 2] - d[:, 0]) * (d[:, 3] - d[:, 1])
-        di, gi, iou = _near(d, dcode, darea, g, gcode, crowd, min(cuts))
+        if masks:
+            darea = np.asarray(dets.column("area"), np.float64)
+        di, gi, iou = _near(d, dcode, darea, g, gcode, crowd, -1.0 if masks else min(cuts))
+        if masks:
+            iou = _mask_overlaps(dets.column("segmentation").to_pylist(), gts.column("segmentation").to_pylist(), di, gi, crowd)
+            on = iou >= min(cuts)
+            di, gi, iou = di[on], gi[on], iou[on]
         alone = (np.bincount(di, minlength=nd)[di] == 1) & (np.bincount(gi, minlength=len(gcode))[gi] == 1)
         hits = np.zeros(len(di), np.int64)
         for t, cut in enumerate(cuts):
@@ -171,19 +195,23 @@ def top_detections(dets: DataFrame, n: int = MAX_DETECTIONS) -> DataFrame:
     return dets.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")
 
 
-def matches(dets: DataFrame, truth: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS, areas: Sequence[float] = AREAS, max_detections: int = MAX_DETECTIONS) -> DataFrame:
+def matches(dets: DataFrame, truth: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS, areas: Sequence[float] = AREAS, max_detections: int = MAX_DETECTIONS, masks: bool = False) -> DataFrame:
     """(category_id, id, score, area_lbl, tp, ignored, gt_id[]): a bit, or an element, for each IoU threshold.
 
     dets(id, image_id, category_id, score, x1..y2); truth(id, image_id, category_id, iscrowd, x1..y2). Each image and category
     is matched by itself, its best max_detections only; many of them share an Arrow batch, by a hash whose range follows the number of detections. The
-    smaller area labels have rows for what counts in them only."""
+    smaller area labels have rows for what counts in them only.
+
+    ``masks``: both sides carry a segmentation, and it is pixels that overlap, not boxes (which still tell who can meet)."""
     ship_package(dets.sparkSession)
     box = [F.col(k).cast("double").alias(k) for k in ("x1", "y1", "x2", "y2")]
+    seg = [F.col("segmentation").cast("array<array<double>>").alias("segmentation")] if masks else []
+    drawn = [F.coalesce(P.area_exact(F.col("segmentation")), F.lit(0.0)).alias("area")] if masks else []
     keys = [F.col("image_id").cast("bigint").alias("image_id"), F.col("category_id").cast("int").alias("category_id"), F.col("id").cast("bigint").alias("id")]
-    d = top_detections(dets.select(*keys, F.col("score").cast("double").alias("score"), *box), max_detections)
+    d = top_detections(dets.select(*keys, F.col("score").cast("double").alias("score"), *box, *seg, *drawn), max_detections)
     area = F.col("area") if "area" in truth.columns else (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    g = truth.select(*keys, F.col("iscrowd").cast("int").alias("iscrowd"), area.cast("double").alias("area"), *box)
-    f = _matcher(thresholds, area_ranges(areas))
+    g = truth.select(*keys, F.col("iscrowd").cast("int").alias("iscrowd"), area.cast("double").alias("area"), *box, *seg)
+    f = _matcher(thresholds, area_ranges(areas), masks)
     n = buckets(dets, dets.count())
     by = F.pmod(F.xxhash64("image_id", "category_id"), F.lit(n)).alias("bucket")
     return d.groupBy(by).cogroup(g.groupBy(by)).applyInArrow(f, _OUT_DDL)
@@ -197,26 +225,79 @@ def truth_counts(truth: DataFrame, areas: Sequence[float] = AREAS) -> DataFrame:
     return t.groupBy("category_id", "area_lbl").agg(F.count("*").alias("npig"))
 
 
-def pr_points(m: DataFrame, npig: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS) -> DataFrame:
-    """(category_id, area_lbl, iou_thr, tp, fp, npig) after each detection that is a hit.
+_BEST = pa.schema([("category_id", pa.int32()), ("area_lbl", pa.string()), ("t", pa.int32()), ("k", pa.int32()), ("p", pa.float64())])
+
+
+def _best_of(n_thresholds: int):
+    """Running sums of all thresholds over the score buckets of one hash, and the best precision at each recall in each bucket."""
+    t = np.arange(n_thresholds)
+
+    def f(rows: pa.Table, starts: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return _BEST.empty_table()
+        both = [np.concatenate([np.asarray(x.column(c).to_numpy(zero_copy_only=False)) for x in (rows, starts)]) for c in ("category_id", "area_lbl", "b")]
+        code = np.zeros(len(both[0]), np.int64)
+        for c in both:
+            u, inv = np.unique(c, return_inverse=True)
+            code = code * len(u) + inv
+        code, at = code[: rows.num_rows], {c: k for k, c in enumerate(code[rows.num_rows :].tolist())}
+        o = np.lexsort((np.asarray(rows.column("id")), -np.asarray(rows.column("score")), code))
+        code = code[o]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(code)) + 1])
+        which = np.array([at[c] for c in code[first].tolist()])
+        seg = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(code))))
+        ign = (np.asarray(rows.column("ignored"))[o][:, None] >> t) & 1
+        hit = ((np.asarray(rows.column("tp"))[o][:, None] >> t) & 1) & ~ign
+
+        def running(x: np.ndarray, before: str) -> np.ndarray:
+            c = np.cumsum(x, axis=0, dtype=np.int64)
+            start = np.vstack([np.zeros(n_thresholds, np.int64), c])[first]
+            own = np.stack([np.asarray(v) for v in starts.column(before).to_pylist()])[which]
+            return c + (own - start)[seg]
+
+        tp, seen = running(hit, "hits"), running(1 - ign, "seen")
+        npig = np.asarray(starts.column("npig"))[which][seg]
+        out = []
+        for j in range(n_thresholds):
+            r = np.flatnonzero(hit[:, j])
+            if not len(r):
+                continue
+            k, p = tp[r, j] * 100 // npig[r], tp[r, j] / seen[r, j]
+            new = np.concatenate([[0], np.flatnonzero((np.diff(seg[r]) != 0) | (np.diff(k) != 0)) + 1])
+            out.append((which[seg[r[new]]], np.full(len(new), j), k[new], np.maximum.reduceat(p, new)))
+        if not out:
+            return _BEST.empty_table()
+        w, j, k, p = (np.concatenate(x) for x in zip(*out, strict=True))
+        key = starts.take(pa.array(w))
+        return pa.table([key.column("category_id").cast(pa.int32()), key.column("area_lbl"), pa.array(j, pa.int32()), pa.array(k, pa.int32()), pa.array(p)], schema=_BEST)
+
+    return f
+
+
+def best_precisions(m: DataFrame, npig: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS) -> DataFrame:
+    """(category_id, area_lbl, iou_thr, k, p): the best precision among the hits at each whole percent k of recall that is reached.
 
-    All thresholds are summed in one pass over the detections, and exploded only behind it. The running sums have two levels: within a bucket of scores, and over the buckets' totals, so that a category with most of
-    the detections is summed by as many tasks as it has buckets."""
-    t = range(len(thresholds))
+    Precision falls behind a detection that is no hit, so its best values stand at hits. The running sums have two levels: the
+    totals of buckets of scores are summed in a table of at most BUCKETS + 1 rows for each category and area, and within the
+    buckets the detections are, all thresholds at once, so that a category with most of them is summed by as many tasks as it
+    has buckets."""
+    n = len(thresholds)
     bit = lambda c, k: F.getbit(F.col(c), F.lit(k)).cast("int")
-    hit, seen = [f"t{k}" for k in t], [f"n{k}" for k in t]
-    each = m.select("category_id", "area_lbl", "score", "id", *[(bit("tp", k) * (1 - bit("ignored", k))).alias(hit[k]) for k in t], *[(1 - bit("ignored", k)).alias(seen[k]) for k in t])
-    each = each.withColumn("b", F.greatest(F.lit(0), F.least(F.lit(BUCKETS), F.floor(F.col("score") * BUCKETS).cast("int"))))
-    key, sums = ["category_id", "area_lbl"], [*hit, *seen]
-    totals = each.groupBy(*key, "b").agg(*[F.sum(c).alias(c) for c in sums])
+    key = ["category_id", "area_lbl"]
+    each = m.select(F.col("category_id").cast("int").alias("category_id"), "area_lbl", "score", "id", "tp", "ignored", F.greatest(F.lit(0), F.least(F.lit(BUCKETS), F.floor(F.col("score") * BUCKETS).cast("int"))).alias("b"))
+    sums = [F.sum(bit("tp", k) * (1 - bit("ignored", k))).alias(f"t{k}") for k in range(n)] + [F.sum(1 - bit("ignored", k)).alias(f"n{k}") for k in range(n)]
+    totals = each.groupBy(*key, "b").agg(*sums)
     before = Window.partitionBy(*key).orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*key, "b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"o_{c}") for c in sums])
-    within = Window.partitionBy(*key, "b").orderBy(F.col("score").desc(), "id").rowsBetween(Window.unboundedPreceding, 0)
-    run = each.select(*key, "b", *[F.sum(c).over(within).alias(c) for c in sums], *[F.col(hit[k]).alias(f"h{k}") for k in t]).filter(reduce(lambda x, y: x | y, [F.col(f"h{k}") == 1 for k in t])).join(offsets, [*key, "b"])
-    # precision falls behind a detection that is no hit, so its best values stand at hits
-    point = lambda k: F.when(F.col(f"h{k}") == 1, F.struct(F.lit(float(thresholds[k])).alias("iou_thr"), (F.col(hit[k]) + F.col(f"o_{hit[k]}")).alias("tp"), (F.col(seen[k]) + F.col(f"o_{seen[k]}")).alias("n")))
-    p = run.select(*key, F.explode(F.array_compact(F.array(*[point(k) for k in t]))).alias("z")).select(*key, "z.iou_thr", "z.tp", (F.col("z.n") - F.col("z.tp")).alias("fp"))
-    return p.join(_small(npig), key)
+    upto = lambda c: F.array(*[F.coalesce(F.sum(f"{c}{k}").over(before), F.lit(0)) for k in range(n)])
+    starts = totals.select(*key, "b", upto("t").alias("hits"), upto("n").alias("seen")).join(_small(npig), key)
+    ship_package(m.sparkSession)
+    by = F.pmod(F.xxhash64(*key, "b"), F.lit(buckets(each, each.count())))
+    rows = each.join(_small(npig.select(*key)), key, "left_semi").withColumn("bucket", by)
+    starts = starts.withColumn("bucket", by)
+    starts = starts.toDF(*starts.columns)
+    best = rows.groupBy("bucket").cogroup(starts.groupBy("bucket")).applyInArrow(_best_of(n), "category_id int, area_lbl string, t int, k int, p double")
+    at = F.element_at(F.array(*[F.lit(float(t)) for t in thresholds]), F.col("t") + 1)
+    return best.groupBy(*key, at.alias("iou_thr"), "k").agg(F.max("p").alias("p"))
 
 
 def _small(d: DataFrame, width: int = 64) -> DataFrame:
@@ -226,8 +307,7 @@ def _small(d: DataFrame, width: int = 64) -> DataFrame:
 def pr_curve(m: DataFrame, npig: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS) -> DataFrame:
     """(category_id, area_lbl, iou_thr, rec_pct, precision) at 101 recall points: the best precision at that recall or a higher
     one, 0 beyond the last. Groups without ground truth have no rows."""
-    p = pr_points(m, npig, thresholds)
-    at = p.groupBy("category_id", "area_lbl", "iou_thr", F.expr("(tp * 100) div npig").cast("int").alias("k")).agg(F.max(F.col("tp") / (F.col("tp") + F.col("fp"))).alias("p"))
+    at = best_precisions(m, npig, thresholds)
     grid = npig.crossJoin(F.broadcast(m.sparkSession.createDataFrame([(float(t),) for t in thresholds], "iou_thr double"))).select("category_id", "area_lbl", "iou_thr", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("k"))
     down = Window.partitionBy("category_id", "area_lbl", "iou_thr").orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(at, ["category_id", "area_lbl", "iou_thr", "k"], "left").select("category_id", "area_lbl", "iou_thr", F.col("k").alias("rec_pct"), F.coalesce(F.max("p").over(down), F.lit(0.0)).alias("precision"))

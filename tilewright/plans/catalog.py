@@ -878,10 +878,17 @@ _MIXED = ctes("v_truth", "v_preds") + ", v_mixed AS (SELECT id, image_id, catego
 _AREA_ROWS = "(VALUES ('all', 0, 1e10), ('s', 0, 1024), ('m', 1024, 9216), ('l', 9216, 1e10)) AS a(area_lbl, lo, hi)"
 
 
-def _match_sql(truth: str, thresholds: str, out: str, areas: str = _AREA_ROWS) -> str:
+def _pixel_iou(a: str, b: str) -> str:
+    """Overlap of the pixels of two boxes of whole numbers, borders included."""
+    inter = f"(greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1) + 1) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1) + 1))"
+    size = lambda t: f"(({t}.x2 - {t}.x1 + 1) * ({t}.y2 - {t}.y1 + 1))"
+    return f"({inter} / ({size(a)} + {size(b)} - {inter}))"
+
+
+def _match_sql(truth: str, thresholds: str, out: str, areas: str = _AREA_ROWS, v: str = "") -> str:
     """CTEs of the public matching rule over truth(id, image_id, category_id, iscrowd, area, x1..y2) and v_preds, named after ``out``:
     detections with their near ground truth first, so that the fold runs over those alone."""
-    v = f"(CASE WHEN g.iscrowd = 1 THEN {_inter('d', 'g')} / {_size('d')} ELSE {_metric('d', 'g')} END)"
+    v = v or f"(CASE WHEN g.iscrowd = 1 THEN {_inter('d', 'g')} / {_size('d')} ELSE {_metric('d', 'g')} END)"
     free = "list_filter(q.c, lambda c: c.v >= least(acc.thr, 1 - 1e-10) AND (c.crowd OR NOT list_contains(acc.used, c.g)))"
     best = f"list_reverse_sort(list_transform({free}, lambda c: {{'r': NOT (c.crowd OR c.area < acc.lo OR c.area > acc.hi), 'v': c.v, 'g': c.g}}))[1]"
     return f"""
@@ -977,6 +984,19 @@ def eval_areas_and_crowds(spark, d):
     return E.pr_curve(m, n).withColumn("precision", F.round("precision", 9))
 
 
+_PLAIN = "v_full AS (SELECT id, image_id, category_id, iscrowd, x1, y1, x2, y2, (x2 - x1) * (y2 - y1) AS area FROM v_truth)"
+
+
+@query("eval_masks", f"{_EV}, {_PLAIN}, {_THR}, {_match_sql('v_full', 'thr', 'x', _AREA_ROWS, _pixel_iou('d', 'g'))} SELECT category_id, area_lbl, thr AS iou_thr, count(*) FILTER (tp AND NOT ign) AS n_hits, count(*) FILTER (NOT ign) AS n_counted FROM x_judged GROUP BY ALL")
+def eval_masks(spark, d):
+    """Boxes drawn as polygons and compared pixel by pixel: hits and counted detections at each threshold."""
+    ring = F.array(P.box_ring(*B.cols()))
+    m = E.matches(view(spark, d, "v_preds").withColumn("segmentation", ring), view(spark, d, "v_truth").withColumn("segmentation", ring), masks=True)
+    bit = lambda c, k: F.getbit(F.col(c), F.lit(k)).cast("int")
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("iou_thr"), (bit("tp", k) * (1 - bit("ignored", k))).alias("hit"), (1 - bit("ignored", k)).alias("seen")) for k, t in enumerate(E.IOU_THRESHOLDS)])).alias("z")
+    return m.select("category_id", "area_lbl", each).groupBy("category_id", "area_lbl", "z.iou_thr").agg(F.sum("z.hit").cast("bigint").alias("n_hits"), F.sum("z.seen").cast("bigint").alias("n_counted"))
+
+
 _CLASS_FIGURES = ", ".join(f"round(avg(precision) FILTER ({c}), 6) AS \"{n}\"" for n, c in [("mAP", "area_lbl = 'all'"), ("mAP50", "area_lbl = 'all' AND iou_thr = 0.5"), ("mAP75", "area_lbl = 'all' AND iou_thr = 0.75"), *[(f"mAP_{s}", f"area_lbl = '{s}'") for s in "sml"], *[(f"mAP50_{s}", f"area_lbl = '{s}' AND iou_thr = 0.5") for s in "sml"]])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import polygons as P
-from tilewright.operators.dataset import Dataset, first_of_id, running_ids
+from tilewright.operators.dataset import Dataset, annotation_area, first_of_id, running_ids
 from tilewright.sources.files import filesystem
 
 SCHEMA = """
@@ -48,13 +48,15 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_tables(d: Dataset, ignore_negatives: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(images, annotations) with ids given anew from 1 in list order; iscrowd is 0; images without annotations go if asked."""
+    """(images, annotations) with ids given anew from 1 in list order; iscrowd is 0; polygons stay, and the area is theirs where there are
+    any; images without annotations go if asked."""
     images = d.images.join(d.annotations, "image_id", "left_semi") if ignore_negatives else d.images
     im = running_ids(images, ["ord"], "new_id")
+    drawn = ["segmentation"] if "segmentation" in d.annotations.columns else []
     an = d.annotations.join(im.select("image_id", "new_id", "ord"), "image_id")
-    an = running_ids(an.select("ann_id", "new_id", "ord", "category_id", "x", "y", "w", "h"), ["ord", "ann_id"], "new_ann_id")
-    area = F.floor(F.col("w") * F.col("h")).cast("bigint")
-    return im.select(F.col("new_id").alias("id"), "file_name", "height", "width"), an.select(F.col("new_ann_id").alias("id"), F.col("new_id").alias("image_id"), "category_id", F.array("x", "y", "w", "h").alias("bbox"), area.alias("area"), F.lit(0).alias("iscrowd"))
+    an = running_ids(an.select("ann_id", "new_id", "ord", "category_id", "x", "y", "w", "h", *drawn), ["ord", "ann_id"], "new_ann_id")
+    rows = an.select(F.col("new_ann_id").alias("id"), F.col("new_id").alias("image_id"), "category_id", F.array("x", "y", "w", "h").alias("bbox"), annotation_area(an).alias("area"), F.lit(0).alias("iscrowd"), *drawn)
+    return im.select(F.col("new_id").alias("id"), "file_name", "height", "width"), rows
 
 
 def write_coco(d: Dataset, path: str, ignore_negatives: bool = False) -> None:
@@ -64,6 +66,24 @@ def write_coco(d: Dataset, path: str, ignore_negatives: bool = False) -> None:
         df.write.mode("overwrite").json(f"{path}/{name}")
 
 
+LINE_SCHEMAS = {
+    "images": "id BIGINT, file_name STRING, height INT, width INT",
+    "annotations": "id BIGINT, image_id BIGINT, category_id INT, bbox ARRAY<DOUBLE>, segmentation ARRAY<ARRAY<DOUBLE>>, iscrowd INT",
+    "categories": "id INT, name STRING, supercategory STRING",
+}
+
+
+def read_coco_lines(spark: SparkSession, path: str) -> Dataset:
+    """What ``write_coco`` wrote: JSON lines, which are split among tasks, where one document is a single row and task."""
+    t = {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in LINE_SCHEMAS.items()}
+    box = [F.try_element_at("bbox", F.lit(k)).alias(n) for k, n in enumerate("xywh", 1)]
+    return Dataset(
+        t["images"].select(F.col("id").alias("image_id"), "file_name", "height", "width", F.col("id").alias("ord")),
+        t["categories"].select(F.col("id").alias("category_id"), "name", F.coalesce("supercategory", "name").alias("supercategory")),
+        t["annotations"].select(F.col("id").alias("ann_id"), "image_id", "category_id", *box, "segmentation", F.coalesce("iscrowd", F.lit(0)).alias("iscrowd")),
+    )
+
+
 def write_coco_document(d: Dataset, path: str, ignore_negatives: bool = False, max_rows: int = 5_000_000) -> None:
     """One COCO document, streamed through the driver row by row; refused beyond max_rows."""
     images, anns = export_tables(d, ignore_negatives)
