@@ -8,10 +8,11 @@ from tilewright.cli import next_path
 from tilewright.functions import decode as X
 from tilewright.functions import draw
 from tilewright.functions.text import file_base, is_blank, spelling
+from tilewright.operators import dataset as D
 from tilewright.operators import pipeline as L
 from tilewright.operators import tiling as T
 from tilewright.session import shared_dir
-from tilewright.sources import coco, datasource, yolo
+from tilewright.sources import coco, datasource, media, yolo
 
 
 def test_frames_batch_and_stream(spark):
@@ -159,3 +160,17 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         shared_dir(Session())
+
+
+def test_files_by_part_of_their_name(spark, tmp_path):
+    for n in ("A_Tile.png", "tile_b.jpg", "other.png"):
+        (tmp_path / n).write_bytes(b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (7).to_bytes(4, "big") + (5).to_bytes(4, "big"))
+    rows = media.read_images(spark, str(tmp_path), contains=["TILE"]).collect()
+    assert sorted(r.path.rpartition("/")[2] for r in rows) == ["A_Tile.png", "tile_b.jpg"] and {(r.width, r.height) for r in rows} == {(7, 5)}
+
+
+def test_category_minus_one_is_dropped(spark, tmp_path):
+    document(tmp_path / "a.json", [1], [(0, 0, 10, 10), (5, 5, 20, 20)])
+    d = coco.read_coco(spark, str(tmp_path / "a.json"))
+    out = D.update_categories(d, spark.createDataFrame([("car", 7), ("bus", -1)], "name string, category_id int"))
+    assert [r.category_id for r in out.annotations.collect()] == [7] and [r.category_id for r in out.categories.collect()] == [7]

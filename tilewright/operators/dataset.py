@@ -61,7 +61,8 @@ def remap_by_id(d: Dataset, mapping: DataFrame) -> Dataset:
 
 
 def update_categories(d: Dataset, desired: DataFrame) -> Dataset:
-    """Categories matched by name to desired(name, category_id); annotations of others go, images stay."""
+    """Categories matched by name to desired(name, category_id); annotations of others, and of those given -1, go; images stay."""
+    desired = desired.filter("category_id <> -1")
     to = d.categories.select("category_id", "name").join(desired.withColumnRenamed("category_id", "new_id"), "name").select("category_id", "new_id")
     anns = d.annotations.join(to, "category_id").withColumn("category_id", F.col("new_id").cast("int")).select(*d.annotations.columns)
     cats = desired.select("category_id", "name").withColumn("supercategory", F.col("name"))

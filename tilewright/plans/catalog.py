@@ -810,13 +810,39 @@ def poly_simplify(spark, d):
     return _polys(spark, d).select("id", P.simplify(1.0)("segmentation").alias("segmentation"))
 
 
-@query("poly_raster")
-def poly_raster(spark, d):
-    """Polygons moved to their corner, filled, and traced again: pixels and number of rings."""
+_DRAWN_PIXELS = (
+    f"p0 AS ({_POLY}), rr AS (SELECT id, {_RINGS} FROM p0), b AS (SELECT id, min(q[k]) FILTER (k % 2 = 1) AS ox, min(q[k]) FILTER (k % 2 = 0) AS oy FROM (SELECT id, q, unnest(range(1, len(q) + 1)) AS k FROM rr) GROUP BY id), "
+    "pts AS (SELECT id, no, len(q) // 2 AS n, unnest(range(0, len(q) // 2)) AS k, q, ox, oy FROM rr JOIN b USING (id) WHERE len(q) >= 6 AND len(q) % 2 = 0), "
+    "ed AS (SELECT id, no, k, round_even(q[2 * k + 1] - ox, 0) AS x0, round_even(q[2 * k + 2] - oy, 0) AS y0, round_even(q[2 * ((k + 1) % n) + 1] - ox, 0) AS x1, round_even(q[2 * ((k + 1) % n) + 2] - oy, 0) AS y1 FROM pts), "
+    # crossings of the lines through pixel centres, taken in pairs
+    "ys AS (SELECT id, no, unnest(range(min(y0)::BIGINT, max(y0)::BIGINT + 1)) AS y FROM ed GROUP BY id, no), "
+    "cr AS (SELECT e.id, e.no, y, x0 + (y - y0) * (x1 - x0) / (y1 - y0) AS x FROM ed e JOIN ys ON e.id = ys.id AND e.no = ys.no WHERE (y0 <= y) <> (y1 <= y)), "
+    "od AS (SELECT *, row_number() OVER (PARTITION BY id, no, y ORDER BY x) AS rn FROM cr), pr AS (SELECT id, no, y, (rn - 1) // 2 AS pair, min(x) AS a, max(x) AS z FROM od GROUP BY ALL), "
+    "inner_ AS (SELECT id, y, unnest(range(ceil(a)::BIGINT, floor(z)::BIGINT + 1)) AS x FROM pr), "
+    # the outline, in as many steps as its longer side has
+    "ln AS (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0))::BIGINT AS m FROM ed), st AS (SELECT *, unnest(range(0, m + 1)) AS i FROM ln), "
+    "outer_ AS (SELECT id, round_even(CASE WHEN i = m THEN y1 ELSE i * ((y1 - y0) / m) + y0 END, 0)::BIGINT AS y, round_even(CASE WHEN i = m THEN x1 ELSE i * ((x1 - x0) / m) + x0 END, 0)::BIGINT AS x FROM st), "
+    "px AS (SELECT id, y, x FROM inner_ UNION SELECT id, y, x FROM outer_)"
+)
+
+
+def _drawn(spark, d) -> DataFrame:
+    """Polygons moved to their corner, and filled."""
     p = _polys(spark, d).withColumn("b", P.bounds(F.col("segmentation")))
     local = P.shift(F.col("segmentation"), -F.col("b.x1"), -F.col("b.y1"), F.lit(1e9), F.lit(1e9))
-    m = P.mask_from_polygons(local, (F.col("b.x2") - F.col("b.x1") + 1).cast("int"), (F.col("b.y2") - F.col("b.y1") + 1).cast("int"))
-    return p.select("id", m.alias("m")).select("id", P.mask_pixels(F.col("m")).alias("pixels"), F.size(P.polygons_from_mask("m")).alias("rings"))
+    return p.select("id", P.mask_from_polygons(local, (F.col("b.x2") - F.col("b.x1") + 1).cast("int"), (F.col("b.y2") - F.col("b.y1") + 1).cast("int")).alias("m"))
+
+
+@query("poly_raster", f"WITH {_DRAWN_PIXELS} SELECT p0.id, count(px.id)::INT AS pixels FROM p0 LEFT JOIN px ON px.id = p0.id GROUP BY p0.id")
+def poly_raster(spark, d):
+    return _drawn(spark, d).select("id", P.mask_pixels(F.col("m")).alias("pixels"))
+
+
+@query("poly_outline", f"WITH {_DRAWN_PIXELS} SELECT id, min(x)::INT AS x1, min(y)::INT AS y1, max(x)::INT AS x2, max(y)::INT AS y2 FROM px GROUP BY id HAVING max(x) > min(x) AND max(y) > min(y)")
+def poly_outline(spark, d):
+    """The bounds of the outlines traced around the filled pixels."""
+    o = _drawn(spark, d).select("id", P.polygons_from_mask("m").alias("r")).select("id", P.bounds(F.col("r")).alias("b")).filter("b.x2 > b.x1 and b.y2 > b.y1")
+    return o.select("id", "b.*")
 
 
 def _mask(spark, d) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -65,9 +66,13 @@ def size_of(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"width": pd.array([x[0] if x else None for x in s], "Int32"), "height": pd.array([x[1] if x else None for x in s], "Int32")})
 
 
-def read_images(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """(path, length, content, width, height) of the files; the size comes from the header."""
+def read_images(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True, contains: list[str] | None = None) -> DataFrame:
+    """(path, length, content, width, height) of the files; the size comes from the header. ``contains``: only files in whose name,
+    case aside, one of these stands (anywhere, not at the end alone)."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    if contains:
+        name = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
+        f = f.filter(reduce(lambda x, y: x | y, [name.contains(c.lower()) for c in contains]))
     return f.withColumn("size", size_of("content")).select("path", "length", "content", "size.width", "size.height")
 
 
