@@ -221,6 +221,55 @@ def test_reparameterised_needs_one_value_for_a_slot(spark):
     assert changed_slots(spark, [same, "".join(f"{p}{k + 10}" for k, p in enumerate(parts[:-1])) + parts[-1]], item) == {0: 1}
 
 
+DENSE = "by {0} the mill held {1} barges and {2} towers near {3} gates while {4} bridges of the {5} wards fell into {6} parts of {7} stones"
+
+
+def test_reparameterised_when_many_items_have_the_template(spark):
+    """Every window holds a slot, so nothing but the templates is shared, and each stands in as many places as there are items."""
+    items = [(i, DENSE.format(*range(100 * i, 100 * i + 8))) for i in range(12)]
+    docs = [(1, AROUND + DENSE.format(*range(7001, 7009)) + " " + AROUND), (2, items[3][1])]
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.changed_slots for r in leaks.reparameterised(df, it).collect()}
+    assert got == {(d, i): 8 for d in (1, 2) for i in range(12) if (d, i) != (2, 3)}
+    assert [tuple(x) for x in leaks.leaked_passages(df, it).collect()] == [(2, 3)]
+
+
+def test_templates_equal_brute_force(spark):
+    """Items of one template, of nothing but names and numbers, and of both, against every pair; each slot has a value of its own."""
+    r = random.Random(12)
+    literals = [w for w in WORDS if w not in leaks.UNITS]
+    values = iter(r.sample(range(1000, 99999), 5000))
+    name = lambda: "Q" + "".join(chr(97 + int(c)) for c in str(next(values)))
+    fresh = lambda shape: [name() if w == "N" else str(next(values)) if w == "1" else w for w in shape]
+    pick = lambda n, kinds: [r.choice(literals) if k == "w" else k for k in r.choices(kinds, k=n)]
+    shapes = [pick(30, "wN1w")] * 6 + [["N"] * 26, pick(24, "N1")] + [pick(14, "wwN") + ["N"] * 14, pick(9, "N") + pick(20, "wN") + pick(9, "1N")]
+    items = [(i, fresh(x)) for i, x in enumerate(shapes)] + [(99, literals)]
+    bodies = []
+    for d in range(24):
+        own = fresh(shapes[5 + d % 5])
+        n = r.randint(17, len(own))
+        a = r.randint(0, len(own) - n)
+        bodies.append(edited(r, own[a : a + n], r.randint(0, 4)))
+    lower = {w for _, x in items for w in x if w.isalpha() and w.islower()}
+    typed = lambda ws: ["1" if w.isdigit() else "2" if w in leaks.UNITS else w if w in lower else "N" for w in ws]
+    pad = ["the"] * 8
+    want = {(d, i) for d, b in enumerate(bodies) for i, x in items if brute_runs(typed(pad + b + pad), typed(x))}
+    docs = [(d, " ".join(["the"] * r.randint(8, 300) + b + ["the"] * 300)) for d, b in enumerate(bodies)]
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id bigint, text string")
+    assert {(x.doc_id, x.item_id) for x in leaks.leaks(df, it).collect()} == want
+    assert 40 < len(want) < 200 and {i for _, i in want} >= set(range(10))
+
+
+def test_foreign_text_meets_lists_of_names(spark):
+    """A long text of words no item has against items of names alone: all have its template, whatever their number."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("aeioulmnrst") for _ in range(7))
+    items = [(i, " ".join(word().title() for _ in range(30))) for i in range(20)]
+    df = spark.createDataFrame([(1, " ".join(word() for _ in range(2000)))], "doc_id bigint, text string")
+    it = spark.createDataFrame(items, "item_id bigint, text string")
+    assert sorted(map(tuple, leaks.reparameterised(df, it).collect())) == [(1, i, 30) for i in range(20)]
+
+
 def test_runs_kernel_counts_edits():
     a = np.arange(30)
     b = np.concatenate([a[:10], [99], a[11:20], a[21:]])

@@ -34,9 +34,10 @@ STRIP = 2 * EDITS
 BAND = STRIP + 2 * EDITS + 1
 #: Document words are kept in blocks of twice this length, one starting every BLOCK words: each segment's strip lies in one.
 BLOCK = 128
-#: Windows with fewer literal words, and those whose template stands in more places of the items, are compared by their own words
-#: and not by their template.
-LEAST_LITERALS, HOT = 2, 4
+#: A window without a literal word meets its like by blocks and not by places: all diagonals on which a window that starts in a block may
+#: meet one of a segment are aligned at once, and those a run may move to.
+BARE_BAND = BLOCK + REACH - WINDOW + 2 * EDITS
+BARE_BEFORE = REACH - WINDOW + EDITS
 #: Bits of the largest bitmap of hashes that is broadcast (64 MiB). More hashes set more of its bits; nothing is lost by that.
 BITMAP_BITS = 29
 
@@ -239,20 +240,22 @@ def _mixed(c: np.ndarray, n: int) -> np.ndarray:
     return h * _MIX
 
 
-def window_keys(codes: np.ndarray, hot: np.ndarray | None = None) -> np.ndarray:
-    """The key of each window: of its template, or of its words where these are nearly all placeholders or the template is a
-    frequent one (its bit in ``hot`` is set), since such templates are alike everywhere. Which of the two is a function of the
-    window's words, so equal windows have equal keys."""
+def template_keys(codes: np.ndarray) -> np.ndarray:
     n = len(codes) - WINDOW + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    t = template(codes)
-    literal = np.concatenate([[0], np.cumsum(t > NAME)])
-    by_template = literal[WINDOW:] - literal[:n] >= LEAST_LITERALS
-    keys = _mixed(t, n)
-    if hot is not None:
-        by_template &= ~in_bitmap(hot, keys)
-    return np.where(by_template, keys, _mixed(codes, n) ^ _MIX)
+    return _mixed(template(codes), n) if n > 0 else np.empty(0, np.uint64)
+
+
+def bare(codes: np.ndarray) -> np.ndarray:
+    """Which windows hold no literal. Such templates are alike everywhere."""
+    literal = np.concatenate([[0], np.cumsum(template(codes) > NAME)])
+    return literal[WINDOW:] == literal[:-WINDOW]
+
+
+def window_keys(codes: np.ndarray) -> np.ndarray:
+    """The key by which places of both sides meet: that of the window's template, or of its words if it is bare; bare windows that differ in
+    words meet by blocks. Which of the two is a function of the window's words, so equal windows have equal keys."""
+    n = len(codes) - WINDOW + 1
+    return np.where(bare(codes), _mixed(codes, n) ^ _MIX, template_keys(codes)) if n > 0 else np.empty(0, np.uint64)
 
 
 def around(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -331,38 +334,30 @@ def _codes_of(b: pa.RecordBatch) -> list[np.ndarray]:
     return [np.asarray(c.values).view(np.uint64) for c in b.column("codes")]
 
 
-def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of items (w null), and their windows; a window of two segments comes with both, a bare one (bare) by its template too."""
     for b in batches:
-        keys = [window_keys(c) for c in _codes_of(b)]
-        yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(keys) if keys else np.empty(0, np.uint64)).view(np.int64))], names=["h"])
-
-
-def _item_windows(hot):
-    """Segments of items (w null), and their windows; a window of two segments comes with both."""
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            segs, wins = [], []
-            for i, c in zip(b.column("item_id").to_pylist(), _codes_of(b), strict=True):
-                k = window_keys(c, hot.value)
-                fwd, bwd = around(k)
-                for s in range(max(1, -(-(len(c) - RUN) // SEGMENT))):
-                    part = slice(s * SEGMENT, s * SEGMENT + REACH)
-                    segs.append((i, s, c[part]))
-                    wins.append((i, s, k[part], fwd[part], bwd[part]))
-            n, size = len(segs), [len(w[2]) for w in wins]
-            m = sum(size)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in segs], pa.int64()), pa.array([x[1] for x in segs], pa.int32()), _lists([x[2] for x in segs]), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * 3], names=_ITEM_NAMES)
-            rep = lambda k, t: pa.array(np.repeat(np.array([x[k] for x in wins], t), size))
-            cat = lambda k: pa.array(np.concatenate([x[k] for x in wins]).view(np.int64) if wins else np.empty(0, np.int64))
-            w = np.concatenate([np.arange(x, dtype=np.int32) for x in size]) if wins else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([rep(0, np.int64), rep(1, np.int32), pa.nulls(m, _CODES), pa.array(w), cat(2), cat(3), cat(4)], names=_ITEM_NAMES)
-
-    return f
-
-
-_ITEM_NAMES = ["item_id", "seg", "codes", "w", "key", "ifwd", "ibwd"]
-_ITEM_DDL = "item_id bigint, seg int, codes array<bigint>, w int, key bigint, ifwd bigint, ibwd bigint"
+        segs, wins = [], []
+        for i, c in zip(b.column("item_id").to_pylist(), _codes_of(b), strict=True):
+            k, t, none = window_keys(c), template_keys(c), bare(c)
+            fwd, bwd = around(t)
+            for s in range(max(1, -(-(len(c) - RUN) // SEGMENT))):
+                from_, to = s * SEGMENT, s * SEGMENT + REACH
+                at = np.arange(from_, min(to, len(k)))
+                segs.append((i, s, c[from_:to]))
+                wins.append((i, s, at - from_, k[at], fwd[at], bwd[at], False))
+                at = at[none[at]]
+                wins.append((i, s, at - from_, t[at], fwd[at], bwd[at], True))
+        n, size = len(segs), [len(w[2]) for w in wins]
+        m = sum(size)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in segs], pa.int64()), pa.array([x[1] for x in segs], pa.int32()), _lists([x[2] for x in segs]), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.bool_())], names=_ITEM_NAMES)
+        rep = lambda k, t: pa.array(np.repeat(np.array([x[k] for x in wins], t), size))
+        cat = lambda k: pa.array(np.concatenate([x[k] for x in wins]).view(np.int64) if wins else np.empty(0, np.int64))
+        yield pa.RecordBatch.from_arrays([rep(0, np.int64), rep(1, np.int32), pa.nulls(m, _CODES), cat(2).cast(pa.int32()), cat(3), cat(4), cat(5), rep(6, bool)], names=_ITEM_NAMES)
+
+
+_ITEM_NAMES = ["item_id", "seg", "codes", "w", "key", "ifwd", "ibwd", "bare"]
+_ITEM_DDL = "item_id bigint, seg int, codes array<bigint>, w int, key bigint, ifwd bigint, ibwd bigint, bare boolean"
 _DOC_DDL = "kind string, seq bigint, doc_id bigint, key bigint, pos int, fwd bigint, bwd bigint, block int, codes array<bigint>"
 
 
@@ -395,39 +390,50 @@ def _doc_sequence(text: str, coder: Coder) -> np.ndarray:
     return np.concatenate([x for p in parts for x in (p, gap)]) if parts else np.empty(0, np.uint64)
 
 
-def _doc_rows(lexicon, hot, wanted):
+def _doc_rows(lexicon, wanted):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         coder, keys = Coder(lexicon.value), wanted.value
         seq = TaskContext.get().partitionId() << 40
         for b in batches:
-            hits, blocks = [], []
+            hits, blocks, meets = [], [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 seq += 1
                 c = _doc_sequence(text.as_py(), coder)
                 if len(c) < WINDOW:
                     continue
-                k = window_keys(c, hot.value)
+                t = template_keys(c)
                 # a gap has code 0; no window of an item holds it
-                on = np.zeros(len(k) + 12, bool)
-                on[6 : 6 + len(k)] = in_bitmap(keys, k)
+                on = np.zeros(len(t) + 12, bool)
+                on[6 : 6 + len(t)] = in_bitmap(keys, t)
                 p = np.flatnonzero(on)
                 p = p[on[p + 1] | on[p - 1] | on[p + 5] | on[p - 5] | on[np.minimum(p + 6, len(on) - 1)] | on[p - 6]] - 6
                 # the hits of a run lie within RUN + EDITS words
                 p = p[np.searchsorted(p, p + RUN + EDITS, "right") - np.searchsorted(p, p - RUN - EDITS) >= LEAST_HITS]
                 if not len(p):
                     continue
-                fwd, bwd = around(k)
-                hits.append((seq, doc, k[p], p, fwd[p], bwd[p]))
+                alike = p[bare(c)[p]]
+                starts, first = np.unique(alike // BLOCK, return_index=True)
+                for n, part in zip(starts.tolist(), np.split(t[alike].view(np.int64), first[1:]), strict=False):
+                    low = n * BLOCK - BARE_BEFORE
+                    blocks.append(("wide", seq, doc, n, c[max(low, 0) : low + REACH + BARE_BAND - 1]))
+                    meets += [(seq, doc, x, n) for x in np.unique(part).tolist()]
+                k = window_keys(c)[p]
+                here = in_bitmap(keys, k)
+                k, p = k[here], p[here]
+                fwd, bwd = around(t)
+                hits.append((seq, doc, k, p, fwd[p], bwd[p]))
                 near = np.unique(np.concatenate([np.maximum(p - d, 0) // BLOCK for d in (EDITS, REACH + STRIP + EDITS)]))
-                blocks += [(seq, doc, n, c[n * BLOCK : (n + 2) * BLOCK]) for n in near.tolist()]
+                blocks += [("block", seq, doc, n, c[n * BLOCK : (n + 2) * BLOCK]) for n in near.tolist()]
             n, m = sum(len(h[3]) for h in hits), len(blocks)
             size = [len(h[3]) for h in hits]
             rep = lambda x: pa.array(np.repeat(np.array(x, np.int64), size))
             cat = lambda k, t: np.concatenate([h[k] for h in hits]).astype(t) if hits else np.empty(0, t)
             yield pa.RecordBatch.from_arrays([pa.array(["hit"] * n, pa.string()), rep([h[0] for h in hits]), rep([h[1] for h in hits]), pa.array(cat(2, np.uint64).view(np.int64)), pa.array(cat(3, np.int32)), pa.array(cat(4, np.int64)), pa.array(cat(5, np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, _CODES)], names=_NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(["block"] * m, pa.string()), pa.array([x[0] for x in blocks], pa.int64()), pa.array([x[1] for x in blocks], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([x[2] for x in blocks], pa.int32()), _lists([x[3] for x in blocks])], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in blocks], pa.string()), pa.array([x[1] for x in blocks], pa.int64()), pa.array([x[2] for x in blocks], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([x[3] for x in blocks], pa.int32()), _lists([x[4] for x in blocks])], names=_NAMES)
+            n = len(meets)
+            yield pa.RecordBatch.from_arrays([pa.array(["bare"] * n, pa.string()), *[pa.array([x[j] for x in meets], pa.int64()) for j in range(3)], pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([x[3] for x in meets], pa.int32()), pa.nulls(n, _CODES)], names=_NAMES)
 
     return f
 
@@ -436,17 +442,17 @@ _NAMES = ["kind", "seq", "doc_id", "key", "pos", "fwd", "bwd", "block", "codes"]
 
 
 def candidates(hits: DataFrame) -> DataFrame:
-    """(seq, doc_id, item_id, seg, low): the strips of diagonals, from ``low`` on, in which a document shares LEAST_HITS windows that
-    count with a segment of an item. hits(seq, doc_id, pos, item_id, seg, w), w counted within the segment; one partial aggregate, in which
+    """(seq, item_id, seg, low): the strips of diagonals, from ``low`` on, in which a document shares LEAST_HITS windows that
+    count with a segment of an item. hits(seq, pos, item_id, seg, w), w counted within the segment; one partial aggregate, in which
     bit masks count the different places of a segment on both sides."""
     d = F.col("pos") - F.col("w")
     strips = F.explode(F.array(*[(F.floor((d + s) / STRIP) * STRIP - s).cast("int") for s in (0, EDITS)]))
-    h = hits.select("seq", "doc_id", "item_id", "seg", "w", "pos", strips.alias("low"))
+    h = hits.select("seq", "item_id", "seg", "w", "pos", strips.alias("low"))
     bit = lambda c, part: F.bit_or(F.when((c >= 60 * part) & (c < 60 * part + 60), _one_bit(c - 60 * part)).otherwise(F.lit(0).cast("bigint")))
     place = F.col("pos") - F.col("low")
     count = lambda c: F.bit_count(bit(c, 0)) + F.bit_count(bit(c, 1))
-    g = h.groupBy("seq", "doc_id", "item_id", "seg", "low").agg(count(F.col("w")).alias("nw"), count(place).alias("np"))
-    return g.filter((F.col("nw") >= LEAST_HITS) & (F.col("np") >= LEAST_HITS)).select("seq", "doc_id", "item_id", "seg", "low")
+    g = h.groupBy("seq", "item_id", "seg", "low").agg(count(F.col("w")).alias("nw"), count(place).alias("np"))
+    return g.filter((F.col("nw") >= LEAST_HITS) & (F.col("np") >= LEAST_HITS)).select("seq", "item_id", "seg", "low")
 
 
 # --- alignment ---------------------------------------------------------------------------------------------------------
@@ -455,30 +461,30 @@ def candidates(hits: DataFrame) -> DataFrame:
 def longest_runs(doc: np.ndarray, item: np.ndarray, live: np.ndarray) -> np.ndarray:
     """(levels, n): for each of n pairs the most item words of a run with 0, 1, ... EDITS edits: changed, dropped or added words.
 
-    doc is (n, height + BAND - 1), item (n, height): item word i stands opposite document words i to i + BAND - 1, a band of
+    doc is (n, height + band - 1), item (n, height): item word i stands opposite document words i to i + band - 1, a band of
     diagonals that no run of so few edits leaves; ``live`` is the number of words of each item.
     """
-    n, levels = len(item), EDITS + 1
+    n, levels, band = len(item), EDITS + 1, doc.shape[1] - item.shape[1] + 1
     # the last column stays 0: there is no diagonal beyond the band
-    before, now = np.zeros((levels, n, BAND + 1), np.int16), np.zeros((levels, n, BAND + 1), np.int16)
-    top, hit, miss = np.zeros((levels, n, BAND), np.int16), np.empty((n, BAND), np.int16), np.zeros((n, BAND), np.int16)
+    before, now = np.zeros((levels, n, band + 1), np.int16), np.zeros((levels, n, band + 1), np.int16)
+    top, hit, miss = np.zeros((levels, n, band), np.int16), np.empty((n, band), np.int16), np.zeros((n, band), np.int16)
     least = int(live.min(initial=0))
     for i in range(int(live.max(initial=0))):
-        same = doc[:, i : i + BAND] == item[:, i : i + 1]
+        same = doc[:, i : i + band] == item[:, i : i + 1]
         for e in range(levels):
-            np.add(before[e, :, :BAND], 1, out=hit)
-            out = now[e, :, :BAND]
+            np.add(before[e, :, :band], 1, out=hit)
+            out = now[e, :, :band]
             if e:
-                np.maximum(before[e - 1, :, :BAND], before[e - 1, :, 1:], out=miss)
+                np.maximum(before[e - 1, :, :band], before[e - 1, :, 1:], out=miss)
                 miss += 1
-                np.maximum(miss[:, 1:], now[e - 1, :, : BAND - 1], out=miss[:, 1:])
+                np.maximum(miss[:, 1:], now[e - 1, :, : band - 1], out=miss[:, 1:])
                 np.copyto(out, miss)
             else:
                 out[:] = 0
             np.copyto(out, hit, where=same)
         if i >= least:
             now[:, i >= live] = 0
-        np.maximum(top, now[:, :, :BAND], out=top)
+        np.maximum(top, now[:, :, :band], out=top)
         before, now = now, before
     return top.max(axis=2, initial=0)
 
@@ -486,6 +492,17 @@ def longest_runs(doc: np.ndarray, item: np.ndarray, live: np.ndarray) -> np.ndar
 def holds(runs: np.ndarray) -> np.ndarray:
     return np.any([runs[e] >= n for n, e in ENOUGH], axis=0)
 
+
+def may_hold(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Whether so many words of the item in a row stand in the band at all that ``holds`` may be true: a run's words that agree do."""
+    band = doc.shape[1] - item.shape[1] + 1
+    seen = np.zeros(item.shape, bool)
+    for d in range(band):
+        seen |= doc[:, d : d + item.shape[1]] == item
+    total = np.concatenate([np.zeros((len(item), 1), np.int16), np.cumsum(seen, axis=1, dtype=np.int16)], axis=1)
+    return np.any([(total[:, n:] - total[:, :-n] >= n - e).any(axis=1) for n, e in ENOUGH if n < total.shape[1]], axis=0)
+
+
 #: A step of an alignment: place in the item, place in the document (None where the other side has a word more), and whether the words agree.
 Step = tuple[int | None, int | None, bool]
 
@@ -553,15 +570,17 @@ def slots(doc: list[int], td: list[int], item: list[int], tt: list[int]) -> tupl
     """(placeholders, those with another value) of an aligned run of both templates that holds a passage and has one value for each
     slot of the item; of such runs, the one with the most changed slots. None if there is no such run."""
     at = defaultdict(list)
-    for w, h in enumerate(_mixed(np.array(tt, np.uint64), len(tt) - WINDOW + 1).tolist()):
+    hi, hd = (_mixed(np.array(t, np.uint64), len(t) - WINDOW + 1).tolist() for t in (tt, td))
+    for w, h in enumerate(hi):
         at[h].append(w)
-    # every passage has windows without an edit; one start for each stretch of them
-    hits = [(w, p) for p, h in enumerate(_mixed(np.array(td, np.uint64), len(td) - WINDOW + 1).tolist()) for w in at.get(h, ())]
-    known = set(hits)
+    most = len({c for c, t in zip(item, tt, strict=True) if t <= NAME})
     best, done = None, set()
-    for w, p in hits:
-        if (w - 1, p - 1) in known or (w, p) in done:
+    # every passage has windows without an edit; one start for each stretch of them
+    for w, p in ((w, p) for p, h in enumerate(hd) for w in at.get(h, ())):
+        if w and p and hi[w - 1] == hd[p - 1] or (w, p) in done:
             continue
+        if best and best[1] == most:
+            break
         for steps in _alignments(tt, td, w, p):
             parts, lo, last = [], 0, {}
             for x, (i, j, same) in enumerate(steps):
@@ -600,29 +619,34 @@ def _matrix(lists: pa.Array, start: np.ndarray, width: int, pad: int) -> np.ndar
     return np.where(ok, flat[np.where(ok, i + at[:-1, None], 0)], np.uint64(pad))
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    none, nothing = (1 << 64) - 1, (1 << 64) - 2
-    step = max(1, _CELLS // (REACH * BAND))
-    for whole in batches:
-        for from_ in range(0, whole.num_rows, step):
-            b = whole.slice(from_, step)
-            size = b.num_rows
-            doc = _matrix(b.column("codes"), np.asarray(b.column("at")).astype(np.int64), REACH + BAND - 1, none)
-            item = _matrix(b.column("item_codes"), np.zeros(size, np.int64), REACH, nothing)
-            live = np.minimum(np.diff(np.asarray(b.column("item_codes").offsets)), REACH)
-            same = holds(longest_runs(doc, item, live))
-            changed = np.zeros(size, np.int32)
-            rest = np.flatnonzero(~same)
-            if len(rest):
-                typed = lambda m: np.where(m >= nothing, m, template(m))
-                td, tt = typed(doc[rest]), typed(item[rest])
-                for k in np.flatnonzero(holds(longest_runs(td, tt, live[rest]))).tolist():
-                    r = rest[k]
+def _align(band: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none, nothing = (1 << 64) - 1, (1 << 64) - 2
+        typed = lambda m: np.where(m >= nothing, m, template(m))
+        step = max(1, _CELLS // (REACH * band))
+        for whole in batches:
+            for from_ in range(0, whole.num_rows, step):
+                b = whole.slice(from_, step)
+                doc = _matrix(b.column("codes"), np.asarray(b.column("at")).astype(np.int64), REACH + band - 1, none)
+                item = _matrix(b.column("item_codes"), np.zeros(b.num_rows, np.int64), REACH, nothing)
+                td, tt = typed(doc), typed(item)
+                # equal words have equal templates
+                near = np.flatnonzero(may_hold(td, tt))
+                doc, item, td, tt = doc[near], item[near], td[near], tt[near]
+                live = np.minimum(np.diff(np.asarray(b.column("item_codes").offsets)), REACH)[near]
+                same, changed = np.zeros(len(near), bool), np.zeros(len(near), np.int32)
+                own = np.flatnonzero(may_hold(doc, item))
+                same[own] = holds(longest_runs(doc[own], item[own], live[own]))
+                rest = np.flatnonzero(~same)
+                for r in rest[holds(longest_runs(td[rest], tt[rest], live[rest]))].tolist():
                     real = doc[r] != none
-                    found = slots(doc[r][real].tolist(), td[k][real].tolist(), item[r][: live[r]].tolist(), tt[k][: live[r]].tolist())
+                    found = slots(doc[r][real].tolist(), td[r][real].tolist(), item[r][: live[r]].tolist(), tt[r][: live[r]].tolist())
                     changed[r] = found[1] if found else 0
-            keep = np.flatnonzero(same | (changed > 0))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(keep)), b.column("item_id").take(pa.array(keep)), pa.array(same[keep]), pa.array(changed[keep])], schema=_OUT)
+                keep = np.flatnonzero(same | (changed > 0))
+                ids = [b.column(c).take(pa.array(near[keep])) for c in ("doc_id", "item_id")]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(same[keep]), pa.array(changed[keep])], schema=_OUT)
+
+    return f
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -638,8 +662,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     passage, and the words around them in blocks. A shared window counts if the one beside it, or the next behind one edit, is
     shared too (told by 16 bits of their keys). A passage and its copy share LEAST_HITS that count within a strip of diagonals
     of one segment of the item, whatever their edits, since equal windows have equal keys; such strips are counted by a partial
-    aggregate and aligned in a band that no such run leaves. So no case is lost, every step on a pair has a bounded size, and
-    neither items nor documents are gathered anywhere; a key, document or item that has most rows is split by the joins.
+    aggregate and aligned in a band that no such run leaves. Windows without a literal, which would meet everywhere, meet once for
+    each block of the document and segment, which are aligned on all their diagonals. So no case is lost, every step on a pair has
+    a bounded size, and neither items nor documents are gathered anywhere; a key, document or item that has most rows is split by
+    the joins. A text of nothing but names has the template of every item with 20 names in a row.
     Comments, references and templates are texts by themselves and, in the text around them, gaps or what they show.
 
     Null and short texts on either side give nothing; rows of one doc_id count as one document, of one item_id as one item;
@@ -654,19 +680,26 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     lower = scratch.write(asked.mapInArrow(_lower_words, "h bigint").distinct())
     lexicon = share(bitmap(lower, lower.count(), 1024))
     coded = scratch.write(asked.mapInArrow(_item_codes(lexicon), "item_id bigint, codes array<bigint>"))
-    often = scratch.write(coded.mapInArrow(_templates, "h bigint").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("h"))
-    hot = share(bitmap(often, often.count(), 1024))
-    sides = scratch.write(coded.mapInArrow(_item_windows(hot), _ITEM_DDL))
-    windows = sides.filter("w is not null").select("key", "item_id", "seg", "w", "ifwd", "ibwd")
-    wanted = share(bitmap(windows.select(F.col("key").alias("h")), windows.count(), 64))
-    rows = scratch.write(own(docs, "doc_id").mapInArrow(_doc_rows(lexicon, hot, wanted), _DOC_DDL), ["kind"])
+    sides = scratch.write(coded.mapInArrow(_item_windows, _ITEM_DDL))
+    windows = sides.filter("not bare").select("key", "item_id", "seg", "w", "ifwd", "ibwd")
+    alike = sides.filter("bare").select("key", "item_id", "seg").distinct()
+    asked_for = sides.filter("w is not null").select(F.col("key").alias("h"))
+    wanted = share(bitmap(asked_for, asked_for.count(), 64))
+    rows = scratch.write(own(docs, "doc_id").mapInArrow(_doc_rows(lexicon, wanted), _DOC_DDL), ["kind"])
     small = lambda d, width: F.broadcast(d) if fits_broadcast(d, width) else d
-    hits = rows.filter("kind = 'hit'").select("seq", "doc_id", "key", "pos", "fwd", "bwd").join(small(windows, 64), "key").filter(supported())
-    cand = scratch.write(candidates(hits)).withColumn("block", F.floor(F.greatest(F.col("low") - EDITS, F.lit(0)) / BLOCK).cast("int"))
-    blocks = rows.filter("kind = 'block'").select("seq", "block", "codes")
     texts = sides.filter("w is null").select("item_id", "seg", F.col("codes").alias("item_codes"))
-    pairs = cand.join(blocks, ["seq", "block"]).join(small(texts, 8 * REACH + 64), ["item_id", "seg"])
-    each = pairs.select("doc_id", "item_id", "codes", (F.col("low") - EDITS - BLOCK * F.col("block")).alias("at"), "item_codes").mapInArrow(_align, "doc_id bigint, item_id bigint, verbatim boolean, changed_slots int")
+    texts = small(texts, 8 * REACH + 64)
+
+    def aligned(cand: DataFrame, kind: str, low: Column, band: int) -> DataFrame:
+        blocks = rows.filter(F.col("kind") == kind).select("seq", "doc_id", "block", "codes")
+        pairs = cand.join(blocks, ["seq", "block"]).join(texts, ["item_id", "seg"])
+        return pairs.select("doc_id", "item_id", "codes", low.alias("at"), "item_codes").mapInArrow(_align(band), "doc_id bigint, item_id bigint, verbatim boolean, changed_slots int")
+
+    hits = rows.filter("kind = 'hit'").select("seq", "key", "pos", "fwd", "bwd").join(small(windows, 64), "key").filter(supported())
+    cand = scratch.write(candidates(hits)).withColumn("block", F.floor(F.greatest(F.col("low") - EDITS, F.lit(0)) / BLOCK).cast("int"))
+    meets = rows.filter("kind = 'bare'").select("seq", "key", "block").join(small(alike, 64), "key").select("seq", "block", "item_id", "seg").distinct()
+    each = aligned(cand, "block", F.col("low") - EDITS - BLOCK * F.col("block"), BAND)
+    each = each.unionAll(aligned(meets, "wide", F.least(F.col("block") * BLOCK - BARE_BEFORE, F.lit(0)), BARE_BAND))
     return each.groupBy("doc_id", "item_id").agg(F.max("verbatim").alias("verbatim"), F.max("changed_slots").alias("changed_slots"))
 
 
