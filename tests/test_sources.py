@@ -174,3 +174,24 @@ def test_category_minus_one_is_dropped(spark, tmp_path):
     d = coco.read_coco(spark, str(tmp_path / "a.json"))
     out = D.update_categories(d, spark.createDataFrame([("car", 7), ("bus", -1)], "name string, category_id int"))
     assert [r.category_id for r in out.annotations.collect()] == [7] and [r.category_id for r in out.categories.collect()] == [7]
+
+
+def test_detector_of_arrays_equals_rows(spark):
+    """Both ways of asking a detector give the same predictions; those below the confidence never leave the worker."""
+    class Rows:
+        predict = L.GridDetector().predict
+
+    im = spark.createDataFrame([(i - 2, 200 + 211 * i, 1900 - 150 * i) for i in range(9)], "image_id bigint, height int, width int")
+    t = T.tiles(im).select("image_id", "tile_idx", "x1", "y1", "x2", "y2")
+    for shifted in (False, True):
+        a, b = (sorted(map(tuple, L.detect(t, make, 7, shifted).collect())) for make in (L.GridDetector, Rows))
+        assert a == b and len(a) > 200
+        c = L.detect(t, L.GridDetector, 7, shifted, 0.3, False)
+        assert sorted(map(tuple, c.collect())) == sorted((*r[:3], *r[4:]) for r in b if r[4] >= 0.3) and "category_name" not in c.columns
+
+
+def test_detected_tiles_need_no_shuffle(spark, data):
+    import __spark_entry__ as e
+
+    plan = e.queries()["detect_tiles"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan

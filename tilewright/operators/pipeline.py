@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,14 @@ from tilewright.operators import tiling
 from tilewright.operators.merge import Merging, low_confidence_rewrite, merged
 from tilewright.session import Scratch, ship_package
 
-PREDICTION = "image_id bigint, tile_idx int, category_id int, category_name string, score double, x1 double, y1 double, x2 double, y2 double"
+_SCHEMA = pa.schema([("image_id", pa.int64()), ("tile_idx", pa.int32()), ("category_id", pa.int32()), ("category_name", pa.string()), ("score", pa.float64()), *[(k, pa.float64()) for k in ("x1", "y1", "x2", "y2")]])
 
 
 class Detector(Protocol):
-    """A model: built once in each Python worker, called with batches of tile rows (dicts), gives rows of predictions relative to the tile."""
+    """A model: built once in each Python worker, called with batches of tile rows (dicts), gives rows of predictions relative to the tile.
+
+    One that also has ``predict_arrays`` is called with the columns of many tiles instead, as arrays without nulls, and gives the position of each
+    prediction's tile and the columns category_id, category_name (array or Arrow), score, x1, y1, x2 and y2."""
 
     def predict(self, batch: list[dict]) -> list[dict]: ...
 
@@ -42,6 +47,16 @@ class GridDetector:
                 out.append({"image_id": t["image_id"], "tile_idx": t["tile_idx"], "category_id": c, "category_name": self.names[c], "score": ((t["image_id"] * 31 + t["tile_idx"] * 17 + k) % 1000) / 1000.0, "x1": float(k), "y1": float(k), "x2": float(min(w, k + self.side)), "y2": float(min(h, k + self.side))})
         return out
 
+    def predict_arrays(self, t: dict[str, np.ndarray]) -> tuple[np.ndarray, dict]:
+        w, h = t["x2"].astype(np.int64) - t["x1"], t["y2"].astype(np.int64) - t["y1"]
+        n = -(-np.maximum(1, np.minimum(w, h) - self.side) // self.step)
+        rows = np.repeat(np.arange(len(n)), n)
+        nth = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+        k, image, tile = nth * self.step, t["image_id"].astype(np.int64)[rows], t["tile_idx"].astype(np.int64)[rows]
+        c = (image % len(self.names) + nth) % len(self.names)
+        at = k.astype(np.float64)
+        return rows, {"category_id": c, "category_name": pa.DictionaryArray.from_arrays(pa.array(c, pa.int32()), pa.array(self.names, pa.string())), "score": (image % 1000 * 31 + tile % 1000 * 17 + k) % 1000 / 1000.0, "x1": at, "y1": at, "x2": np.minimum(w[rows], k + self.side).astype(np.float64), "y2": np.minimum(h[rows], k + self.side).astype(np.float64)}
+
 
 #: Registry of model types; users add their own factories.
 DETECTORS: dict[str, Callable[..., Detector]] = {"grid": GridDetector}
@@ -51,28 +66,46 @@ def register_detector(name: str, factory: Callable[..., Detector]) -> None:
     DETECTORS[name] = factory
 
 
-def detect(tile_table: DataFrame, make: Callable[[], Detector], batch_size: int = 64, shifted: bool = False) -> DataFrame:
+def _predicted(model: Detector, b: pa.RecordBatch, batch_size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Table]]:
+    """(tiles, position of each prediction's tile among them, predictions) for a batch of tiles."""
+    if hasattr(model, "predict_arrays") and not any(c.null_count for c in b.columns):
+        rows, found = model.predict_arrays({n: c.to_numpy(zero_copy_only=False) for n, c in zip(b.schema.names, b.columns, strict=True)})
+        cols = {k: b.column(k).take(pa.array(rows)) for k in ("image_id", "tile_idx")} | found
+        yield b, rows, pa.table([v.cast(f.type) if isinstance(v := cols[f.name], pa.Array) else pa.array(v, f.type) for f in _SCHEMA], schema=_SCHEMA)
+        return
+    for at in range(0, b.num_rows, batch_size):
+        part = b.slice(at, batch_size)
+        tiles = part.to_pylist()
+        found = model.predict(tiles)
+        where = {(t["image_id"], t["tile_idx"]): n for n, t in enumerate(tiles)}
+        yield part, np.array([where[p["image_id"], p["tile_idx"]] for p in found], np.int64), pa.Table.from_pylist(found, schema=_SCHEMA)
+
+
+def detect(tile_table: DataFrame, make: Callable[[], Detector], batch_size: int = 64, shifted: bool = False, confidence: float | None = None, named: bool = True) -> DataFrame:
     """Predictions of every tile, by Arrow batches; the model is made once per task. ``shifted``: already moved by their tile's
-    corner, so that nothing has to be joined back; streams can be detected on, too."""
+    corner, so that nothing has to be joined back; streams can be detected on, too. ``confidence``: those that score less are
+    left out before they leave the worker. ``named`` False leaves out category_name."""
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
     ship_package(tile_table.sparkSession)
-    schema = pa.schema([("image_id", pa.int64()), ("tile_idx", pa.int32()), ("category_id", pa.int32()), ("category_name", pa.string()), ("score", pa.float64()), *[(k, pa.float64()) for k in ("x1", "y1", "x2", "y2")]])
+    out = [f for f in _SCHEMA if named or f.name != "category_name"]
+    sql = {"int64": "bigint", "int32": "int", "double": "double", "string": "string"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
         for b in batches:
-            for at in range(0, b.num_rows, batch_size):
-                tiles = b.slice(at, batch_size).to_pylist()
-                found = model.predict(tiles)
+            for tiles, rows, found in _predicted(model, b, batch_size):
+                if confidence is not None:
+                    # as in SQL: a score that is no number is above all, one that is null is not
+                    on = pc.fill_null(pc.or_(pc.greater_equal(found.column("score"), confidence), pc.is_nan(found.column("score"))), False)
+                    found, rows = found.filter(on), rows[np.asarray(on)]
                 if shifted:
-                    corner = {(t["image_id"], t["tile_idx"]): (t["x1"], t["y1"]) for t in tiles}
-                    for p in found:
-                        dx, dy = corner[p["image_id"], p["tile_idx"]]
-                        p.update(x1=p["x1"] + dx, x2=p["x2"] + dx, y1=p["y1"] + dy, y2=p["y2"] + dy)
-                yield pa.RecordBatch.from_pylist(found, schema=schema)
+                    for k in ("x1", "y1", "x2", "y2"):
+                        by = pc.cast(tiles.column(f"{k[0]}1"), pa.float64()).take(pa.array(rows))
+                        found = found.set_column(found.schema.get_field_index(k), k, pc.add(found.column(k), by))
+                yield from found.select([f.name for f in out]).to_batches()
 
-    return tile_table.mapInArrow(run, PREDICTION)
+    return tile_table.mapInArrow(run, ", ".join(f"{f.name} {sql[str(f.type)]}" for f in out))
 
 
 def exclude(preds: DataFrame, names: list[str] | None = None, ids: list[int] | None = None) -> DataFrame:
