@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tilewright.operators import tiling as T
 
@@ -70,3 +71,22 @@ def test_bad_specs():
 def test_names(spark):
     r = T.tiles(images(spark, [(10, 10)]), T.TileSpec(10, 10)).select(T.tile_name(T.F.col("file_name")).alias("a"), T.tile_name(T.F.col("file_name"), ".jpg").alias("b")).head()
     assert (r.a, r.b) == ("a0_0_0_10_10.png", "a0_0_0_10_10.jpg")
+
+
+@pytest.mark.parametrize("spec", [T.TileSpec(256, 300, 0.25, 0.1), T.TileSpec(auto=True)])
+def test_corners_without_tiles(spark, spec):
+    """Boxes go back to the image by computed corners as they do by a table of tiles; those of tiles that are not there go nowhere."""
+    im = images(spark, [(700, 900), (100, 100), (1300, 400), (1365, 2048)])
+    t = T.tiles(im, spec)
+    p = t.select("image_id", "tile_idx", F.lit(1.0).alias("x1"), F.lit(2.0).alias("y1"), F.lit(5.0).alias("x2"), F.lit(9.0).alias("y2"))
+    p = p.union(spark.createDataFrame([(0, -1, 0.0, 0.0, 1.0, 1.0), (0, 999, 0.0, 0.0, 1.0, 1.0)], p.schema))
+    a, b = (sorted(map(tuple, d.collect())) for d in (T.to_images(p, im, spec), T.to_full_image(p, t)))
+    assert a == b and len(a) == t.count()
+
+
+def test_shifting_back_broadcasts_nothing(spark, data):
+    import __spark_entry__ as e
+
+    plan = e.queries()["tile_shift_back"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert "Broadcast" not in T.to_full_image(*(T.tiles(images(spark, [(700, 900)])) for _ in "ab"))._jdf.queryExecution().executedPlan().toString()

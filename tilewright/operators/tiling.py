@@ -117,9 +117,10 @@ def _hit_tiles(lo: Column, hi: Column, axis: str) -> Column:
 
 
 def _on_tiles(images: DataFrame, annotations: DataFrame, spec: TileSpec) -> DataFrame:
-    """Annotations with each tile (row, col, tx1..ty2, nx) that their box overlaps. One equi-join with the images' sizes."""
+    """Annotations with each tile (row, col, tx1..ty2, nx) that their box overlaps. One equi-join with the images' sizes, which
+    shuffles: a compressed table tells too little of its rows to be broadcast on its size."""
     i = with_tile_size(images.select("image_id", "height", "width"), spec)
-    a = annotations.join(i, "image_id").withColumn("nx", axis_count(*_axis("x")))
+    a = annotations.join(i.hint("merge"), "image_id").withColumn("nx", axis_count(*_axis("x")))
     hit = a.withColumn("col", F.explode(_hit_tiles(F.col("x"), F.col("x") + F.col("w"), "x"))).withColumn("row", F.explode(_hit_tiles(F.col("y"), F.col("y") + F.col("h"), "y")))
     return hit.withColumns({"tx1": axis_start(F.col("col"), *_axis("x")), "tx2": axis_end(F.col("col"), *_axis("x")), "ty1": axis_start(F.col("row"), *_axis("y")), "ty2": axis_end(F.col("row"), *_axis("y"))})
 
@@ -178,8 +179,20 @@ def slice_dataset(images: DataFrame, annotations: DataFrame, spec: TileSpec = Ti
     return t, a
 
 
+def _moved(p: DataFrame) -> DataFrame:
+    return p.withColumns({"x1": F.col("x1") + F.col("dx"), "x2": F.col("x2") + F.col("dx"), "y1": F.col("y1") + F.col("dy"), "y2": F.col("y2") + F.col("dy")}).drop("dx", "dy")
+
+
 def to_full_image(preds: DataFrame, tile_table: DataFrame) -> DataFrame:
-    """Tile-relative boxes carried back by their tile's corner."""
+    """Tile-relative boxes carried back by their tile's corner. Tiles are often made by exploding images, which the planner
+    takes for as small as the images, so they are never broadcast."""
     corner = tile_table.select("image_id", "tile_idx", F.col("x1").alias("dx"), F.col("y1").alias("dy"))
-    p = preds.join(corner, ["image_id", "tile_idx"])
-    return p.withColumns({"x1": F.col("x1") + F.col("dx"), "x2": F.col("x2") + F.col("dx"), "y1": F.col("y1") + F.col("dy"), "y2": F.col("y2") + F.col("dy")}).drop("dx", "dy")
+    return _moved(preds.join(corner.hint("merge"), ["image_id", "tile_idx"]))
+
+
+def to_images(preds: DataFrame, images: DataFrame, spec: TileSpec = TileSpec()) -> DataFrame:
+    """``to_full_image`` for the tiles of a spec: their corners are computed from the images' sizes, no tile is made."""
+    i = with_tile_size(images.select("image_id", "height", "width"), spec).withColumns({"__nx": axis_count(*_axis("x")), "__ny": axis_count(*_axis("y"))})
+    p = preds.join(i.hint("merge"), "image_id").filter((F.col("tile_idx") >= 0) & (F.col("tile_idx") < F.col("__nx") * F.col("__ny")))
+    p = p.withColumns({"dx": axis_start(F.col("tile_idx") % F.col("__nx"), *_axis("x")), "dy": axis_start(F.expr("tile_idx div __nx"), *_axis("y"))})
+    return _moved(p.select(*preds.columns, "dx", "dy"))

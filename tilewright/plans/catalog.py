@@ -133,7 +133,7 @@ def slice_multi_size(spark, d):
 def tile_shift_back(spark, d):
     im = view(spark, d, "v_images")
     s = T.slice_annotations(im, view(spark, d, "v_annotations")).select("image_id", "tile_idx", "ann_id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
-    return T.to_full_image(s, T.tiles(im))
+    return T.to_images(s, im)
 
 
 # --- boxes -------------------------------------------------------------------------------------------------------------
