@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,33 @@ def test_queries_against_sql(spark, data, name):
     r = c.sql(e.oracle_sql()[name])
     at = [r.columns.index(x) for x in sorted(r.columns)]
     assert got == sorted(str(tuple(x[i] for i in at)) for x in r.fetchall())
+
+
+def random_masks(n, seed):
+    """Segmentations of none to four rings: upright boxes, some on half pixels, and any polygons, some too short; null at times."""
+    rng = np.random.default_rng(seed)
+
+    def one():
+        out = []
+        for _ in range(rng.integers(0, 5)):
+            x, y, w, h = (rng.integers(-10, 60, 4) / rng.choice([1, 2])).tolist()
+            out.append([x, y, x + abs(w), y, x + abs(w), y + abs(h), x, y + abs(h)] if rng.random() < 0.5 else (rng.integers(-20, 80, int(rng.integers(2, 18))) / 2).tolist())
+        return out if rng.random() > 0.1 else None
+
+    masks = [one() for _ in range(n)]
+    return masks, pa.array(masks, pa.list_(pa.list_(pa.float64())))
+
+
+def test_masks_of_a_batch_overlap_as_drawn_one_by_one(monkeypatch):
+    monkeypatch.setattr(P, "RASTER", 20_000)
+    (a, ca), (b, cb) = random_masks(300, 1), random_masks(300, 2)
+    rng = np.random.default_rng(3)
+    i, j, crowd = rng.integers(0, 300, 500), rng.integers(0, 300, 500), rng.random(500) < 0.3
+    rings = lambda s: [np.asarray(r) for r in s or [] if len(r) >= 6 and len(r) % 2 == 0]
+    want = []
+    for p, q, c in zip([rings(a[k]) for k in i], [rings(b[k]) for k in j], crowd, strict=True):
+        x, y = (np.floor(min([r[k::2].min() for r in p + q], default=0)) for k in (0, 1))
+        m, g = (P.fill([r - np.tile([x, y], len(r) // 2) for r in s], 200, 200) for s in (p, q))
+        whole = (m if c else m | g).sum()
+        want.append((m & g).sum() / whole if p and q and whole else 0.0)
+    assert P.pair_overlaps(P.Rings.of_arrow(ca), P.Rings.of_arrow(cb), i, j, crowd).tolist() == want and sum(v > 0 for v in want) > 50

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import polygons as P
-from tilewright.functions.polygons import fill
 from tilewright.operators.merge import buckets
 from tilewright.session import fits_broadcast, ship_package
 
@@ -108,23 +107,6 @@ def _near(d: np.ndarray, dcode: np.ndarray, darea: np.ndarray, g: np.ndarray, gc
     return di[o], gi[o], iou[o]
 
 
-def _mask_overlaps(dseg: list, gseg: list, di: np.ndarray, gi: np.ndarray, crowd: np.ndarray) -> np.ndarray:
-    """Overlap of the pixels of each pair of segmentations, drawn on the raster of their common bounds; a mask without polygons has none."""
-    out = np.zeros(len(di))
-    rings = lambda s: [np.asarray(p, float) for p in (s if s is not None else ()) if len(p) >= 6 and len(p) % 2 == 0]
-    a, b = {k: rings(dseg[k]) for k in set(di.tolist())}, {k: rings(gseg[k]) for k in set(gi.tolist())}
-    for n, (i, j) in enumerate(zip(di.tolist(), gi.tolist(), strict=True)):
-        p, q = a[i], b[j]
-        if not p or not q:
-            continue
-        x, y = (np.floor(min(r[k::2].min() for r in (*p, *q))) for k in (0, 1))
-        w, h = (int(np.rint(max(r[k::2].max() for r in (*p, *q)) - o)) + 1 for k, o in ((0, x), (1, y)))
-        m, g = (fill([r - np.tile([x, y], len(r) // 2) for r in s], w, h) for s in (p, q))
-        inter, whole = np.count_nonzero(m & g), np.count_nonzero(m) if crowd[j] else np.count_nonzero(m | g)
-        out[n] = inter / whole if whole else 0.0
-    return out
-
-
 def _matcher(thresholds: Sequence[float], ranges: list[tuple[float, float]], masks: bool = False):
     """Pairs of a bucket are found all at once. A pair of which neither side overlaps anything else is settled by comparing its
     overlap with the thresholds; only what competes is matched one by one."""
@@ -145,7 +127,7 @@ def _matcher(thresholds: Sequence[float], ranges: list[tuple[float, float]], mas
             darea = np.asarray(dets.column("area"), np.float64)
         di, gi, iou = _near(d, dcode, darea, g, gcode, crowd, -1.0 if masks else min(cuts))
         if masks:
-            iou = _mask_overlaps(dets.column("segmentation").to_pylist(), gts.column("segmentation").to_pylist(), di, gi, crowd)
+            iou = P.pair_overlaps(P.Rings.of_arrow(dets.column("segmentation")), P.Rings.of_arrow(gts.column("segmentation")), di, gi, crowd[gi])
             on = iou >= min(cuts)
             di, gi, iou = di[on], gi[on], iou[on]
         alone = (np.bincount(di, minlength=nd)[di] == 1) & (np.bincount(gi, minlength=len(gcode))[gi] == 1)

@@ -1017,9 +1017,11 @@ def eval_masks(spark, d):
     """Boxes drawn as polygons and compared pixel by pixel: hits and counted detections at each threshold."""
     ring = F.array(P.box_ring(*B.cols()))
     m = E.matches(view(spark, d, "v_preds").withColumn("segmentation", ring), view(spark, d, "v_truth").withColumn("segmentation", ring), masks=True)
-    bit = lambda c, k: F.getbit(F.col(c), F.lit(k)).cast("int")
-    each = F.explode(F.array(*[F.struct(F.lit(t).alias("iou_thr"), (bit("tp", k) * (1 - bit("ignored", k))).alias("hit"), (1 - bit("ignored", k)).alias("seen")) for k, t in enumerate(E.IOU_THRESHOLDS)])).alias("z")
-    return m.select("category_id", "area_lbl", each).groupBy("category_id", "area_lbl", "z.iou_thr").agg(F.sum("z.hit").cast("bigint").alias("n_hits"), F.sum("z.seen").cast("bigint").alias("n_counted"))
+    bit = lambda c, k: F.getbit(F.col(c), F.lit(k)).cast("bigint")
+    n = range(len(E.IOU_THRESHOLDS))
+    sums = m.groupBy("category_id", "area_lbl").agg(*[F.sum(bit("tp", k) * (1 - bit("ignored", k))).alias(f"t{k}") for k in n], *[F.sum(1 - bit("ignored", k)).alias(f"n{k}") for k in n])
+    each = F.explode(F.array(*[F.struct(F.lit(E.IOU_THRESHOLDS[k]).alias("iou_thr"), F.col(f"t{k}").alias("n_hits"), F.col(f"n{k}").alias("n_counted")) for k in n])).alias("z")
+    return sums.select("category_id", "area_lbl", each).select("category_id", "area_lbl", "z.iou_thr", "z.n_hits", "z.n_counted")
 
 
 _CLASS_FIGURES = ", ".join(f"round(avg(precision) FILTER ({c}), 6) AS \"{n}\"" for n, c in [("mAP", "area_lbl = 'all'"), ("mAP50", "area_lbl = 'all' AND iou_thr = 0.5"), ("mAP75", "area_lbl = 'all' AND iou_thr = 0.75"), *[(f"mAP_{s}", f"area_lbl = '{s}'") for s in "sml"], *[(f"mAP50_{s}", f"area_lbl = '{s}' AND iou_thr = 0.5") for s in "sml"]])
