@@ -184,3 +184,40 @@ def test_kernels_of_points_and_outliers():
         assert K.transitive(box, score, metric, 0.2)[0].tolist() == brute_forest(box, score, metric, 0.2)
     zero = np.zeros((5, 4))
     assert K.greedy(zero, np.arange(5.0)).tolist() == list(range(5)) and K.transitive(zero, np.arange(5.0))[0].tolist() == list(range(5))
+
+
+@pytest.mark.parametrize("metric", ["IOU", "IOS"])
+def test_many_groups_at_once_equal_each_by_itself(metric):
+    """One call for all groups of a bucket, whose boxes may stand in the same places and be of very different size."""
+    rng = np.random.default_rng(7)
+    group = rng.integers(0, 40, 3000)
+    lo = rng.integers(0, 60, (3000, 2)).astype(float)
+    box = np.concatenate([lo, lo + rng.integers(0, 25, (3000, 2))], axis=1) * (1.0 + group[:, None] % 5)
+    score, cat = rng.integers(0, 20, 3000) / 20, rng.integers(0, 3, 3000)
+    assert K.with_wide(box, group).tolist() == [] and K.with_wide(np.concatenate([box, [[0, 0, 9e5, 9e5]]]), np.append(group, 4)).tolist() == [4]
+    root, claim = K.transitive(box, score, metric, 0.3, group)
+    own = K.greedy(box, score, metric, 0.3, group=group)
+    folded = K.fold_members(box, score, cat, root, K.member_order(root, claim), metric, 0.3)
+    assert folded[4].sum() > 100
+    for g in range(40):
+        at = np.flatnonzero(group == g)
+        r, c = K.transitive(box[at], score[at], metric, 0.3)
+        assert at[r].tolist() == root[at].tolist() and at[K.greedy(box[at], score[at], metric, 0.3)].tolist() == own[at].tolist()
+        # so few that they are folded one by one
+        few = K.fold_members(box[at], score[at], cat[at], r, K.member_order(r, c), metric, 0.3)
+        kept = np.flatnonzero(r == np.arange(len(at)))
+        assert all((a[kept] == b[at][kept]).all() for a, b in zip(few[:4], folded[:4], strict=True)) and (few[4] == folded[4][at]).all()
+
+
+@pytest.mark.parametrize("method", ["greedy_nmm", "nmm"])
+def test_merging_takes_one_shuffle_beside_the_count(spark, method):
+    """Small groups are grouped and folded in one step, with a huge box among them as well, and as the relational way does."""
+    rng = np.random.default_rng(11)
+    rows = [(n, int(rng.integers(0, 9)), int(rng.integers(0, 2)), float(rng.integers(0, 30)) / 30, x, y, x + float(rng.integers(1, 40)), y + float(rng.integers(1, 40))) for n, (x, y) in enumerate(rng.integers(0, 90, (600, 2)).astype(float).tolist())]
+    rows.append((600, 3, 1, 0.99, 0.0, 0.0, 1e6, 1e6))
+    boxes = spark.createDataFrame(rows, "id bigint, scene_id bigint, category_id int, score double, x1 double, y1 double, x2 double, y2 double")
+    got = M.merged(boxes, ["scene_id"], M.Merging(method, "IOS", 0.5))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = M.merged(boxes, ["scene_id"], M.Merging(method, "IOS", 0.5, strategy="relational"))
+    apart = M.merged(boxes, ["scene_id"], M.Merging(method, "IOS", 0.5, max_group=35))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == sorted(map(tuple, apart.collect()))

@@ -155,3 +155,12 @@ def test_masks_of_a_batch_overlap_as_drawn_one_by_one(monkeypatch):
         whole = (m if c else m | g).sum()
         want.append((m & g).sum() / whole if p and q and whole else 0.0)
     assert P.pair_overlaps(P.Rings.of_arrow(ca), P.Rings.of_arrow(cb), i, j, crowd).tolist() == want and sum(v > 0 for v in want) > 50
+
+
+def test_masks_of_a_batch_are_united_as_one_by_one(monkeypatch):
+    monkeypatch.setattr(P, "RASTER", 20_000)
+    masks, column = random_masks(400, 4)
+    assert P.unite_all(column).to_pylist() == [None if m is None else P.unite(m) for m in masks]
+    united = pa.array([None if m is None else [[float(v) for v in r] for r in P.unite(m)] for m in masks], column.type)
+    for m, n in zip(united.to_pylist(), P.count_pixels(united).to_pylist(), strict=True):
+        assert n is None if m is None else n == P.fill([np.asarray(r) + 50 for r in m], 200, 200).sum()

@@ -33,26 +33,46 @@ def _match(one: np.ndarray, many: np.ndarray, metric: str, thr: float, strict: b
 CHUNK, MANY_CELLS = 1 << 20, 1 << 10
 
 
+def _laid(b: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first cell, number of cells) of each box along both axes; cells are twice as wide as the middle box of the group."""
+    size = np.maximum(b[:, 2] - b[:, 0], b[:, 3] - b[:, 1])
+    some = np.flatnonzero(size > 0)
+    some = some[np.lexsort((size[some], g[some]))]
+    side = np.ones(int(g.max(initial=0)) + 1)
+    if len(some):
+        n = np.bincount(g[some], minlength=len(side))
+        at = np.cumsum(n) - n
+        middle = (size[some[np.minimum(at + k, len(some) - 1)]] for k in ((n - 1) // 2, n // 2))
+        side = np.where(n > 0, sum(middle), side)
+    side = side[g][:, None]
+    lo = np.floor(b[:, :2] / side)
+    return lo, np.maximum(np.floor(b[:, 2:] / side) - lo + 1, 0)
+
+
+def with_wide(box: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The groups some box of which lies on so many cells that it has to be compared with all others."""
+    span = _laid(box, group)[1]
+    return np.unique(group[span[:, 0] * span[:, 1] > MANY_CELLS])
+
+
 class _Cells:
-    """Boxes laid on grid cells, to be asked for the neighbours of a few of them at a time."""
+    """Boxes laid on grid cells, to be asked for the neighbours of a few of them at a time. Given groups have cells of their own each."""
 
-    def __init__(self, b: np.ndarray) -> None:
+    def __init__(self, b: np.ndarray, group: np.ndarray | None = None) -> None:
         n = len(b)
-        size = np.maximum(b[:, 2] - b[:, 0], b[:, 3] - b[:, 1])
-        side = 2 * float(np.median(size[size > 0])) if (size > 0).any() else 1.0
-        lo, hi = np.floor(b[:, :2] / side), np.floor(b[:, 2:] / side)
-        span = np.maximum(hi - lo + 1, 0)
+        g = np.zeros(n, np.int64) if group is None else group
+        lo, span = _laid(b, g)
         cells = span[:, 0] * span[:, 1]
-        self.wide = cells > MANY_CELLS
+        self.wide, self.group = cells > MANY_CELLS, g
         own = np.where(self.wide, 0, cells).astype(np.int64)
         self.at = np.concatenate([[0], np.cumsum(own)])
         who = np.repeat(np.arange(n), own)
         k = np.arange(len(who)) - self.at[who]
         wide = np.maximum(span[who, 0].astype(np.int64), 1)
         cx, cy = lo[who, 0] + k % wide, lo[who, 1] + k // wide
-        o = np.lexsort((who, cx, cy))
+        o = np.lexsort((who, cx, cy) if group is None else (who, cx, cy, g[who]))
         new = np.ones(len(o), bool)
-        new[1:] = (np.diff(cx[o]) != 0) | (np.diff(cy[o]) != 0)
+        new[1:] = (np.diff(cx[o]) != 0) | (np.diff(cy[o]) != 0) | (np.diff(g[who[o]]) != 0)
         #: boxes cell by cell, in order; where each cell starts; the cell of each entry of a box
         self.boxes, self.start = who[o], np.append(np.flatnonzero(new), len(o))
         self.cell = np.empty(len(o), np.int64)
@@ -76,7 +96,7 @@ class _Cells:
         out.append((i[ok], j[ok]))
         if self.wide.any():
             for x, js in [(x, np.flatnonzero(live)) for x in q[self.wide[q]]] + [(x, np.flatnonzero(live & self.wide)) for x in few]:
-                js = js[js > x]
+                js = js[(js > x) & (self.group[js] == self.group[x])]
                 out.append((np.full(len(js), x), js))
         i, j = (np.concatenate(x) for x in zip(*out, strict=True))
         return i, j
@@ -103,13 +123,13 @@ def _matches(b: np.ndarray, area: np.ndarray, i: np.ndarray, j: np.ndarray, metr
         return np.where(den > 0, inter / den, 0.0)
 
 
-def greedy(box: np.ndarray, score: np.ndarray, metric: str = "IOU", thr: float = 0.5, strict: bool = False) -> np.ndarray:
+def greedy(box: np.ndarray, score: np.ndarray, metric: str = "IOU", thr: float = 0.5, strict: bool = False, group: np.ndarray | None = None) -> np.ndarray:
     """For each box the position of the keeper that takes it: itself if kept, else the best-ranked keeper it matches.
 
     ``strict`` is the older variant: only more than the threshold matches, and equal scores keep their position.
 
     Boxes are settled batch by batch in rank order, and only those that no earlier keeper has taken look for neighbours; in a
-    crowd that is a small part of them."""
+    crowd that is a small part of them. Boxes of different ``group`` (small numbers) don't match; it asks for a threshold above 0."""
     n = len(box)
     rank = np.argsort(-score, kind="stable") if strict else order(box, score)
     if n and (thr < 0 or (thr == 0 and not strict)):
@@ -117,12 +137,12 @@ def greedy(box: np.ndarray, score: np.ndarray, metric: str = "IOU", thr: float =
     b = box[rank]
     owner = np.arange(n)
     if n:
-        cells, live, at = _Cells(b), np.ones(n, bool), 0
+        cells, live, at, batch = _Cells(b, None if group is None else group[rank]), np.ones(n, bool), 0, _batch(group)
         area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
     while n and at < n:
-        q = at + np.flatnonzero(live[at : at + 8 * BATCH])[:BATCH]
+        q = at + np.flatnonzero(live[at : at + 8 * batch])[:batch]
         if not len(q):
-            at += 8 * BATCH
+            at += 8 * batch
             continue
         q = q[: max(1, int(np.searchsorted(np.cumsum(cells.cost[q]), CHUNK, "right")))]
         at = int(q[-1]) + 1
@@ -149,9 +169,14 @@ def greedy(box: np.ndarray, score: np.ndarray, metric: str = "IOU", thr: float =
     return out
 
 
-def transitive(box: np.ndarray, score: np.ndarray, metric: str = "IOU", thr: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+def _batch(group: np.ndarray | None) -> int:
+    """Boxes settled at once: some of each group."""
+    return BATCH if group is None else max(BATCH, 8 * (int(group.max(initial=0)) + 1))
+
+
+def transitive(box: np.ndarray, score: np.ndarray, metric: str = "IOU", thr: float = 0.5, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(root, claim rank) of each box: a box hangs from the best-ranked box that matches and dominates it (higher score, or the
-    same box and score again), and belongs to the root of that chain. The claim rank orders members within a root."""
+    same box and score again), and belongs to the root of that chain. The claim rank orders members within a root. ``group`` as in ``greedy``."""
     n = len(box)
     rank = order(box, score)
     b, s = box[rank], score[rank]
@@ -163,11 +188,11 @@ def transitive(box: np.ndarray, score: np.ndarray, metric: str = "IOU", thr: flo
             parent[0] = n
     elif n:
         # batch by batch in rank order: a box that has its best claim need not be found again
-        cells, live, at = _Cells(b), np.ones(n, bool), 0
+        cells, live, at, batch = _Cells(b, None if group is None else group[rank]), np.ones(n, bool), 0, _batch(group)
         area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
         upto = np.cumsum(cells.cost)
         while at < n and live[at:].any():
-            end = min(n, at + 8 * BATCH, max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, "right"))))
+            end = min(n, at + 8 * batch, max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, "right"))))
             live[at] = False
             i, j = cells.near(np.arange(at, end), live)
             ok = (s[i] > s[j]) | np.all(b[i] == b[j], axis=1)
@@ -199,22 +224,46 @@ def fold_members(box: np.ndarray, score: np.ndarray, category: np.ndarray, owner
     """Members in order grow their keeper: the union box, the greater score, the category of the higher score (the member's on
     a tie), if they still overlap the grown box by more than thr; others are dropped. Returns corners, scores, categories and
     the number merged, by position, of which only keepers' rows mean anything, and whether each member was merged."""
-    b, s, c, k = box.tolist(), score.tolist(), category.tolist(), [0] * len(box)
-    old, took = box.tolist(), np.zeros(len(box), bool)
-    for m, o in zip(members.tolist(), owner[members].tolist(), strict=True):
-        g, x = b[o], old[m]
-        w, h = min(g[2], x[2]) - max(g[0], x[0]), min(g[3], x[3]) - max(g[1], x[1])
-        inter = w * h if w > 0 and h > 0 else 0.0
-        ag, ax = (g[2] - g[0]) * (g[3] - g[1]), (x[2] - x[0]) * (x[3] - x[1])
-        den = ag + ax - inter if metric == "IOU" else min(ag, ax)
+    b, s, c, k = np.array(box, float).reshape(-1, 4), np.array(score, float), np.array(category), np.zeros(len(box), np.int64)
+    old, took, at = b.copy(), np.zeros(len(box), bool), 0
+    # the first members of all keepers at once, then the second ones, and so on; one by one where few keepers are left
+    m = members[np.argsort(owner[members], kind="stable")]
+    n = np.unique(owner[m], return_counts=True)[1]
+    nth = np.arange(len(m)) - np.repeat(np.cumsum(n) - n, n)
+    m = m[np.argsort(nth, kind="stable")]
+    for n in np.bincount(nth).tolist():
+        if n < 16:
+            break
+        x, at = m[at : at + n], at + n
+        o = owner[x]
+        inter, den = _meet(b[o], old[x], metric)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = x[(den > 0) & (inter / den > thr)]
+        o = owner[x]
+        b[o] = np.concatenate([np.minimum(b[o, :2], old[x, :2]), np.maximum(b[o, 2:], old[x, 2:])], axis=1)
+        theirs = o[~(s[o] > score[x])]
+        c[theirs] = category[x[~(s[o] > score[x])]]
+        s[o] = np.maximum(s[o], score[x])
+        k[o] += 1
+        took[x] = True
+    for x, o in zip(m[at:].tolist(), owner[m[at:]].tolist(), strict=True):
+        inter, den = (float(v[0]) for v in _meet(b[o : o + 1], old[x : x + 1], metric))
         if den > 0 and inter / den > thr:
-            b[o] = [min(g[0], x[0]), min(g[1], x[1]), max(g[2], x[2]), max(g[3], x[3])]
-            if not s[o] > score[m]:
-                c[o] = int(category[m])
-            s[o] = max(s[o], float(score[m]))
+            b[o] = [*np.minimum(b[o, :2], old[x, :2]), *np.maximum(b[o, 2:], old[x, 2:])]
+            if not s[o] > score[x]:
+                c[o] = category[x]
+            s[o] = max(s[o], float(score[x]))
             k[o] += 1
-            took[m] = True
-    return np.array(b, float).reshape(-1, 4), np.array(s, float), np.array(c), np.array(k, np.int64), took
+            took[x] = True
+    return b, s, c, k, took
+
+
+def _meet(p: np.ndarray, o: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(intersection, denominator) of boxes in pairs."""
+    w, h = np.minimum(p[:, 2], o[:, 2]) - np.maximum(p[:, 0], o[:, 0]), np.minimum(p[:, 3], o[:, 3]) - np.maximum(p[:, 1], o[:, 1])
+    inter = np.maximum(w, 0) * np.maximum(h, 0)
+    a, b = (p[:, 2] - p[:, 0]) * (p[:, 3] - p[:, 1]), (o[:, 2] - o[:, 0]) * (o[:, 3] - o[:, 1])
+    return inter, (a + b - inter if metric == "IOU" else np.minimum(a, b))
 
 
 def fold(*args) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

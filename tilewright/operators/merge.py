@@ -108,6 +108,62 @@ def _group_kernel(how: Merging, key_types: dict[str, pa.DataType]):
     return f
 
 
+def _codes(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """A number for each group of keys."""
+    code = np.zeros(t.num_rows, np.int64)
+    for k in keys:
+        c = t.column(k).combine_chunks().dictionary_encode("encode")
+        c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        code = np.unique(code * (len(c.dictionary) + 1) + np.asarray(c.indices), return_inverse=True)[1]
+    return code
+
+
+def _whole_kernel(how: Merging, keys: list[str], gk: list[str], members_too: bool):
+    """Groups the boxes of a whole bucket and folds them, all groups at once; groups with boxes far larger than most of them one by one."""
+
+    def f(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        box, score = _blocks(t)
+        code, n = _codes(t, gk), t.num_rows
+        owner, claim = np.arange(n), np.zeros(n, np.int64)
+        odd = K.with_wide(box, code)
+        plain = np.flatnonzero(~np.isin(code, odd))
+        for at, group in [(plain, np.unique(code[plain], return_inverse=True)[1]), *((np.flatnonzero(code == g), None) for g in odd.tolist())]:
+            if how.method == "nmm":
+                own, claim[at] = K.transitive(box[at], score[at], how.metric, how.threshold, group)
+            else:
+                own = K.greedy(box[at], score[at], how.metric, how.threshold, group=group)
+                claim[at[K.order(box[at], score[at])]] = np.arange(len(at))
+            owner[at] = at[own]
+        b, s, c, k, took = K.fold_members(box, score, np.asarray(t.column("category_id")), owner, K.member_order(owner, claim), how.metric, how.threshold)
+        kept = np.flatnonzero(owner == np.arange(n))
+        if members_too:
+            on = np.concatenate([kept, np.flatnonzero(took)])
+            return pa.table({x: t.column(x).take(pa.array(on)) for x in keys} | {"keeper": t.column("id").take(pa.array(owner[on])), "id": t.column("id").take(pa.array(on))})
+        cols = {x: t.column(x).take(pa.array(kept)) for x in [*keys, "id"]}
+        return pa.table(cols | {"category_id": c[kept].astype(np.int32), "score": s[kept], "x1": b[kept, 0], "y1": b[kept, 1], "x2": b[kept, 2], "y2": b[kept, 3], "n_merged": k[kept]})
+
+    return f
+
+
+def _folded(b: DataFrame, keys: list[str], how: Merging, members_too: bool, fields: str) -> tuple[DataFrame, int]:
+    """Kept boxes with what they absorbed, or pairs of them and what they absorbed, and the number of boxes. A group of at most
+    max_group boxes is grouped and folded in the bucket it comes to; beyond it, groups and folds are steps of their own."""
+    gk = _keys(keys, how)
+    plain_keys = [k for k in gk if k != "category_id"]
+    ship_package(b.sparkSession)
+    apart = lambda d: _by_keeper(_placed(d, keys, how)).applyInArrow(_merge_kernel(how, plain_keys, members_too), fields)
+    if how.threshold <= 0 or how.strategy == "relational":
+        return apart(b), b.count()
+    scratch = Scratch(b.sparkSession, "folded")
+    rows, big = _large(b, gk, how.max_group, scratch) if how.strategy == "auto" else (b.count(), None)
+    n = buckets(b, rows)
+    whole = lambda d: d.withColumn("__bucket", F.pmod(F.xxhash64(*gk), F.lit(n))).groupBy("__bucket").applyInArrow(_whole_kernel(how, plain_keys, gk, members_too), fields)
+    if big is None:
+        return whole(b), rows
+    return whole(b.join(big, gk, "left_anti")).unionByName(apart(scratch.write(b.join(big, gk, "left_semi")))), rows
+
+
 def _fields(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
@@ -274,7 +330,7 @@ def _merge_kernel(how: Merging, keys: list[str], members_too: bool = False):
         b, s, c, k, took = K.fold_members(box, score, cat, owner, members, how.metric, how.threshold)
         if members_too:
             on = np.flatnonzero(took | (np.asarray(t.column("pos")) == 0))
-            return pa.table({"keeper": t.column("keeper").take(pa.array(on)), "id": t.column("id").take(pa.array(on))})
+            return pa.table({x: t.column(x).take(pa.array(on)) for x in [*keys, "keeper", "id"]})
         kept = np.flatnonzero(np.asarray(t.column("pos")) == 0)
         cols = {x: t.column(x).take(pa.array(kept)) for x in [*keys, "id"]}
         return pa.table(cols | {"category_id": c[kept].astype(np.int32), "score": s[kept], "x1": b[kept, 0], "y1": b[kept, 1], "x2": b[kept, 2], "y2": b[kept, 3], "n_merged": k[kept]})
@@ -305,10 +361,9 @@ def merged(boxes: DataFrame, keys: list[str], how: Merging = Merging()) -> DataF
     b = boxes.select(*plain_keys, F.col("id").cast("bigint").alias("id"), F.col("category_id").cast("int").alias("category_id"), *[F.col(c).cast("double").alias(c) for c in ("score", "x1", "y1", "x2", "y2")])
     if how.method == "union_merge":
         return _union_merged(b, gk, plain_keys, how, fields)
-    j = _placed(b, keys, how)
     if how.method in ("nms", "legacy_nms"):
-        return j.filter("id = keeper").drop("keeper", "pos").withColumn("n_merged", F.lit(0).cast("bigint")).select(*plain_keys, "id", "category_id", "score", "x1", "y1", "x2", "y2", "n_merged")
-    return _by_keeper(j).applyInArrow(_merge_kernel(how, plain_keys), fields)
+        return _placed(b, keys, how).filter("id = keeper").drop("keeper", "pos").withColumn("n_merged", F.lit(0).cast("bigint")).select(*plain_keys, "id", "category_id", "score", "x1", "y1", "x2", "y2", "n_merged")
+    return _folded(b, keys, how, False, fields)[0]
 
 
 def _placed(b: DataFrame, keys: list[str], how: Merging) -> DataFrame:
@@ -329,18 +384,17 @@ def merged_masks(boxes: DataFrame, keys: list[str], how: Merging = Merging()) ->
     plain_keys = [k for k in gk if k != "category_id"]
     own = boxes.select(*plain_keys, F.col("id").cast("bigint").alias("id"), F.col("category_id").cast("int").alias("category_id"), *[F.col(c).cast("double").alias(c) for c in ("score", "x1", "y1", "x2", "y2")])
     drawn = boxes.select(*plain_keys, F.col("id").cast("bigint").alias("id"), F.col("segmentation").cast("array<array<double>>").alias("segmentation"))
-    j = _placed(own, keys, how)
     if how.method in ("nms", "legacy_nms"):
-        return drawn.join(j.filter("id = keeper").select("id"), "id", "left_semi").select(*plain_keys, "id", "segmentation")
+        return drawn.join(_placed(own, keys, how).filter("id = keeper").select("id"), "id", "left_semi").select(*plain_keys, "id", "segmentation")
     if how.method == "union_merge":
         raise ValueError("union_merge merges boxes only")
-    took = _by_keeper(j).applyInArrow(_merge_kernel(how, plain_keys, True), "keeper bigint, id bigint")
+    took, rows = _folded(own, keys, how, True, f"{_fields(own, plain_keys)}, keeper bigint, id bigint")
     # drawing costs far more than its bytes tell, so partitions are not left to be coalesced by size
-    parts = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rings = took.join(drawn.select("id", "segmentation"), "id").repartition(parts, "keeper").groupBy("keeper").agg(F.count("*").alias("n"), F.flatten(F.collect_list("segmentation")).alias("s"))
-    none = F.size("s") == 0
-    united = F.when(none, F.lit(None)).when(F.col("n") == 1, F.col("s")).otherwise(P.union_rings("s").cast("array<array<double>>"))
-    return drawn.drop("segmentation").join(rings.select(F.col("keeper").alias("id"), united.alias("segmentation")), "id").select(*plain_keys, "id", "segmentation")
+    parts = max(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+    rings = took.join(drawn.select("id", "segmentation"), "id").repartition(parts, "keeper").groupBy("keeper").agg(*[F.first(k).alias(k) for k in plain_keys], F.count("*").alias("n"), F.flatten(F.collect_list("segmentation")).alias("s"))
+    # the null spares the single ones being drawn, for a Python function sees every row
+    united = P.union_rings(F.when(F.col("n") > 1, F.col("s"))).cast("array<array<double>>")
+    return rings.select(*plain_keys, F.col("keeper").alias("id"), F.when(F.size("s") > 0, F.when(F.col("n") == 1, F.col("s")).otherwise(united)).alias("segmentation"))
 
 
 def _union_merged(b: DataFrame, gk: list[str], plain_keys: list[str], how: Merging, fields: str) -> DataFrame:
