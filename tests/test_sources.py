@@ -195,3 +195,16 @@ def test_detected_tiles_need_no_shuffle(spark, data):
 
     plan = e.queries()["detect_tiles"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_raw_predictions_are_cut_to_the_image_without_a_join(spark):
+    class Wild:
+        def predict(self, batch):
+            box = lambda t, *b: {"image_id": t["image_id"], "tile_idx": t["tile_idx"], "category_id": 0, "category_name": "a", "score": 0.5, **dict(zip(("x1", "y1", "x2", "y2"), map(float, b), strict=True))}
+            return [b for t in batch for b in (box(t, -9, -9, 5, 5), box(t, 100, 100, 9999, 9999), box(t, -9, 0, 0, 5))]
+
+    im = spark.createDataFrame([(1, 300, 200)], "image_id bigint, height int, width int")
+    p = L.raw_predictions(im, Wild, T.TileSpec(200, 200, 0.0, 0.0))
+    assert not any(x in p._jdf.queryExecution().executedPlan().toString() for x in ("Join", "Exchange"))
+    got = sorted((r.tile_idx, r.x1, r.y1, r.x2, r.y2) for r in p.collect())
+    assert got == [(-1, 0, 0, 5, 5), (-1, 100, 100, 200, 300), (0, 0, 0, 5, 5), (0, 100, 100, 200, 300), (1, 0, 91, 5, 105), (1, 100, 200, 200, 300)]

@@ -13,7 +13,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.functions import boxes as B
 from tilewright.operators import tiling
 from tilewright.operators.merge import Merging, low_confidence_rewrite, merged
 from tilewright.session import Scratch, ship_package
@@ -81,10 +80,11 @@ def _predicted(model: Detector, b: pa.RecordBatch, batch_size: int) -> Iterator[
         yield part, np.array([where[p["image_id"], p["tile_idx"]] for p in found], np.int64), pa.Table.from_pylist(found, schema=_SCHEMA)
 
 
-def detect(tile_table: DataFrame, make: Callable[[], Detector], batch_size: int = 64, shifted: bool = False, confidence: float | None = None, named: bool = True) -> DataFrame:
+def detect(tile_table: DataFrame, make: Callable[[], Detector], batch_size: int = 64, shifted: bool = False, confidence: float | None = None, named: bool = True, clamped: bool = False) -> DataFrame:
     """Predictions of every tile, by Arrow batches; the model is made once per task. ``shifted``: already moved by their tile's
     corner, so that nothing has to be joined back; streams can be detected on, too. ``confidence``: those that score less are
-    left out before they leave the worker. ``named`` False leaves out category_name."""
+    left out before they leave the worker. ``named`` False leaves out category_name. ``clamped``: cut to the image, whose size the
+    tiles have as ih and iw, without those that are empty then."""
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
     ship_package(tile_table.sparkSession)
@@ -103,6 +103,13 @@ def detect(tile_table: DataFrame, make: Callable[[], Detector], batch_size: int
                     for k in ("x1", "y1", "x2", "y2"):
                         by = pc.cast(tiles.column(f"{k[0]}1"), pa.float64()).take(pa.array(rows))
                         found = found.set_column(found.schema.get_field_index(k), k, pc.add(found.column(k), by))
+                if clamped:
+                    x1, y1, x2, y2 = (found.column(k).to_numpy() for k in ("x1", "y1", "x2", "y2"))
+                    iw, ih = (tiles.column(k).to_numpy(zero_copy_only=False)[rows] for k in ("iw", "ih"))
+                    cut = {"x1": np.maximum(x1, 0.0), "y1": np.maximum(y1, 0.0), "x2": np.fmin(x2, iw), "y2": np.fmin(y2, ih)}
+                    for k, v in cut.items():
+                        found = found.set_column(found.schema.get_field_index(k), k, pa.array(v, pa.float64()))
+                    found = found.filter(pa.array((cut["x2"] > cut["x1"]) & (cut["y2"] > cut["y1"])))
                 yield from found.select([f.name for f in out]).to_batches()
 
     return tile_table.mapInArrow(run, ", ".join(f"{f.name} {sql[str(f.type)]}" for f in out))
@@ -137,16 +144,12 @@ def _tile_rows(images: DataFrame, spec: tiling.TileSpec, full_image: bool, slice
     return t
 
 
-def raw_predictions(images: DataFrame, make: Callable[[], Detector], spec: tiling.TileSpec = tiling.TileSpec(), confidence: float = 0.3, exclude_names: list[str] | None = None, exclude_ids: list[int] | None = None, full_image: bool = True, sliced: bool = True) -> DataFrame:
+def raw_predictions(images: DataFrame, make: Callable[[], Detector], spec: tiling.TileSpec = tiling.TileSpec(), confidence: float = 0.3, exclude_names: list[str] | None = None, exclude_ids: list[int] | None = None, full_image: bool = True, sliced: bool = True, named: bool = True) -> DataFrame:
     """(image_id, tile_idx, category_id, category_name, score, x1..y2) of images(image_id, height, width), moved to the image and
-    clamped to it; empty boxes go. No shuffle but for the images' size, so this runs on a stream as well."""
-    t = _tile_rows(images, spec, full_image, sliced)
-    p = exclude(detect(t.select("image_id", "tile_idx", "x1", "y1", "x2", "y2"), make, shifted=True).filter(F.col("score") >= confidence), exclude_names, exclude_ids)
-    p = p.join(images.select("image_id", "height", "width"), "image_id") if not images.isStreaming else p
-    if images.isStreaming:
-        return p.filter(~B.degenerate(B.cols()))
-    c = B.clamp(B.cols(), F.col("width").cast("double"), F.col("height").cast("double"))
-    return p.withColumns(dict(zip(("x1", "y1", "x2", "y2"), c, strict=True))).filter(~B.degenerate(B.cols())).drop("height", "width")
+    clamped to it; empty boxes go. ``named`` False: category_name only if names are excluded. No shuffle, as the tiles carry the
+    images' size, so this runs on a stream as well."""
+    t = _tile_rows(images, spec, full_image, sliced).select("image_id", "tile_idx", "x1", "y1", "x2", "y2", "ih", "iw")
+    return exclude(detect(t, make, shifted=True, confidence=confidence, named=named or bool(exclude_names), clamped=True), exclude_names, exclude_ids)
 
 
 def sliced_prediction(images: DataFrame, make: Callable[[], Detector], spec: tiling.TileSpec = tiling.TileSpec(), how: Merging = Merging(), confidence: float = 0.3, exclude_names: list[str] | None = None, exclude_ids: list[int] | None = None, full_image: bool = True, sliced: bool = True) -> DataFrame:
@@ -154,7 +157,7 @@ def sliced_prediction(images: DataFrame, make: Callable[[], Detector], spec: til
 
     Images of several tiles also get a pass over the whole image; ``sliced`` False gives that alone. Boxes are moved by their
     tile's corner, clamped to the image and merged per image; the merging strategy is rewritten for very low confidence."""
-    p = raw_predictions(images, make, spec, confidence, exclude_names, exclude_ids, full_image, sliced).drop("category_name")
+    p = raw_predictions(images, make, spec, confidence, exclude_names, exclude_ids, full_image, sliced, False).drop("category_name", "tile_idx")
     # ids are given once and written, so that they are unique and stay what they are; equal predictions are all kept
     p = Scratch(images.sparkSession, "predictions").write(p.withColumn("id", F.monotonically_increasing_id()))
     return merged(p, ["image_id"], low_confidence_rewrite(how, confidence))
