@@ -130,8 +130,16 @@ def remap_categories(preds: DataFrame, mapping: dict[str, int]) -> DataFrame:
     return preds.withColumn("category_id", F.coalesce(m[F.col("category_id").cast("string")], F.col("category_id")).cast("int"))
 
 
+def spread(images: DataFrame) -> DataFrame:
+    """(image_id, height, width) dealt out to all tasks: what is detected on an image is far more than its bytes tell. Not on streams."""
+    i = images.select("image_id", "height", "width")
+    n = max(int(i.sparkSession.conf.get("spark.sql.shuffle.partitions")), i.sparkSession.sparkContext.defaultParallelism)
+    return i if i.isStreaming else i.repartition(n, "image_id")
+
+
 def _tile_rows(images: DataFrame, spec: tiling.TileSpec, full_image: bool, sliced: bool = True) -> DataFrame:
     """Tiles with the size of their image; images of several tiles, or all if none are cut, have tile -1, the whole image."""
+    images = spread(images)
     size = [F.col("height").alias("ih"), F.col("width").alias("iw")]
     whole = lambda d: d.select("image_id", F.lit(-1).alias("tile_idx"), F.lit(0).alias("x1"), F.lit(0).alias("y1"), F.col("width").alias("x2"), F.col("height").alias("y2"), *size)
     if not sliced:
@@ -146,8 +154,8 @@ def _tile_rows(images: DataFrame, spec: tiling.TileSpec, full_image: bool, slice
 
 def raw_predictions(images: DataFrame, make: Callable[[], Detector], spec: tiling.TileSpec = tiling.TileSpec(), confidence: float = 0.3, exclude_names: list[str] | None = None, exclude_ids: list[int] | None = None, full_image: bool = True, sliced: bool = True, named: bool = True) -> DataFrame:
     """(image_id, tile_idx, category_id, category_name, score, x1..y2) of images(image_id, height, width), moved to the image and
-    clamped to it; empty boxes go. ``named`` False: category_name only if names are excluded. No shuffle, as the tiles carry the
-    images' size, so this runs on a stream as well."""
+    clamped to it; empty boxes go. ``named`` False: category_name only if names are excluded. No shuffle but of the images' sizes,
+    which the tiles carry, and none on a stream."""
     t = _tile_rows(images, spec, full_image, sliced).select("image_id", "tile_idx", "x1", "y1", "x2", "y2", "ih", "iw")
     return exclude(detect(t, make, shifted=True, confidence=confidence, named=named or bool(exclude_names), clamped=True), exclude_names, exclude_ids)
 

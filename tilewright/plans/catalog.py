@@ -432,7 +432,7 @@ p AS (SELECT image_id, tile_idx, k, ((image_id + k // 128) % 3)::INT AS category
 
 @query("detect_tiles", f"{_GRID_BOXES} SELECT image_id, tile_idx, category_id, round(score, 6) AS score, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM p WHERE tile_idx >= 0 AND score >= 0.3")
 def detect_tiles(spark, d):
-    t = T.tiles(view(spark, d, "v_images")).select("image_id", "tile_idx", "x1", "y1", "x2", "y2")
+    t = T.tiles(L.spread(view(spark, d, "v_images"))).select("image_id", "tile_idx", "x1", "y1", "x2", "y2")
     return L.detect(t, L.GridDetector, shifted=True, confidence=0.3, named=False).withColumn("score", F.round("score", 6))
 
 
